@@ -83,17 +83,28 @@ def lifecycle(
 
 
 def merge_state(
-    matched: DataFrame, state: DataFrame, as_of: str, stale_days: int = rules.Limits.reopen_after_days
+    matched: DataFrame,
+    state: DataFrame,
+    as_of: str,
+    stale_days: int = rules.Limits.reopen_after_days,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """The whole next state, with ``lifecycle_state`` (null for rows that the batch did not touch).
+    """The whole next state, with ``lifecycle_state`` (null for rows that the batch did not touch)
+    and the landing order of the touched rows.
 
     ``matched`` has state_key and company_id. Several listings may mean one legacy row: the first
-    decides the lifecycle, the last one is stored.
+    decides the lifecycle, the last one is stored. With ``partitions`` (the bucket number of the
+    stored side) the batch is moved to the buckets and the stored rows stay where they are; batch
+    keys are unique by then, so no partition can run hot.
     """
+    if partitions:
+        matched = matched.repartition(partitions, "state_key")
     order = F.struct("source_ordinal", "position")
     incoming = [c for c in (*OVERWRITTEN, "metadata", "seen_in_sources", "company_id")]
     batch = matched.groupBy("state_key").agg(
-        F.max_by(F.struct(*incoming), order).alias("b"), F.min_by("content_hash", order).alias("first_hash")
+        F.max_by(F.struct(*incoming), order).alias("b"),
+        F.min_by("content_hash", order).alias("first_hash"),
+        F.min(order).alias("landed"),
     )
     stored = state.select(F.col("canonical_key").alias("state_key"), F.struct(*state.columns).alias("s"))
     joined = batch.join(stored, "state_key", "full_outer")
@@ -143,9 +154,12 @@ def merge_state(
         .when(touched, sources)
         .otherwise(F.col("s.seen_in_sources")),
         "lifecycle_state": F.col("life"),
+        "source_ordinal": F.col("landed.source_ordinal"),
+        "position": F.col("landed.position"),
     }
+    extra = ("lifecycle_state", "source_ordinal", "position")
     by_name = {name: value.alias(name) for name, value in columns.items()}
-    return joined.select(*[by_name[c] for c in state.columns], by_name["lifecycle_state"])
+    return joined.select(*[by_name[c] for c in state.columns], *[by_name[c] for c in extra])
 
 
 def status_history(merged: DataFrame, as_of: str) -> DataFrame:

@@ -7,10 +7,12 @@ History tables are partitioned by run; writing the same run again replaces only
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from feedloom import rules
@@ -18,8 +20,7 @@ from feedloom.functions.text import strip
 from feedloom.functions.times import as_timestamp
 from feedloom.schemas import HEALTH_DDL, RUNS_DDL, SCORES_DDL, STATE_DDL
 
-POINTER = "_CURRENT.json"
-STATE_BUCKETS = 64
+POINTER = "CURRENT.json"
 
 
 class StateRefused(RuntimeError):
@@ -65,7 +66,7 @@ def next_version(spark: SparkSession, root: str) -> int:
 
 
 def stage_snapshot(
-    df: DataFrame, root: str, version: int, key: str | None = None, buckets: int = STATE_BUCKETS
+    df: DataFrame, root: str, version: int, key: str | None = None, buckets: int = 64
 ) -> DataFrame:
     """Write a version without publishing it and return it as read back.
 
@@ -107,13 +108,11 @@ def read_snapshot(spark: SparkSession, root: str, ddl: str) -> DataFrame:
             f"CREATE TABLE {table} ({ddl}) USING parquet CLUSTERED BY ({pointer['key']}) "
             f"SORTED BY ({pointer['key']}) INTO {pointer['buckets']} BUCKETS LOCATION '{path}'"
         )
-    return spark.table(table)
+    return spark.table(table).select(*T.StructType.fromDDL(ddl).fieldNames())
 
 
 def _bucket_table(path: str, buckets: int) -> str:
     # The session catalog names a location; the name is derived from it, so sessions agree.
-    import hashlib
-
     return f"feedloom_{hashlib.sha256(path.encode()).hexdigest()[:16]}_{buckets}"
 
 

@@ -602,3 +602,5 @@ class Settings:
     subject_prefix: str = "[Listings]"
     recipient: str = ""
     send_empty_digest: bool = False
+    # Buckets of the listing state; aim at some hundred megabytes per bucket.
+    state_buckets: int = 64

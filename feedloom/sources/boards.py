@@ -218,6 +218,23 @@ def _is_platform(name: str) -> Column:
     return F.lower(F.col("platform")) == name
 
 
+def _payload_reader(spec: Platform) -> Callable[[Column], Column]:
+    def read(payload: Column) -> Column:
+        unreadable = payload[_CORRUPT].isNotNull() | F.col("body").isNull()
+        failure = F.when(unreadable, "payload is not readable").otherwise(spec.failure(payload))
+        return F.struct(spec.items(payload).alias("items"), failure.alias("failure"))
+
+    return read
+
+
+def _item_reader(spec: Platform) -> Callable[[Column], Column]:
+    def read(item: Column) -> Column:
+        named = spec.fields(item)
+        return F.struct(*[named.get(f, F.lit(None)).cast("string").alias(f) for f in FIELDS])
+
+    return read
+
+
 def board_items(payloads: DataFrame, platforms: dict[str, Platform] = PLATFORMS) -> DataFrame:
     """Per payload: ``items`` (raw postings), ``failure`` (text or null) and ``supported``.
 
@@ -238,15 +255,7 @@ def board_items(payloads: DataFrame, platforms: dict[str, Platform] = PLATFORMS)
             parsed = F.from_json(
                 body, f"{spec.payload_ddl}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT}
             )
-            found = bind(
-                parsed,
-                lambda p, spec=spec: F.struct(
-                    spec.items(p).alias("items"),
-                    F.when(p[_CORRUPT].isNotNull() | body.isNull(), "payload is not readable")
-                    .otherwise(spec.failure(p))
-                    .alias("failure"),
-                ),
-            )
+            found = bind(parsed, _payload_reader(spec))
         condition = _is_platform(name)
         if name == "workday":
             # A board without its own API address yields nothing and is healthy.
@@ -270,12 +279,7 @@ def board_postings(found: DataFrame, platforms: dict[str, Platform] = PLATFORMS)
     rows = found.select(*keep, F.posexplode_outer("items").alias("position", "raw"))
     mapped = None
     for name, spec in platforms.items():
-
-        def fields(item: Column, spec=spec) -> Column:
-            named = spec.fields(item)
-            return F.struct(*[named.get(f, F.lit(None)).cast("string").alias(f) for f in FIELDS])
-
-        value = bind(F.from_json(F.col("raw"), spec.item_ddl), fields)
+        value = bind(F.from_json(F.col("raw"), spec.item_ddl), _item_reader(spec))
         mapped = F.when(_is_platform(name), value) if mapped is None else mapped.when(_is_platform(name), value)
     named = materialize(rows, job=mapped)
     return named.select(

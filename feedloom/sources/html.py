@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset(("script", "style", "template"))
@@ -144,7 +145,7 @@ def plain_text(html: str | None) -> str:
     return " ".join(p for p in (piece.strip() for piece in reader.pieces) if p)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     """Plain text of HTML fragments, batch by batch."""
     return html.map(plain_text)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,20 +173,17 @@ def fallback_listings(facts: DataFrame, filters: rules.Filters, fallback: Column
     return anchor_listings(facts.filter(fallback).join(answered, page_key, "left_anti"), filters)
 
 
+def _links_of(platform: str, pattern: str) -> Column:
+    return F.transform(
+        F.regexp_extract_all("html", F.lit("(?i)" + pattern), F.lit(1)),
+        lambda name, i: F.struct(F.lit(platform).alias("platform"), name.alias("identifier"), i.alias("place")),
+    )
+
+
 def discovered_boards(pages: DataFrame, page_key: str = "page_id") -> DataFrame:
     """Board links in page source: distinct per (page, platform, identifier), first spelling kept."""
-    found = [
-        F.transform(
-            F.regexp_extract_all("html", F.lit("(?i)" + pattern), F.lit(1)),
-            lambda name, i, platform=platform: F.struct(
-                F.lit(platform).alias("platform"), name.alias("identifier"), i.alias("place")
-            ),
-        )
-        for platform, pattern in rules.BOARD_LINK_PATTERNS.items()
-    ]
-    links = pages.filter(
-        reduce(lambda a, b: a | b, [F.lower("html").contains(h) for h in ("greenhouse.io/", "jobs.lever.co/", "jobs.ashbyhq.com/", "jobs.smartrecruiters.com/")])
-    ).select(page_key, F.explode(F.concat(*found)).alias("link"))
+    found = [_links_of(platform, pattern) for platform, pattern in rules.BOARD_LINK_PATTERNS.items()]
+    links = pages.select(page_key, F.explode(F.concat(*found)).alias("link"))
     return links.groupBy(
         page_key, F.col("link.platform").alias("platform"), F.lower("link.identifier").alias("board_key")
     ).agg(F.min_by("link.identifier", "link.place").alias("identifier"), F.min("link.place").alias("place"))

@@ -1,4 +1,9 @@
-"""Lifecycle of listings as a stream: one small state per canonical key."""
+"""Lifecycle of listings as a stream: daily sightings, then one small state per canonical key.
+
+Sightings of a key are first reduced to one per day, which is what a daily run sees. That step
+combines before its shuffle, so a key with a third of all sightings reaches the stateful step as
+one row per day and the state as three values.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from feedloom import rules
@@ -15,41 +21,51 @@ STATE = "last_seen_us long, content_hash string, reopened_count int"
 DAY_US = 86_400_000_000
 
 
-def lifecycle_stream(sightings: DataFrame, stale_days: int = rules.Limits.reopen_after_days) -> DataFrame:
-    """One row per sighting with its lifecycle.
+def daily_sightings(sightings: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Last content per key and day; a day is emitted when the watermark has passed it.
 
-    ``sightings`` has canonical_key, content_hash, seen_at (timestamp) and ordinal. A key keeps
-    three values, whatever the number of its sightings; these arrive in Arrow batches and are
-    handled one batch at a time.
+    ``sightings`` has canonical_key, content_hash, seen_at (timestamp) and ordinal.
     """
+    return (
+        sightings.withWatermark("seen_at", delay)
+        .groupBy(F.window("seen_at", "1 day"), "canonical_key")
+        .agg(
+            F.max_by("content_hash", F.struct("seen_at", "ordinal")).alias("content_hash"),
+            F.max("seen_at").alias("last_at"),
+        )
+        .select("canonical_key", "content_hash", "last_at")
+    )
+
+
+def lifecycle_stream(sightings: DataFrame, stale_days: int = rules.Limits.reopen_after_days) -> DataFrame:
+    """One row per key and day with its lifecycle."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, content, reopened = state.get if state.exists else (None, None, 0)
-        for batch in batches:
-            ordered = batch.sort_values(["seen_at", "ordinal"])
-            states, counts = [], []
-            for moment, found in zip(ordered["seen_at"], ordered["content_hash"]):
-                now = moment.value // 1000
-                if last is None:
-                    life = rules.NEW
-                elif now - last >= stale_days * DAY_US and found != content:
-                    life, reopened = rules.REOPENED, reopened + 1
-                else:
-                    life = rules.SEEN
-                last, content = now, found
-                states.append(life)
-                counts.append(reopened)
-            yield pd.DataFrame(
-                {
-                    "canonical_key": key[0],
-                    "seen_at": ordered["seen_at"].values,
-                    "lifecycle_state": states,
-                    "reopened_count": counts,
-                }
-            )
-        if last is not None:
-            state.update((last, content, reopened))
-
-    return sightings.groupBy("canonical_key").applyInPandasWithState(
+        # At most one row per day that was closed since the last trigger.
+        days = pd.concat(list(batches)).sort_values("last_at")
+        states, counts = [], []
+        for moment, found in zip(days["last_at"], days["content_hash"]):
+            now = pd.Timestamp(moment).value // 1000
+            if last is None:
+                life = rules.NEW
+            elif now - last >= stale_days * DAY_US and found != content:
+                life, reopened = rules.REOPENED, reopened + 1
+            else:
+                life = rules.SEEN
+            last, content = now, found
+            states.append(life)
+            counts.append(reopened)
+        state.update((last, content, reopened))
+        yield pd.DataFrame(
+            {
+                "canonical_key": key[0],
+                "seen_at": days["last_at"].values,
+                "lifecycle_state": states,
+                "reopened_count": counts,
+            }
+        )
+
+    return daily_sightings(sightings).groupBy("canonical_key").applyInPandasWithState(
         step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
     )
