@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedloom import rules
-from feedloom.functions.text import any_word, bind, fold_hint, matches
+from feedloom.functions.text import any_word, bind, fold_hint, matches, word_array
 
 
 def cohort_allowed(text: Column, filters: rules.Filters) -> Column:
@@ -37,11 +37,13 @@ def role_rejection(
 
     def reason(row: Column) -> Column:
         low, everything = row["low"], row["all"]
+        mentions_years = any_word(everything, rules.YEARS_GUARD)
         early = (
-            any_word(everything, rules.EARLY_CAREER_WORDS)
-            | any_word(low, rules.ENTRY_TITLE_WORDS)
+            any_word(low, rules.ENTRY_TITLE_WORDS)
             | any_word(row["context"], rules.EARLY_CAREER_WORDS)
-            | matches(everything, rules.ENTRY_TEXT_PATTERN)
+            | any_word(everything, rules.EARLY_CAREER_WORDS)
+            # The pattern's other branch consists of early-career words, tested above.
+            | (mentions_years & matches(everything, rules.ENTRY_TEXT_PATTERN))
         )
         return (
             F.when(any_word(low, rules.SUPPORT_TITLE_WORDS), "support_title")
@@ -53,7 +55,7 @@ def role_rejection(
             # Tests of the long text come last: most rows are gone before they run.
             .when(any_word(everything, rules.EXCLUDED_WORDS), "excluded_word")
             .when(any_word(everything, [f.lower() for f in filters.excluded_families]), "excluded_family")
-            .when(matches(everything, rules.EXPERIENCE_PATTERN), "experience")
+            .when(mentions_years & matches(everything, rules.EXPERIENCE_PATTERN), "experience")
             .when(~early, "no_early_career_signal")
         )
 
@@ -76,9 +78,10 @@ def us_signal(location: Column) -> Column:
     code = F.regexp_extract(location, rules.US_STATE_CODE_PATTERN, 1)
 
     def words(low: Column) -> Column:
-        return any_word(low, (*rules.US_WORDS, *rules.US_STATE_NAMES)) | low.isin(*rules.US_METRO_SHORTHANDS)
+        shorthand = F.array_contains(word_array(rules.US_METRO_SHORTHANDS), low)
+        return any_word(low, (*rules.US_WORDS, *rules.US_STATE_NAMES)) | shorthand
 
-    return bind(fold_hint(location), words) | code.isin(*rules.US_STATE_CODES)
+    return bind(fold_hint(location), words) | F.array_contains(word_array(rules.US_STATE_CODES), code)
 
 
 def non_us_signal(location: Column) -> Column:

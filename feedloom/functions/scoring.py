@@ -77,38 +77,28 @@ def role_tags(found: Column, remote: Column) -> Column:
 
 def required_years(text: Column) -> Column:
     """Largest plausible demand for years of experience, 0 without one."""
-
-    def values(group: int) -> Column:
-        # A group that took no part in the match comes back empty.
-        found = F.regexp_extract_all(text, F.lit(UNICODE + rules.REQUIRED_YEARS_PATTERN), F.lit(group))
-        return F.transform(F.filter(found, lambda v: v != ""), lambda v: v.cast("int"))
-
-    plausible = F.filter(F.concat(values(1), values(2)), lambda v: v <= rules.MAX_PLAUSIBLE_YEARS)
-    return F.coalesce(F.array_max(plausible), F.lit(0))
+    demands = F.regexp_extract_all(text, F.lit(UNICODE + "(" + rules.REQUIRED_YEARS_PATTERN + ")"), F.lit(1))
+    numbers = F.transform(demands, lambda d: F.regexp_extract(d, r"(\d{1,2})\+?\s+years?", 1).cast("int"))
+    largest = F.array_max(F.filter(numbers, lambda v: v <= rules.MAX_PLAUSIBLE_YEARS))
+    return F.when(any_word(text, rules.YEARS_GUARD), F.coalesce(largest, F.lit(0))).otherwise(F.lit(0))
 
 
 def scan(df: DataFrame, profile: rules.Profile) -> DataFrame:
     """Add ``found`` (text words), ``title_found``, ``years``, ``prefers_place``: the only full scans."""
-    text = job_text(F.col("title"), F.col("description_text"), F.col("location_text"))
-
-    def facts(row: Column) -> Column:
-        return F.struct(
-            words_found(row["text"], TEXT_WORDS).alias("found"), required_years(row["text"]).alias("years")
-        )
-
-    place = F.lower(F.coalesce(F.col("location_text"), F.lit("")))
-    preferred = [p.lower() for p in profile.preferred_locations]
-    scanned = materialize(
+    lowered = materialize(
         df,
-        text_facts=bind(F.struct(text.alias("text")), facts),
-        title_found=bind(F.lower(F.col("title")), lambda low: words_found(low, TITLE_WORDS)),
-        prefers_place=F.col("is_remote") | any_word(place, preferred),
-    )
-    return (
-        scanned.withColumn("found", F.col("text_facts.found"))
-        .withColumn("years", F.col("text_facts.years"))
-        .drop("text_facts")
+        _text=job_text(F.col("title"), F.col("description_text"), F.col("location_text")),
+        _title=F.lower("title"),
+        _place=F.lower(F.coalesce("location_text", F.lit(""))),
     )
+    preferred = [p.lower() for p in profile.preferred_locations]
+    return materialize(
+        lowered,
+        found=words_found("_text", TEXT_WORDS),
+        years=required_years(F.col("_text")),
+        title_found=words_found("_title", TITLE_WORDS),
+        prefers_place=F.col("is_remote") | any_word(F.col("_place"), preferred),
+    ).drop("_text", "_title", "_place")
 
 
 def fit_groups(profile: rules.Profile, tier: Column, matching: Column) -> list[tuple[str, Column]]:

@@ -8,8 +8,6 @@ a hundred times would then lower-case that text a hundred times.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +33,32 @@ def materialize(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*fields))))
 
 
+def word_array(words: Iterable[str]) -> Column:
+    """Literal array of words, built in one step."""
+    quoted = ["'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words]
+    return F.expr(f"array({', '.join(quoted)})") if quoted else F.expr("cast(array() as array<string>)")
+
+
 def any_word(text: Column, words: Iterable[str]) -> Column:
-    """True when at least one of the words occurs anywhere in the text (substring test)."""
-    tests = [text.contains(F.lit(word)) for word in words]
-    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+    """True when at least one of the words occurs anywhere in the text (substring test).
+
+    ``text`` should be a plain column or a bound value: it is read once per word, until one hits.
+    """
+    return F.exists(word_array(words), lambda word: text.contains(word))
 
 
-def words_found(text: Column, words: Iterable[str]) -> Column:
-    """The words that occur in the text, as an array: one scan per distinct word."""
-    distinct = list(dict.fromkeys(words))
-    return F.filter(F.array(*[F.lit(w) for w in distinct]), lambda word: text.contains(word))
+def words_found(column: str, words: Iterable[str]) -> Column:
+    """The words that occur in a text column, as an array: one compiled scan per distinct word."""
+    tests = []
+    for word in dict.fromkeys(words):
+        quoted = "'" + word.replace("'", "\\'") + "'"
+        tests.append(f"if(contains({column}, {quoted}), {quoted}, null)")
+    return F.expr(f"array_compact(array({', '.join(tests)}))")
 
 
 def has_any(found: Column, words: Iterable[str]) -> Column:
     """Rule test on an array made by ``words_found``."""
-    return F.arrays_overlap(found, F.array(*[F.lit(w) for w in words]))
+    return F.arrays_overlap(found, word_array(words))
 
 
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedloom import rules
-from feedloom.functions.text import bind, null_if_empty, strip, title_case
+from feedloom.functions.text import any_word, bind, null_if_empty, strip, title_case, word_array
 
 # scheme, authority, path and query of RFC 3986; never throws, unlike parse_url under ANSI mode.
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
@@ -52,7 +50,7 @@ def _query_pairs(query: Column) -> Column:
 
     def wanted(item: Column) -> Column:
         key = F.lower(item["k"])
-        return ~key.isin(*rules.TRACKING_KEYS) & ~key.startswith(rules.TRACKING_PREFIX)
+        return ~F.array_contains(word_array(rules.TRACKING_KEYS), key) & ~key.startswith(rules.TRACKING_PREFIX)
 
     pieces = F.filter(F.split(query, "&"), lambda piece: piece != "")
     return F.array_sort(F.filter(F.transform(pieces, pair), wanted))
@@ -172,9 +170,7 @@ def on_domain(url: Column, domains: Iterable[str]) -> Column:
 
 
 def looks_like_job_link(href: Column) -> Column:
-    low = F.lower(href)
-    tests = [low.contains(h) for h in (*rules.BOARD_LINK_HOSTS, *rules.JOB_LINK_PATHS)]
-    return reduce(lambda a, b: a | b, tests)
+    return bind(F.lower(href), lambda low: any_word(low, (*rules.BOARD_LINK_HOSTS, *rules.JOB_LINK_PATHS)))
 
 
 def resolve_link(base: Column, link: Column) -> Column:

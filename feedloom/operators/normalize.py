@@ -34,18 +34,20 @@ def normalize(collected: DataFrame) -> DataFrame:
         location_normalized=normalized_location(F.col("location_text")),
         is_remote=is_remote(F.col("location_text")),
     )
-    hashed = materialize(
-        place,
-        canonical_key=F.sha2("identity.primary_identity", 256),
-        description_hash=description_hash(F.col("description_text"), F.col("title")),
-        content_hash=content_hash(*[F.col(c) for c in ("company_name", "title", "location_text", "description_text", "apply_url")]),
-        job_details=job_details(
-            F.col("title"), F.col("description_text"), F.col("location_normalized"), F.col("is_remote")
-        ),
-    )
-    return hashed.select(
-        "*",
+    seen = [F.col(c) for c in ("company_name", "title", "location_text", "description_text", "apply_url")]
+    facts = job_details(F.col("title"), F.col("description_text"), F.col("location_normalized"), F.col("is_remote"))
+    kept = [c for c in collected.columns if c not in ("company_name", "title")]
+    return place.select(
+        *kept,
+        strip(F.col("company_name")).alias("company_name"),
+        strip(F.col("title")).alias("title"),
         title_slug(F.col("title")).alias("title_normalized"),
+        "location_normalized",
+        "is_remote",
         F.col("identity.normalized_url").alias("normalized_url"),
         F.col("identity.primary_identity").alias("primary_identity"),
-    ).withColumns({"company_name": strip(F.col("company_name")), "title": strip(F.col("title"))}).drop("identity")
+        F.sha2("identity.primary_identity", 256).alias("canonical_key"),
+        description_hash(F.col("description_text"), F.col("title")).alias("description_hash"),
+        content_hash(*seen).alias("content_hash"),
+        facts.alias("job_details"),
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.operators.normalize import normalize
-from feedloom.runtime import checkpoint_folder
+from feedloom.runtime import checkpoint_folder, spread
 
 AS_OF = "2024-02-10 00:00:00"
 AS_OF_EPOCH = 1707523200
@@ -123,9 +123,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, spread over the cores if it came as one block."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings derived from ``documents``; whole texts are kept."""
-    rows = table(spark, sf_dir, "documents").selectExpr(*[f"{sql} AS {name}" for name, sql in LISTING_SQL.items()])
+    rows = wide(spark, sf_dir, "documents", "doc_id").selectExpr(*[f"{sql} AS {name}" for name, sql in LISTING_SQL.items()])
     return rows.withColumn("confidence", F.col("confidence").cast("double")).withColumn(
         "posted_at", F.timestamp_seconds("posted_epoch")
     )

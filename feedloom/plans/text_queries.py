@@ -19,6 +19,7 @@ from feedloom.plans.testbed import (
     sql_list,
     sql_regex,
     table,
+    wide,
 )
 from feedloom.sources import html, pages
 
@@ -36,7 +37,7 @@ def register(name: str, sql: str | None = None):
 
 @register("normalized_page_urls", f"SELECT page_id, {normal_url_sql('url')['normal']} AS normalized_url FROM pages")
 def normalized_page_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("normalized_url"))
+    return wide(spark, sf_dir, "pages", "page_id").select("page_id", urls.normalize_url(F.col("url")).alias("normalized_url"))
 
 
 @register(
@@ -61,7 +62,7 @@ def listing_identities(spark, sf_dir):
     "(SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS slug FROM documents)",
 )
 def title_slugs(spark, sf_dir):
-    docs = text.materialize(table(spark, sf_dir, "documents").select("doc_id", "text"), slug=text.title_slug(F.col("text")))
+    docs = text.materialize(wide(spark, sf_dir, "documents", "doc_id").select("doc_id", "text"), slug=text.title_slug(F.col("text")))
     return docs.select("doc_id", F.length("slug").alias("slug_length"), F.md5("slug").alias("slug_digest"))
 
 
@@ -184,7 +185,7 @@ SELECT doc_id, CASE WHEN v = '' THEN 'No additional detail was available.'
 
 @register("readable_summaries", _SUMMARY_SQL)
 def readable_summaries(spark, sf_dir):
-    raw = table(spark, sf_dir, "documents").selectExpr(
+    raw = wide(spark, sf_dir, "documents", "doc_id").selectExpr(
         "doc_id", "'Fit ' || CAST(doc_id % 101 AS STRING) || '/100 - ' || replace(text, '.', ';') AS v"
     )
     return raw.select("doc_id", text.readable_summary(F.col("v"), "Fit").alias("summary"))
@@ -204,7 +205,7 @@ _LINK = "(?i)(" + rules.FREE_TEXT_URL_PATTERN + ")"
 )
 def links_in_documents(spark, sf_dir):
     docs = text.materialize(
-        table(spark, sf_dir, "documents").select("doc_id", "text"), links=text.links_in_text(F.col("text"))
+        wide(spark, sf_dir, "documents", "doc_id").select("doc_id", "text"), links=text.links_in_text(F.col("text"))
     )
     return docs.select(
         "doc_id",
@@ -222,7 +223,7 @@ def links_in_documents(spark, sf_dir):
     SELECT doc_id, coalesce(list_filter(lines, lambda l: {sql_any('lower(l)', rules.JOB_TERMS)})[1], lines[1], 'New Story') AS headline FROM t""",
 )
 def headlines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = wide(spark, sf_dir, "documents", "doc_id")
     return docs.select("doc_id", text.headline(F.col("text")).alias("headline"))
 
 
@@ -338,7 +339,7 @@ HINTS = ("tion", "heit", "de la", "the ")
     + ") AS with_hint FROM documents GROUP BY lang",
 )
 def hint_matches(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = wide(spark, sf_dir, "documents", "doc_id")
     hit = text.bind(text.fold_hint(F.col("text")), lambda low: text.any_word(low, HINTS))
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count_if(hit).alias("with_hint"))
 
@@ -352,7 +353,7 @@ BLOCKED = ("example.org", "example.net")
     "'^www\\.', ''), '(^|\\.)(example\\.org|example\\.net)$')",
 )
 def direct_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").filter(~urls.on_domain(F.col("url"), BLOCKED)).select("page_id", "url")
+    return wide(spark, sf_dir, "pages", "page_id").filter(~urls.on_domain(F.col("url"), BLOCKED)).select("page_id", "url")
 
 
 @register(
@@ -362,7 +363,7 @@ def direct_pages(spark, sf_dir):
     "min(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href) AS first_link FROM h GROUP BY page_id",
 )
 def resolved_page_links(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(
+    rows = wide(spark, sf_dir, "pages", "page_id").select(
         "page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")
     )
     links = text.materialize(rows, link=urls.resolve_link(F.col("url"), F.col("href")))
@@ -394,5 +395,5 @@ def split_titles(spark, sf_dir):
 
 @register("page_texts")
 def page_texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "pages").select("page_id", html.html_to_text("html").alias("text"))
+    docs = wide(spark, sf_dir, "pages", "page_id").select("page_id", html.html_to_text("html").alias("text"))
     return docs.select("page_id", F.length("text").alias("characters"), F.sha2("text", 256).alias("digest"))

@@ -272,6 +272,12 @@ DEADLINE_PATTERN = (
 )
 GRADUATION_PATTERN = r"\b(?:class\s+of|graduat(?:e|ing|ion)[^\d]{0,20})(20\d{2})\b"
 
+# A text without any of these words cannot match the pattern of the same name.
+SALARY_GUARD = ("$",)
+DEADLINE_GUARD = ("deadline", "apply")
+GRADUATION_GUARD = ("graduat", "class")
+YEARS_GUARD = ("year",)
+
 UNSPECIFIED = "Not specified"
 REMOTE_TEXT_WORDS = ("fully remote", "remote role")
 HYBRID_WORDS = ("hybrid",)
@@ -285,7 +291,8 @@ NO_SPONSOR_WORDS = (
     "without sponsorship now or in the future",
 )
 SPONSOR_WORDS = ("visa sponsorship available", "sponsorship is available", "will sponsor")
-MENTIONS_SPONSOR_WORDS = ("sponsor", "sponsorship")
+# Every sponsorship or clearance text above or below holds its "mentions" word.
+MENTIONS_SPONSOR_WORDS = ("sponsor",)
 CITIZEN_WORDS = (
     "must be a u.s. citizen",
     "must be a us citizen",

@@ -32,6 +32,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy per-row work at least one partition per core.
+
+    Files are cut by size, so a small or single-block table would keep one core busy. A table with
+    enough partitions, which is the normal case, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when the table was found to hold at most ``max_rows`` rows; reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows
