@@ -23,7 +23,7 @@ from feedloom.plans.testbed import (
 )
 
 PROFILE = rules.Profile(internships=("Intern at Acme", "Intern at Example"))
-THRESHOLDS = rules.Thresholds(digest_min_fit=20, high_signal_fit=40, top_priority_fit=65, alert_fit=70)
+THRESHOLDS = rules.Thresholds(digest_min_fit=20, high_signal_fit=40, top_priority_fit=65, alert_fit=60)
 QUERIES = {}
 
 
