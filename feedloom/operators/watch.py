@@ -70,13 +70,18 @@ def invalid_matches(classified: DataFrame, prefix: str = BOARD_PREFIX) -> DataFr
     return classified.filter(F.col("label").isNotNull() & ~F.col("url").startswith(prefix))
 
 
-def unseen(items: DataFrame, seen: DataFrame) -> DataFrame:
+def unseen(items: DataFrame, seen: DataFrame, few_items: bool = False) -> DataFrame:
     """Items whose key was never seen in their scope.
 
-    ``seen`` holds a key once per scope and an anti join keeps no pairs, so a hot scope only needs
-    its keys spread: the join is on (scope, key).
+    ``seen`` only grows, a batch stays small: with ``few_items`` (the caller counted the batch) the
+    batch keys are broadcast and ``seen`` is filtered where it lies; otherwise both sides meet on
+    (scope, key), which spreads a hot scope over its keys.
     """
-    return items.join(seen.select("scope", "key"), ["scope", "key"], "left_anti")
+    on = ["scope", "key"]
+    known = seen.select(*on)
+    if few_items:
+        known = known.join(F.broadcast(items.select(*on).distinct()), on, "left_semi")
+    return items.join(known, on, "left_anti")
 
 
 def item_key(scope: Column, key: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "scoring_queries", "state_queries", "source_queries")
+MODULES = ("text_queries", "scoring_queries", "state_queries", "source_queries", "watch_queries")
 
 
 def all_queries() -> dict:

@@ -245,7 +245,13 @@ def immediate_alerts(spark, sf_dir):
     return ranked(spark, sf_dir).filter(digest.alert_filter(THRESHOLDS.alert_fit)).select("doc_id", "fit_score", "recommendation")
 
 
-@register("alert_messages")
+@register(
+    "alert_messages",
+    f"""WITH {RANKED_CTE}, {identity_cte('ranked')} SELECT canonical_key, '[Listings] Immediate alert: ' || company_name || ' - ' || title AS subject,
+        array_to_string([company_name || ' | ' || title, 'Location: ' || coalesce(location_text, 'Unknown'), 'Fit: ' || fit_score, 'Difficulty: ' || difficulty_score,
+            'Apply: ' || apply_url, '', {_FIT_SENTENCE}, {_HARD_SENTENCE}], chr(10)) AS body
+    FROM identified WHERE lifecycle_state IN ('new', 'reopened') AND fit_score >= {THRESHOLDS.alert_fit} AND recommendation IN ('apply_now', 'apply_if_interested')""",
+)
 def alert_messages(spark, sf_dir):
     return digest.alerts(ranked(spark, sf_dir), THRESHOLDS)
 

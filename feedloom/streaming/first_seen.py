@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.operators.store import exists
 from feedloom.operators.watch import InvalidMatch, item_key, unseen
+from feedloom.runtime import fits_broadcast
 
 SEEN_DDL = "scope string, key string, first_seen_at timestamp, batch bigint"
 
@@ -66,10 +67,11 @@ def process_batch(
         raise InvalidMatch("a matching item is invalid; the batch is not delivered")
     # Deliveries and keys must stem from one reading of the batch, so it is written before use.
     staged = f"{folder}/staged/batch={batch_id}"
+    first = first_per_key(batch, order)
+    first.write.mode("overwrite").parquet(staged)
+    first = spark.read.schema(first.schema).parquet(staged)
     known = read_seen(spark, folder).filter(F.col("batch") != batch_id)
-    fresh = unseen(first_per_key(batch, order), known)
-    fresh.write.mode("overwrite").parquet(staged)
-    fresh = spark.read.schema(fresh.schema).parquet(staged)
+    fresh = unseen(first, known, few_items=fits_broadcast(first))
 
     wanted = fresh if relevant is None else fresh.filter(F.coalesce(relevant, F.lit(False)))
     if baseline:

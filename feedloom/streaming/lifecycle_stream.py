@@ -1,8 +1,8 @@
-"""Lifecycle of listings as a stream: daily sightings, then one small state per canonical key.
+"""Lifecycle of listings as two streams: daily sightings, then one small state per canonical key.
 
-Sightings of a key are first reduced to one per day, which is what a daily run sees. That step
-combines before its shuffle, so a key with a third of all sightings reaches the stateful step as
-one row per day and the state as three values.
+The first stream reduces the sightings of a key to one per day, which is what a daily run sees, and
+writes them to a table. It combines before its shuffle, so a key with a third of all sightings
+reaches the second, stateful stream as one row per day, and the state as three values.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ def daily_sightings(sightings: DataFrame, delay: str = "0 seconds") -> DataFrame
     )
 
 
-def lifecycle_stream(sightings: DataFrame, stale_days: int = rules.Limits.reopen_after_days) -> DataFrame:
-    """One row per key and day with its lifecycle."""
+def lifecycle_stream(daily: DataFrame, stale_days: int = rules.Limits.reopen_after_days) -> DataFrame:
+    """Lifecycle of every row of a stream of daily sightings."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, content, reopened = state.get if state.exists else (None, None, 0)
@@ -66,6 +66,6 @@ def lifecycle_stream(sightings: DataFrame, stale_days: int = rules.Limits.reopen
             }
         )
 
-    return daily_sightings(sightings).groupBy("canonical_key").applyInPandasWithState(
+    return daily.groupBy("canonical_key").applyInPandasWithState(
         step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
     )
