@@ -1,4 +1,4 @@
-"""Session-level helpers: lineage cuts and size-checked lookups."""
+"""Session-level helpers: shared scratch storage, partition counts and size-checked lookups."""
 
 from __future__ import annotations
 
@@ -13,23 +13,15 @@ SALTS = 32
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names; a temporary one only where none is set, in local mode."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="feedloom-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint()
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
