@@ -17,6 +17,7 @@ from feedloom.functions.text import (
     has_any,
     job_text,
     materialize,
+    quote,
     words_found,
 )
 
@@ -50,29 +51,41 @@ TITLE_WORDS = tuple(
 )
 
 
-def _points(condition: Column, points: int) -> Column:
-    return F.when(condition, F.lit(points)).otherwise(F.lit(0))
+# Rule groups are SQL texts over the scanned columns: one expression each, whatever their length.
 
 
-def skill_lists(found: Column, profile: rules.Profile, limit: int = 6) -> tuple[Column, Column]:
-    """First owned and first unowned catalog skills, in catalog order."""
+def _found(words) -> str:
+    return has_any("found", words)
 
-    def pick(owned: bool) -> Column:
-        names = [
-            F.when(has_any(found, words), F.lit(skill))
-            for skill, words in rules.SKILL_WORDS.items()
-            if (skill in profile.skills) == owned
-        ]
-        return F.slice(F.array_compact(F.array(*names)), 1, limit)
 
-    return pick(True), pick(False)
+def _points(condition: str, points: int) -> str:
+    return f"if({condition}, {points}, 0)"
+
 
+def _kept(texts: list[str]) -> str:
+    return f"array_compact(array({', '.join(texts)}))"
 
-def role_tags(found: Column, remote: Column) -> Column:
-    tags = [F.when(has_any(found, words), F.lit(tag)) for tag, words in rules.ROLE_TAG_WORDS.items()]
-    tags.append(F.when(remote, F.lit("remote")))
-    tags.append(F.when(has_any(found, rules.ENTRY_TAG_WORDS), F.lit("entry_level")))
-    return F.array_sort(F.array_compact(F.array(*tags)))
+
+def skill_list(owned: bool, profile: rules.Profile, limit: int = 6) -> Column:
+    """First catalog skills found that are owned, or not owned, in catalog order."""
+    names = [
+        f"if({_found(words)}, {quote(skill)}, null)"
+        for skill, words in rules.SKILL_WORDS.items()
+        if (skill in profile.skills) == owned
+    ]
+    return F.expr(f"slice({_kept(names)}, 1, {limit})")
+
+
+def role_tags(tier: str) -> Column:
+    """Role words, remote, entry level, priority company and reach, sorted."""
+    tags = [f"if({_found(words)}, {quote(tag)}, null)" for tag, words in rules.ROLE_TAG_WORDS.items()]
+    tags += [
+        "if(is_remote, 'remote', null)",
+        f"if({_found(rules.ENTRY_TAG_WORDS)}, 'entry_level', null)",
+        f"if({tier} = 1, 'priority_company', null)",
+        "if(difficulty_score >= 70, 'reach', null)",
+    ]
+    return F.expr(f"array_sort({_kept(tags)})")
 
 
 def required_years(text: Column) -> Column:
@@ -101,75 +114,67 @@ def scan(df: DataFrame, profile: rules.Profile) -> DataFrame:
     ).drop("_text", "_title", "_place")
 
 
-def fit_groups(profile: rules.Profile, tier: Column, matching: Column) -> list[tuple[str, Column]]:
+def fit_groups(tier: str) -> dict[str, str]:
     """Named point groups of the fit score, in the order in which they are explained."""
-    found, titles, years = F.col("found"), F.col("title_found"), F.col("years")
-    heavy = has_any(titles, rules.FIT_SENIOR_TITLE_WORDS) | (years >= 5)
-    return [
-        (
-            "role_match",
-            _points(has_any(found, rules.FIT_ROLE_WORDS), 22)
-            + _points(has_any(found, rules.FIT_FRONTEND_WORDS), 5)
-            + _points(has_any(found, rules.FIT_BACKEND_WORDS), 5),
-        ),
-        (
-            "graduation_match",
-            _points(has_any(found, rules.FIT_GRADUATE_WORDS), 15)
-            + F.when(F.array_contains(found, rules.FIT_COHORT_WORD), 5)
-            .when(has_any(found, rules.FIT_JUNIOR_YEARS_WORDS), 6)
-            .otherwise(0),
-        ),
-        ("entry_level_signal", _points(has_any(found, rules.FIT_ENTRY_WORDS), 8)),
-        ("skill_overlap", F.least(F.lit(18), F.size(matching) * 3)),
-        ("product_profile", _points(has_any(found, rules.FIT_PRODUCT_WORDS), 6)),
-        ("experience_signal", _points(has_any(found, rules.FIT_EXPERIENCE_WORDS), 2)),
-        ("location_match", _points(F.col("prefers_place"), 4)),
-        ("seniority_penalty", F.when(heavy, -35).when(years >= 2, -18).otherwise(0)),
-        ("seniority_match", F.when(heavy, 0).when(years >= 2, 0).otherwise(4)),
-        ("role_penalty", _points(has_any(found, rules.MISMATCH_WORDS), -40)),
-        ("brand_bonus", F.when(tier == 1, 3).when(tier == 2, 2).otherwise(0)),
-    ]
-
-
-def entry_floor(profile: rules.Profile) -> Column:
+    heavy = f"({has_any('title_found', rules.FIT_SENIOR_TITLE_WORDS)} or years >= 5)"
+    return {
+        "role_match": f"{_points(_found(rules.FIT_ROLE_WORDS), 22)} + {_points(_found(rules.FIT_FRONTEND_WORDS), 5)}"
+        f" + {_points(_found(rules.FIT_BACKEND_WORDS), 5)}",
+        "graduation_match": f"{_points(_found(rules.FIT_GRADUATE_WORDS), 15)} + case"
+        f" when array_contains(found, {quote(rules.FIT_COHORT_WORD)}) then 5"
+        f" when {_found(rules.FIT_JUNIOR_YEARS_WORDS)} then 6 else 0 end",
+        "entry_level_signal": _points(_found(rules.FIT_ENTRY_WORDS), 8),
+        "skill_overlap": "least(18, size(top_matching_skills) * 3)",
+        "product_profile": _points(_found(rules.FIT_PRODUCT_WORDS), 6),
+        "experience_signal": _points(_found(rules.FIT_EXPERIENCE_WORDS), 2),
+        "location_match": _points("prefers_place", 4),
+        "seniority_penalty": f"case when {heavy} then -35 when years >= 2 then -18 else 0 end",
+        "seniority_match": f"case when {heavy} or years >= 2 then 0 else 4 end",
+        "role_penalty": _points(_found(rules.MISMATCH_WORDS), -40),
+        "brand_bonus": f"case {tier} when 1 then 3 when 2 then 2 else 0 end",
+    }
+
+
+def entry_floor(profile: rules.Profile) -> str:
     """Lowest fit of a title that says it is entry level; 0 without such a title, null on a mismatch."""
-    titles = F.col("title_found")
-    target = F.col("title").contains(str(profile.graduation_year)) & has_any(titles, rules.FIT_TARGET_YEAR_ROLES)
     return (
-        F.when(has_any(F.col("found"), rules.MISMATCH_WORDS), F.lit(None).cast("int"))
-        .when(has_any(titles, rules.FIT_EXPLICIT_ENTRY_WORDS), 65)
-        .when(target, 60)
-        .otherwise(0)
+        f"case when {_found(rules.MISMATCH_WORDS)} then null"
+        f" when {has_any('title_found', rules.FIT_EXPLICIT_ENTRY_WORDS)} then 65"
+        f" when contains(title, '{profile.graduation_year}') and {has_any('title_found', rules.FIT_TARGET_YEAR_ROLES)} then 60"
+        " else 0 end"
     )
 
 
-def difficulty_groups(tier: Column, matching: Column, missing: Column) -> list[tuple[str, Column]]:
-    found = F.col("found")
-    return [
-        ("baseline", F.lit(25)),
-        (
-            "company_bar",
-            F.when(F.col("company_name").isin(*rules.HIGH_BAR_COMPANIES), 28)
-            .when(tier == 1, 14)
-            .when(tier == 2, 9)
-            .otherwise(0),
-        ),
-        ("niche_requirements", _points(has_any(found, rules.DIFFICULTY_NICHE_WORDS), 12)),
-        ("missing_skills", F.least(F.lit(20), F.size(missing) * 4)),
-        ("competition", _points(has_any(found, rules.DIFFICULTY_CROWD_WORDS), 10)),
-        ("interview_bar", _points(has_any(found, rules.DIFFICULTY_INTERVIEW_WORDS), 8)),
-        ("ambiguity", _points(has_any(found, rules.DIFFICULTY_VAGUE_WORDS), 5)),
-        ("match_discount", _points(F.size(matching) >= 5, -5)),
-    ]
+def difficulty_groups(tier: str) -> dict[str, str]:
+    """Named point groups of the difficulty score."""
+    high_bar = ", ".join(quote(c) for c in rules.HIGH_BAR_COMPANIES)
+    return {
+        "baseline": "25",
+        "company_bar": f"case when company_name in ({high_bar}) then 28 when {tier} = 1 then 14 when {tier} = 2 then 9 else 0 end",
+        "niche_requirements": _points(_found(rules.DIFFICULTY_NICHE_WORDS), 12),
+        "missing_skills": "least(20, size(missing_or_weaker_skills) * 4)",
+        "competition": _points(_found(rules.DIFFICULTY_CROWD_WORDS), 10),
+        "interview_bar": _points(_found(rules.DIFFICULTY_INTERVIEW_WORDS), 8),
+        "ambiguity": _points(_found(rules.DIFFICULTY_VAGUE_WORDS), 5),
+        "match_discount": _points("size(top_matching_skills) >= 5", -5),
+    }
+
+
+def _struct(groups: dict[str, str]) -> Column:
+    return F.expr("named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in groups.items()) + ")")
+
+
+def _total(column: str, groups: dict[str, str]) -> Column:
+    return F.expr(" + ".join(f"{column}.{name}" for name in groups))
 
 
 def _clip(score: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int")
 
 
-def _explain(groups: Column, labels: dict[str, str], names: list[str]) -> Column:
-    texts = [F.when(groups[name] > 0, F.lit(labels.get(name, name))) for name in names]
-    return F.array_join(F.array_compact(F.array(*texts)), "; ")
+def _explain(column: str, names: list[str], labels: dict[str, str]) -> Column:
+    texts = [f"if({column}.{name} > 0, {quote(labels.get(name, name))}, null)" for name in names]
+    return F.expr(f"array_join({_kept(texts)}, '; ')")
 
 
 def recommend(fit: Column, mismatch: Column) -> Column:
@@ -193,46 +198,34 @@ def score(df: DataFrame, profile: rules.Profile, tier: str = "company_tier") ->
 
     Needs title, description_text, location_text, is_remote, company_name and the tier column.
     """
-    tier_col = F.col(tier)
-    scanned = scan(df, profile)
-    matching, missing = skill_lists(F.col("found"), profile)
-    scanned = materialize(scanned, top_matching_skills=matching, missing_or_weaker_skills=missing)
-    matching, missing = F.col("top_matching_skills"), F.col("missing_or_weaker_skills")
-
-    fit = fit_groups(profile, tier_col, matching)
-    hard = difficulty_groups(tier_col, matching, missing)
+    scanned = materialize(
+        scan(df, profile),
+        top_matching_skills=skill_list(True, profile),
+        missing_or_weaker_skills=skill_list(False, profile),
+    )
+    fit, hard = fit_groups(tier), difficulty_groups(tier)
     grouped = materialize(
         scanned,
-        fit_parts=F.struct(*[c.alias(name) for name, c in fit]),
-        difficulty_parts=F.struct(*[c.alias(name) for name, c in hard]),
-        floor=entry_floor(profile),
-        mismatch=has_any(F.col("found"), rules.MISMATCH_WORDS),
+        fit_parts=_struct(fit),
+        difficulty_parts=_struct(hard),
+        floor=F.expr(entry_floor(profile)),
+        mismatch=F.expr(_found(rules.MISMATCH_WORDS)),
     )
-    raw_fit = sum((F.col("fit_parts")[name] for name, _ in fit), F.lit(0))
-    raw_hard = sum((F.col("difficulty_parts")[name] for name, _ in hard), F.lit(0))
+    raw_fit = _total("fit_parts", fit)
     lifted = F.when(F.col("floor") > raw_fit, F.col("floor") - raw_fit).otherwise(F.lit(0))
     scored = materialize(
         grouped,
         fit_groups=F.col("fit_parts").withField("explicit_entry_floor", lifted),
         fit_score=_clip(raw_fit + lifted),
-        difficulty_score=_clip(raw_hard),
+        difficulty_score=_clip(_total("difficulty_parts", hard)),
     )
-    fit_why = _explain(F.col("fit_groups"), rules.FIT_LABELS, [n for n, _ in fit] + ["explicit_entry_floor"])
-    hard_why = _explain(F.col("difficulty_parts"), rules.DIFFICULTY_LABELS, [n for n, _ in hard])
+    fit_why = _explain("fit_groups", [*fit, "explicit_entry_floor"], rules.FIT_LABELS)
+    hard_why = _explain("difficulty_parts", list(hard), rules.DIFFICULTY_LABELS)
 
     def sentence(kind: str, value: str, why: Column) -> Column:
         head = F.concat(F.lit(kind + " "), F.col(value).cast("string"), F.lit("/100 — "))
         return F.concat(head, F.when(why == "", "limited overlap with target profile").otherwise(why), F.lit("."))
 
-    tags = F.concat(
-        role_tags(F.col("found"), F.col("is_remote")),
-        F.array_compact(
-            F.array(
-                F.when(tier_col == 1, F.lit("priority_company")),
-                F.when(F.col("difficulty_score") >= 70, F.lit("reach")),
-            )
-        ),
-    )
     return scored.select(
         *df.columns,
         "fit_score",
@@ -242,7 +235,7 @@ def score(df: DataFrame, profile: rules.Profile, tier: str = "company_tier") ->
         sentence("Difficulty", "difficulty_score", hard_why).alias("difficulty_summary"),
         "top_matching_skills",
         "missing_or_weaker_skills",
-        F.array_sort(tags).alias("tags"),
+        role_tags(tier).alias("tags"),
         F.lit("heuristic").alias("scorer"),
         F.lit(0.78).alias("scorer_confidence"),
         F.col("fit_groups"),

@@ -33,9 +33,14 @@ def materialize(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*fields))))
 
 
+def quote(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def word_array(words: Iterable[str]) -> Column:
     """Literal array of words, built in one step."""
-    quoted = ["'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words]
+    quoted = [quote(w) for w in words]
     return F.expr(f"array({', '.join(quoted)})") if quoted else F.expr("cast(array() as array<string>)")
 
 
@@ -49,16 +54,13 @@ def any_word(text: Column, words: Iterable[str]) -> Column:
 
 def words_found(column: str, words: Iterable[str]) -> Column:
     """The words that occur in a text column, as an array: one compiled scan per distinct word."""
-    tests = []
-    for word in dict.fromkeys(words):
-        quoted = "'" + word.replace("'", "\\'") + "'"
-        tests.append(f"if(contains({column}, {quoted}), {quoted}, null)")
+    tests = [f"if(contains({column}, {quote(w)}), {quote(w)}, null)" for w in dict.fromkeys(words)]
     return F.expr(f"array_compact(array({', '.join(tests)}))")
 
 
-def has_any(found: Column, words: Iterable[str]) -> Column:
-    """Rule test on an array made by ``words_found``."""
-    return F.arrays_overlap(found, word_array(words))
+def has_any(column: str, words: Iterable[str]) -> str:
+    """SQL test on an array column made by ``words_found``."""
+    return f"arrays_overlap({column}, array({', '.join(quote(w) for w in words)}))"
 
 
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:

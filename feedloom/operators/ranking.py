@@ -132,8 +132,8 @@ def rank(
     if scorer is not None:
         external = external_scores(external_candidates(ranked, settings.limits), scorer)
         ranked = _external_then_feedback(ranked, external, weights)
-    # The earlier scores of only the ranked jobs are searched.
-    known = history.join(ranked.select("job_id"), "job_id", "left_semi")
+    # The earlier scores of only these jobs are searched; their keys do not need the scoring.
+    known = history.join(jobs.select("job_id"), "job_id", "left_semi")
     joined = ranked.join(previous_scores(known, run_id), "job_id", "left")
     return joined.withColumn(
         "prev_fit_score", F.when(F.col("lifecycle_state") != rules.NEW, F.col("prev_fit_score"))

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from feedloom import rules
 from feedloom.operators import dedupe, digest, enrichment, feedback, health, lifecycle, normalize, ranking, store
-from feedloom.schemas import STATE_DDL
+from feedloom.schemas import STATE_DDL, WEIGHTS_DDL
 from feedloom.sources import boards, markdown, outcomes, structured
 
 ATS_COLLECTOR = "ats"
@@ -192,7 +192,9 @@ def _run(spark, inputs, root, run_id, as_of, settings, scorer) -> dict:
 
     scores_path = f"{root}/scores"
     history = store.read_scores(spark, scores_path)
-    weights = feedback.feedback_weights(feedback.observations(state, history), settings.limits.feedback_min_samples)
+    learned = feedback.feedback_weights(feedback.observations(state, history), settings.limits.feedback_min_samples)
+    store.append_run(learned, f"{root}/weights", run_id)
+    weights = store.read_history(spark, f"{root}/weights", WEIGHTS_DDL).filter(F.col("run_id") == run_id).drop("run_id")
     if inputs.companies is not None:
         tiers = ranking.company_tiers(inputs.companies, settings.priority_companies)
     else:

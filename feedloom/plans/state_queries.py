@@ -398,20 +398,29 @@ _MODE = (
 DECIDED_CTE = DECIDED_CTE.replace("{mode}", _MODE)
 
 
-def _observed(spark, sf_dir):
-    rows = scored(spark, sf_dir).withColumn("job_id", F.col("doc_id").cast("string"))
+def _scored_table(spark, sf_dir):
+    """Scored listings at rest, as the run leaves them for the next one."""
+    path = scratch(spark, "scored")
+    rows = scored(spark, sf_dir).drop("fit_groups", "difficulty_groups", "normalized_url", "primary_identity", "content_hash")
+    rows.withColumn("job_id", F.col("doc_id").cast("string")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _weights(spark, sf_dir, rows):
     scores = rows.select(
         "job_id", F.lit("r1").alias("run_id"), F.lit(AS_OF).cast("timestamp").alias("created_at"), "tags", "top_matching_skills"
     )
     decided = rows.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn(
         "current_status", F.when(F.col("quality") == 1, "saved").otherwise("ignored")
     )
-    return feedback.observations(decided, scores)
+    path = scratch(spark, "weights")
+    feedback.feedback_weights(feedback.observations(decided, scores)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("feedback_weights", f"WITH {DECIDED_CTE} SELECT * FROM weights")
 def feedback_weights(spark, sf_dir):
-    return feedback.feedback_weights(_observed(spark, sf_dir))
+    return _weights(spark, sf_dir, _scored_table(spark, sf_dir))
 
 
 @register(
@@ -431,8 +440,8 @@ def feedback_weights(spark, sf_dir):
     FROM scored LEFT JOIN adj USING (doc_id)""",
 )
 def feedback_scores(spark, sf_dir):
-    weights = feedback.feedback_weights(_observed(spark, sf_dir))
-    rows = feedback.apply_feedback(scored(spark, sf_dir), weights, "doc_id")
+    stored = _scored_table(spark, sf_dir)
+    rows = feedback.apply_feedback(stored, _weights(spark, sf_dir, stored), "doc_id")
     return rows.select("doc_id", "fit_score", "recommendation", F.array_join("tags", ",").alias("tags"))
 
 

@@ -53,6 +53,8 @@ RUNS_DDL = """
     total_high_signal bigint, total_errors bigint, error string
 """
 
+WEIGHTS_DDL = "run_id string, dimension string, key string, weight bigint"
+
 HEALTH_DDL = """
     run_id string, source_name string, status string, total_available bigint,
     relevant_jobs bigint, error string

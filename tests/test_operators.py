@@ -174,6 +174,9 @@ def test_feedback(spark):
     before, after = rows.first(), feedback.apply_feedback(rows, weights).first()
     assert after.fit_score == min(100, before.fit_score + 10) and "feedback_adjusted" in after.tags
     assert feedback.feedback_weights(observed.limit(2)).count() == 0
+    in_row = feedback.adjusted(rows, weights.filter("dimension <> 'work_mode'"), bound=100).first().adjustment
+    joined = feedback.adjusted(rows, weights.filter("dimension <> 'work_mode'"), bound=100, max_catalog=1).first().adjustment
+    assert in_row == joined == 12
 
 
 def test_salted_lookup_equals_broadcast(spark):
