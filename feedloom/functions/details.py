@@ -12,7 +12,6 @@ from feedloom.functions.text import UNICODE_NOCASE, any_word, bind, collapse, nu
 def job_details(title: Column, description: Column, location: Column, remote: Column) -> Column:
     """Typed struct of the facts; texts that are absent stay null or ``Not specified``."""
     text = collapse(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title, description, location)]))
-    inputs = F.struct(text.alias("text"), F.lower(text).alias("low"), remote.alias("remote"))
     unspecified = F.lit(rules.UNSPECIFIED)
 
     def facts(row: Column) -> Column:
@@ -52,7 +51,11 @@ def job_details(title: Column, description: Column, location: Column, remote: Co
             found(rules.DEADLINE_GUARD, rules.DEADLINE_PATTERN, 1).alias("application_deadline"),
         )
 
-    return bind(inputs, facts)
+    def inputs(text: Column) -> Column:
+        return F.struct(text.alias("text"), F.lower(text).alias("low"), remote.alias("remote"))
+
+    # Two steps, so that the collapsed text is made once for both of its readings.
+    return bind(bind(text, inputs), facts)
 
 
 def detail_items(details: Column) -> Column:

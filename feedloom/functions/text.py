@@ -17,6 +17,12 @@ from feedloom import rules
 UNICODE = "(?U)"
 UNICODE_NOCASE = "(?iU)"
 
+# Fixed value: the characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``."""
@@ -69,7 +75,7 @@ def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def collapse(text: Column) -> Column:
