@@ -8,6 +8,7 @@ from feedloom import rules
 from feedloom.functions.details import detail_items
 from feedloom.functions.scoring import score
 from feedloom.operators import digest, ranking
+from feedloom.plans import text_queries
 from feedloom.plans.testbed import (
     AS_OF,
     AS_OF_EPOCH,
@@ -313,7 +314,24 @@ def listing_headers(spark, sf_dir):
     return ranked(spark, sf_dir).select("doc_id", text.alias("header"))
 
 
-@register("listing_blocks")
+def _two_sentences(why: str, default: str) -> str:
+    parts = f"list_transform(string_split(CASE WHEN {why} = '' THEN '{default}' ELSE {why} END, '; ')[1:2], lambda p: upper(p[1]) || p[2:] || '.')"
+    return f"array_to_string({parts}, ' ')"
+
+
+@register(
+    "listing_blocks",
+    f"""WITH facts AS ({text_queries.QUERIES['detail_items'][1]}), l AS ({QUERIES['score_labels'][1]}),
+    c AS ({QUERIES['cross_run_texts'][1]}), h AS ({QUERIES['listing_headers'][1]}),
+    s AS (WITH {LISTINGS_CTE}, {scored_cte()} SELECT doc_id, fit_score, difficulty_score, apply_url, owned, {_two_sentences('fit_why', 'limited overlap with target profile')} AS fit_text,
+        {_two_sentences('hard_why', '')} AS hard_text FROM scored)
+    SELECT doc_id, items, h.header || chr(10) || '  Recommendation: ' || advice || chr(10) || '  Match: ' || match_label || ' (' || fit_score || '/100) | Competition: '
+        || competition || ' (' || difficulty_score || '/100)' || chr(10) || '  Why it fits: ' || fit_text || chr(10) || '  Keep in mind: ' || hard_text || chr(10)
+        || '  Matching experience: ' || CASE WHEN len(owned) = 0 THEN 'general software engineering experience' ELSE array_to_string(owned[1:5], ', ') END
+        || CASE WHEN items <> '' THEN chr(10) || '  Details: ' || items ELSE '' END || chr(10) || '  Apply: ' || apply_url
+        || CASE WHEN history <> '' THEN chr(10) || '  Cross-analysis: ' || history ELSE '' END AS block
+    FROM s JOIN facts USING (doc_id) JOIN l USING (doc_id) JOIN c USING (doc_id) JOIN h USING (doc_id)""",
+)
 def listing_blocks(spark, sf_dir):
     return ranked(spark, sf_dir).select(
         "doc_id",
