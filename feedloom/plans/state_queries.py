@@ -150,7 +150,13 @@ _STATUS = "CASE doc_id % 7 WHEN 0 THEN 'saved' WHEN 1 THEN 'applied' WHEN 2 THEN
 
 
 def stored_state(spark, sf_dir):
-    """State of an earlier run, derived from the merged listings."""
+    """State of an earlier run at rest: derived from the merged listings, written and read back."""
+    path = scratch(spark, "stored")
+    _derived_state(spark, sf_dir).write.parquet(path)
+    return spark.read.schema(STATE_DDL).parquet(path)
+
+
+def _derived_state(spark, sf_dir):
     merged = dedupe.merge_duplicates(normalized(spark, sf_dir).filter(_STORED))
     legacy = F.concat(F.lit("legacy-"), F.col("doc_id").cast("string"))
     key = F.when(F.col("doc_id") % 11 == 0, legacy).otherwise(F.col("canonical_key"))
@@ -693,6 +699,6 @@ def score_history(spark, sf_dir):
 def snapshot_state(spark, sf_dir):
     """State written as a bucketed snapshot, published and read back through the pointer."""
     root = scratch(spark, "state")
-    store.stage_snapshot(stored_state(spark, sf_dir), root, 0, "canonical_key", 8)
+    store.stage_snapshot(_derived_state(spark, sf_dir), root, 0, "canonical_key", 8)
     store.publish(spark, root, 0, buckets=8, key="canonical_key")
     return store.read_state(spark, root).select("canonical_key", "job_id", "current_status")

@@ -431,7 +431,7 @@ _BARE_HTML = (
 
 @register(
     "page_texts",
-    f"""WITH u AS (SELECT page_id, replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS html FROM pages),
+    f"""WITH u AS (SELECT page_id, regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS html FROM pages),
     t AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split({_BARE_HTML}, {_BREAK}), lambda p: trim(p, chr(32)||chr(10)||chr(9)||chr(13))),
         lambda p: p <> ''), ' ') AS x FROM u)
     SELECT page_id, CAST(length(x) AS INT) AS characters, sha256(x) AS digest FROM t""",

@@ -53,7 +53,7 @@ def test_location_rule(spark, place, allowed):
         ("Software Engineer - New College Grad 2026", "", "", False),
         ("Software Engineer - New College Grad 2027", "", "", True),
         ("Software Engineer", "", "", False),
-        ("Software Engineer", "", "simplify_new_grad https://example.com/listings.json", True),
+        ("Software Engineer", "", "curated-new_grad https://example.com/listings.json", True),
         ("Advanced Support Engineer I", "Entry-level role", "", False),
         ("Technical Support Engineer", "New graduate role", "", False),
         ("Software Engineer I", "Build tools for technical support teams", "", True),
