@@ -196,7 +196,8 @@ def _fold_dots(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path, query untouched."""
     bare = F.regexp_extract(path, r"(?s)^([^?#]*)", 1)
     rest = F.regexp_extract(path, r"(?s)^[^?#]*(.*)$", 1)
-    segments = F.slice(F.split(bare, "/"), 2, 1_000_000)
+    # The path is absolute, so the piece before its first slash is empty.
+    segments = F.filter(F.split(bare, "/"), lambda _, i: i > 0)
 
     def step(kept: Column, segment: Column) -> Column:
         shorter = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))

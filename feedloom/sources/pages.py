@@ -48,7 +48,7 @@ def split_title(title: Column) -> Column:
                 ends, F.array(F.try_element_at(ends, F.lit(-1)) + F.length(piece) + 3)
             ),
         )
-        cuts = F.slice(offsets, 2, 1_000_000)
+        cuts = F.filter(offsets, lambda _, i: i > 0)
         placed = F.filter(cuts, lambda end: looks_like_place(F.substr(text, end + 1)))
         end = F.try_element_at(placed, F.lit(-1))
         return F.when(
