@@ -36,3 +36,11 @@ def ascii_lower(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of an id's decimal text, modulo n; null for a null id."""
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % n
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

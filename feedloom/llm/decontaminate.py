@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom import runtime
-from feedloom.llm.common import ascii_lower, landed, table
+from feedloom.llm.common import ascii_lower, landed, table, unused
 
 WINDOW = 10
 # Characters between words: all of ASCII but digits and lower-case letters (of lower-cased text).
@@ -188,34 +188,32 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     )
 
 
-def _with_hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """The documents with ``_hit``, null where nothing was found."""
-    found = landed(
-        contamination(docs, benchmark, n).select(
-            F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("hit").alias("_hit")
-        ),
-        "contaminated",
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (
-        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key")
+def _with_hits(docs: DataFrame, benchmark: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """The documents with one more column, the marked places, null where nothing was found."""
+    hit = unused(docs, "hit")
+    found = contamination(docs, benchmark, n).withColumnRenamed("hit", hit).drop("items")
+    found = landed(found, "contaminated")
+    same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["text_key"]
     )
     side = F.broadcast(found) if runtime.fits_broadcast(found) else found
-    return docs.join(side, same, "left").drop("_id", "_key")
+    return docs.join(side, same, "left").select(*[docs[c] for c in docs.columns], found[hit]), hit
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """The documents without a single marked word, all columns kept."""
-    return _with_hits(docs, benchmark, n).where(F.col("_hit").isNull()).drop("_hit")
+    joined, hit = _with_hits(docs, benchmark, n)
+    return joined.where(F.col(hit).isNull()).drop(hit)
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """All documents, without their marked words and the characters that follow each of these."""
-    joined = _with_hits(docs, benchmark, n)
+    joined, hit = _with_hits(docs, benchmark, n)
     parts = F.regexp_extract_all("text", F.lit(f"{WORD_ANY}{BETWEEN_ANY[:-1]}*"), F.lit(0))
     lead = F.regexp_extract("text", f"^{BETWEEN_ANY}", 0)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_hit")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), hit)
     kept = F.concat(lead, F.array_join(F.transform(left, lambda i: F.get(parts, i)), ""))
-    return joined.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(kept)).drop("_hit")
+    return joined.withColumn("text", F.when(F.col(hit).isNull(), F.col("text")).otherwise(kept)).drop(hit)
 
 
 SQL = """

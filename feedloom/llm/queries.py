@@ -6,6 +6,7 @@ import importlib
 
 # Module and query of each operator.
 OPERATORS = (
+    ("simhash", "op7_simhash"),
     ("decontaminate", "op9_decontaminate"),
 )
 
