@@ -57,7 +57,8 @@ def _runs(found: Column, size: int) -> Column:
     last = F.size(found) - size
     return F.when(
         last >= 0,
-        F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(found, i + 1, size), " ")),
+        # Word by word: slice() would copy the whole array for every run.
+        F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws(" ", *[F.get(found, i + k) for k in range(size)])),
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -67,8 +68,9 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     whole = items.where(F.size("found") < n).select(
         "item_id", F.size("found").alias("size"), F.array_join("found", " ").alias("gram")
     )
+    # Outer, as a plain explode makes a filter of its input that is pushed down and computes it twice.
     longer = items.where(F.size("found") >= n).select(
-        "item_id", F.lit(n).alias("size"), F.explode(_runs(F.col("found"), n)).alias("gram")
+        "item_id", F.lit(n).alias("size"), F.explode_outer(_runs(F.col("found"), n)).alias("gram")
     )
     return whole.unionByName(longer).distinct()
 
@@ -93,9 +95,8 @@ def _scan(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
     known = None
     for size in sizes:
         # The runs of a window are runs of its item; taking them from windows keeps to what can occur.
-        runs = grams.where(F.col("size") == size).select(
-            F.explode(_runs(F.split(_loose(F.col("gram")), " "), _block(size))).alias("block")
-        )
+        split = grams.where(F.col("size") == size).select(F.split(_loose(F.col("gram")), " ").alias("split"))
+        runs = split.select(F.explode_outer(_runs(F.col("split"), _block(size))).alias("block"))
         known = runs if known is None else known.unionByName(runs)
     loose = _identity(docs).select("doc_id", "text_key", _loose(F.col("text")).alias("loose"))
     # Every space of the joined words stands between two of them.
@@ -103,7 +104,9 @@ def _scan(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
     counted = F.when(F.col("loose") == "", 0).otherwise(spaces + 1).cast("long").alias("n_words")
     cut = [F.expr(f"regexp_extract_all(loose, '[^ ]++(?: [^ ]++){{{b - 1}}}', 0)") for b in blocks]
     pieces = F.concat(*cut) if cut else F.array().cast("array<string>")
-    rows = loose.select("doc_id", "text_key", counted, F.posexplode_outer(pieces).alias("at", "block"))
+    # Count and cut first: what stands beside an explode is copied, or computed, for each of its rows.
+    cuts = loose.select("doc_id", "text_key", counted, pieces.alias("pieces"))
+    rows = cuts.select("doc_id", "text_key", "n_words", F.posexplode_outer("pieces").alias("at", "block"))
     if known is None:
         rows = rows.withColumn("seen", F.lit(False))
     else:
@@ -133,8 +136,9 @@ def _verify(docs: DataFrame, grams: DataFrame, sizes: list[int], candidates: Dat
             lambda gram, at: F.struct(at.alias("at"), F.lit(size).alias("size"), gram.alias("gram")),
         )
 
-    every = F.explode(F.concat(*[windows_of(size) for size in sizes])).alias("w")
-    windows = read.select("doc_id", "text_key", every).select("doc_id", "text_key", "w.*")
+    every = F.concat(*[windows_of(size) for size in sizes]).alias("every")
+    windows = read.select("doc_id", "text_key", every).select("doc_id", "text_key", F.explode_outer("every").alias("w"))
+    windows = windows.select("doc_id", "text_key", "w.*")
     named = grams.groupBy("gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("names"))
     # Sets of places are bounded by the length of a text, sets of items by the benchmark.
     marked = (
