@@ -8,20 +8,20 @@ For the children of a node this is a water level. Sorted by capacity over weight
 ``capacity_i * W <= (budget - C) * weight_i``, where C is the capacity before it and W the weight from it on;
 the others share the rest by weight, rounded down. All of it is whole-number arithmetic.
 
-Selection. Epoch e of a leaf is its documents in the order of a hash of (seed, e, doc_id, text). A leaf with
+Selection. Epoch e of a leaf is its documents in the order of a hash of (seed, e, doc_id). A leaf with
 budget b and T tokens takes b div T whole epochs and, of the next one, the prefix of documents whose first
 token lies below b mod T. So a document comes once for each epoch that holds it; the last one overshoots by less
 than its own length.
 
 Scale. Documents are never sorted or shuffled with their text. Their tokens are summed per leaf and slice of the
 hash range, ahead of the shuffle; running sums over the slices of a leaf show the one slice where the prefix
-ends, and only that slice (one in ``SLICES`` of a leaf) is ordered document by document, in a group of its own.
+ends, and only that slice (one in 4096 of a leaf) is ordered document by document, in a group of its own.
 What remains is one row per leaf, with the last hash taken, and a filter per document. Leaves are counted;
 they are broadcast up to ``runtime.BROADCAST_ROWS`` and joined by a shuffle that splits hot keys beyond.
 
 Defined cases: a null language or source is the leaf ``none``; a document without words (or null) has no tokens, adds
 nothing to a budget and is taken with an epoch if its place lies in it; a leaf without tokens gets no budget and
-gives no rows; rows that agree in doc_id and text have one place in an epoch and are taken together; a weight that is
+gives no rows; rows with the same doc_id (or none) have one place in an epoch and are taken together; a weight that is
 not listed is 1, a weight of 0 excludes; an empty table gives an empty one. Other columns are kept.
 """
 
@@ -30,14 +30,15 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom import runtime
-from feedloom.llm.common import landed, table, unused
+from feedloom.llm.common import landed, table
 
-SLICES = 4096
-SPACE = r"[\x20\x09-\x0D]+"
+# Hex digits of a place that name its slice: a leaf has 16 ** 3 = 4096 slices.
+SLICE_DIGITS = 3
 LEVELS = ("domain", "lang", "source")
 
 
@@ -77,10 +78,15 @@ PRODUCTION = Mix(
 )
 
 
+@F.pandas_udf("long")
+def _count(texts: pd.Series) -> pd.Series:
+    # bytes are split at ASCII white space
+    return pd.Series([len(text.split()) for text in texts], dtype="int64")
+
+
 def token_count(text: Column) -> Column:
     """Words between ASCII white space; 0 for null."""
-    inner = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}|{SPACE}$", "")
-    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, SPACE))).cast("long")
+    return _count(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def _mapped(values: Mapping[str, object], key: Column, other: object) -> Column:
@@ -90,27 +96,21 @@ def _mapped(values: Mapping[str, object], key: Column, other: object) -> Column:
     return F.coalesce(pairs[key], F.lit(other))
 
 
-def _placed(docs: DataFrame, mix: Mix) -> DataFrame:
-    """(domain, lang, source, tokens, text_key, doc_id): what planning needs of a document."""
+def _leaf(docs: DataFrame, mix: Mix) -> list[Column]:
     source = F.coalesce(docs["source"].cast("string"), F.lit("none"))
     lang = F.coalesce(docs["lang"].cast("string"), F.lit("none"))
-    return docs.select(
+    return [
         _mapped(mix.domains, source, mix.other_domain).alias("domain"),
         lang.alias("lang"),
         source.alias("source"),
-        token_count(docs["text"]).alias("tokens"),
         docs["doc_id"],
-        F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_key"),
-    )
+    ]
 
 
-def _order(mix: Mix, epoch: Column, doc_id: Column, text_key: Column) -> Column:
-    return F.xxhash64(F.lit(mix.seed), epoch.cast("long"), doc_id, text_key)
-
-
-def _whole(numerator: Column, denominator: Column) -> Column:
-    """Quotient of whole decimals, rounded down."""
-    return F.expr("(n - mod(n, d)) / d") if False else (numerator - numerator % denominator) / denominator
+def _place(mix: Mix) -> Column:
+    """Place of a document in the epoch that its leaf takes in part; equal for equal ids."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epochs").cast("string"), named))
 
 
 def _share(nodes: DataFrame, parent: list[str], child: str) -> DataFrame:
@@ -121,66 +121,46 @@ def _share(nodes: DataFrame, parent: list[str], child: str) -> DataFrame:
     by = Window.partitionBy(*parent).orderBy(ratio, child)
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     after = by.rowsBetween(0, Window.unboundedFollowing)
-    levels = nodes.select(
-        "*",
-        F.coalesce(F.sum("capacity").over(before), F.lit(0)).cast(exact).alias("c"),
-        F.sum("weight").over(after).cast(exact).alias("w"),
-    )
-    rest = F.greatest(F.col("budget").cast(exact) - F.col("c"), F.lit(0).cast(exact))
-    full = F.col("capacity").cast(exact) * F.col("w") <= rest * F.col("weight").cast(exact)
-    levels = levels.select("*", full.alias("full"))
+    exact_sum = lambda column, window: F.coalesce(F.sum(column).over(window), F.lit(0)).cast(exact)
+    levels = nodes.withColumns({"c": exact_sum("capacity", before), "w": exact_sum("weight", after)})
+    fits = F.expr(f"CAST(capacity AS {exact}) * w <= greatest(budget - c, CAST(0 AS {exact})) * weight")
+    levels = levels.withColumn("full", fits)
     whole = Window.partitionBy(*parent)
-    taken = F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(whole), F.lit(0)).cast(exact)
-    open_weight = F.sum(F.when(~F.col("full"), F.col("weight"))).over(whole).cast(exact)
-    parts = (F.col("budget").cast(exact) - taken) * F.col("weight").cast(exact)
-    # Whole-number division: the remainder goes before the division, so the quotient is exact.
-    part = ((parts - parts % open_weight) / open_weight).cast("long")
-    return levels.select(
-        *parent,
-        child,
-        F.when(F.col("full"), F.col("capacity")).otherwise(F.least(part, F.col("capacity"))).alias("budget"),
+    levels = levels.withColumns(
+        {
+            "taken": exact_sum(F.when(F.col("full"), F.col("capacity")), whole),
+            "open": exact_sum(F.when(~F.col("full"), F.col("weight")), whole),
+        }
     )
+    part = F.least(F.expr("((budget - taken) * weight) div open"), F.col("capacity"))
+    return levels.select(*parent, child, F.when(F.col("full"), F.col("capacity")).otherwise(part).alias("budget"))
 
 
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """(domain, lang, source, tokens, budget) from (domain, lang, source, tokens), one row per leaf."""
-    leaves = leaves.withColumn("capacity", F.col("tokens") * mix.max_epochs)
-    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
-    budget = F.floor(F.col("all_tokens") * mix.budget_num / mix.budget_den).cast("long")
-    shares, parent = total.select(budget.alias("budget")), []
+    leaves = leaves.withColumns({"root": F.lit(0), "capacity": F.col("tokens") * mix.max_epochs})
+    budget = F.expr(f"coalesce(sum(tokens), 0) * {mix.budget_num} div {mix.budget_den}")
+    shares, parent = leaves.groupBy("root").agg(budget.alias("budget")), ["root"]
     for level in LEVELS:
         nodes = leaves.groupBy(*parent, level).agg(F.sum("capacity").alias("capacity"))
         nodes = nodes.withColumn("weight", _mapped(mix.weights(level), F.col(level), 1).cast("long"))
-        nodes = nodes.crossJoin(F.broadcast(shares)) if not parent else nodes.join(shares, parent)
-        # A node cannot take more than it can hold; the root's budget may be more.
-        shares = _share(nodes, parent or [F.lit(0)], level) if parent else _share_root(nodes, level)
+        shares = _share(nodes.join(shares, parent), parent, level)
         parent = [*parent, level]
     return leaves.join(shares, parent).select(*LEVELS, "tokens", "budget")
 
 
-def _share_root(nodes: DataFrame, level: str) -> DataFrame:
-    return _share(nodes.withColumn("root", F.lit(0)), ["root"], level).drop("root")
-
-
 def plan(docs: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     """Documents without their text, and per leaf: tokens, budget, epochs, last hash taken of the next epoch."""
-    placed = landed(_placed(docs, mix), "placed")
-    leaves = landed(placed.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
+    placed = landed(docs.select(*_leaf(docs, mix), token_count(docs["text"]).alias("n")), "placed")
+    leaves = landed(placed.groupBy(*LEVELS).agg(F.sum("n").alias("tokens")), "leaves")
     shared = landed(budgets(leaves, mix), "budgets").where("budget > 0 AND tokens > 0")
-    shared = shared.select(
-        *LEVELS,
-        "tokens",
-        "budget",
-        F.expr("budget div tokens").alias("epochs"),
-        F.expr("budget % tokens").alias("rest"),
+    shared = shared.selectExpr(
+        *LEVELS, "tokens", "budget", "budget div tokens AS epochs", "budget % tokens AS rest"
     )
-    small = runtime.fits_broadcast(shared)
-    rows = placed.drop("tokens").withColumn("n", placed["tokens"])
-    rows = rows.join(F.broadcast(shared) if small else shared, list(LEVELS))
-    rows = rows.withColumn("place", _order(mix, F.col("epochs"), F.col("doc_id"), F.col("text_key")))
-    # The hash as a number from 0 up, cut into slices.
-    rows = rows.withColumn("slice", F.expr("CAST((place >> 32) + 2147483648 AS BIGINT)") * SLICES / 2**32)
-    rows = rows.withColumn("slice", F.floor("slice").cast("int"))
+    side = F.broadcast(shared) if runtime.fits_broadcast(shared) else shared
+    rows = placed.join(side, list(LEVELS)).withColumn("place", _place(mix))
+    # The first digits of a place are its slice.
+    rows = rows.withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
     sums = rows.groupBy(*LEVELS, "slice").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"))
     by = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(by), F.lit(0)))
@@ -198,38 +178,80 @@ def plan(docs: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
 
 def _copies(mix: Mix) -> Column:
     """How often a document is taken, from its leaf's ``epochs`` and ``last``."""
-    place = _order(mix, F.col("epochs"), F.col("doc_id"), F.col("text_key"))
-    more = F.col("last").isNotNull() & (place <= F.col("last"))
+    more = F.col("last").isNotNull() & (_place(mix) <= F.col("last"))
     return (F.col("epochs") + more.cast("long")).alias("copies")
 
 
+def _chosen(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+    side = chosen.select(*LEVELS, "epochs", "last")
+    return rows.join(F.broadcast(side) if runtime.fits_broadcast(side) else side, list(LEVELS), how)
+
+
 def counted(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     """(doc_id, domain, lang, source, tokens, copies) of every document, copies 0 where it is left out."""
     placed, chosen = plan(docs, mix)
-    side = chosen.select(*LEVELS, "epochs", "last")
-    rows = placed.join(F.broadcast(side) if runtime.fits_broadcast(side) else side, list(LEVELS), "left")
-    return rows.select("doc_id", *LEVELS, "tokens", F.coalesce(_copies(mix), F.lit(0)).cast("long").alias("copies"))
+    copies = F.coalesce(_copies(mix), F.lit(0)).cast("long").alias("copies")
+    return _chosen(placed, chosen, "left").select("doc_id", *LEVELS, F.col("n").alias("tokens"), copies)
 
 
 def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     """The mixture: every taken document, once per epoch that holds it, with all its columns."""
     _, chosen = plan(docs, mix)
-    source = F.coalesce(docs["source"].cast("string"), F.lit("none"))
-    lang = F.coalesce(docs["lang"].cast("string"), F.lit("none"))
-    packed = unused(docs, "packed")
-    rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias(packed),
-        _mapped(mix.domains, source, mix.other_domain).alias("domain"),
-        lang.alias("lang"),
-        source.alias("source"),
-        docs["doc_id"],
-        F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_key"),
-    )
-    side = chosen.select(*LEVELS, "epochs", "last")
-    rows = rows.join(F.broadcast(side) if runtime.fits_broadcast(side) else side, list(LEVELS))
-    rows = rows.select(packed, _copies(mix)).where("copies > 0")
-    rows = rows.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return rows.select(*[F.col(packed)[c].alias(c) for c in docs.columns])
+    packed = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("packed")
+    rows = _chosen(docs.select(*_leaf(docs, mix), packed), chosen, "inner")
+    taken = rows.select("packed", _copies(mix)).where("copies > 0")
+    taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return taken.select(*[F.col(f"packed.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _case(values: Mapping[str, object], column: str, other: object) -> str:
+    shown = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
+    whens = "".join(f" WHEN '{key}' THEN {shown(value)}" for key, value in values.items())
+    return f"CASE {column}{whens} ELSE {shown(other)} END" if values else shown(other)
+
+
+def _share_sql(name: str, parent: str, children: str, level: str, weights: Mapping[str, int]) -> str:
+    """One level of the budget as SQL: ``name`` from the table ``parent`` of shares."""
+    keys, own = ", ".join(children.split()), ", ".join([*children.split(), level])
+    return f"""
+{name}_n AS (SELECT {own}, sum(capacity) AS capacity, {_case(weights, level, 1)} AS weight FROM leaves GROUP BY {own}),
+{name}_l AS (SELECT n.*, budget, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w,
+   coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+   FROM {name}_n n JOIN {parent} USING ({keys}) WHERE weight > 0
+   WINDOW w AS (PARTITION BY {keys} ORDER BY floor(CAST(capacity AS DOUBLE) * 1e6 / weight), {level})),
+{name}_f AS (SELECT *, capacity * w <= greatest(budget - c, 0) * weight AS is_full FROM {name}_l),
+{name}_t AS (SELECT *, coalesce(sum(CASE WHEN is_full THEN capacity END) OVER p, 0) AS taken,
+   coalesce(sum(CASE WHEN NOT is_full THEN weight END) OVER p, 0) AS free FROM {name}_f WINDOW p AS (PARTITION BY {keys})),
+{name} AS (SELECT {own}, CASE WHEN is_full THEN capacity
+   ELSE least(((budget - taken) * weight) // greatest(free, 1), capacity) END AS budget FROM {name}_t),"""
+
+
+def mix_sql(mix: Mix) -> str:
+    """``counted`` as SQL."""
+    return f"""
+WITH d AS (SELECT doc_id, {_case(mix.domains, "source", mix.other_domain)} AS domain, lang, source, tokens
+   FROM (SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+      CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents)),
+leaves AS (SELECT 0 AS root, domain, lang, source, CAST(sum(tokens) AS HUGEINT) AS tokens,
+   CAST(sum(tokens) AS HUGEINT) * {mix.max_epochs} AS capacity FROM d GROUP BY domain, lang, source),
+top AS (SELECT 0 AS root, coalesce(sum(tokens), 0) * {mix.budget_num} // {mix.budget_den} AS budget FROM leaves),
+{_share_sql("s1", "top", "root", "domain", mix.domain_weights)}
+{_share_sql("s2", "s1", "root domain", "lang", mix.lang_weights)}
+{_share_sql("s3", "s2", "root domain lang", "source", mix.source_weights)}
+chosen AS (SELECT domain, lang, source, budget // tokens AS epochs, budget % tokens AS rest
+   FROM leaves JOIN s3 USING (domain, lang, source) WHERE budget > 0 AND tokens > 0),
+places AS (SELECT d.*, epochs, rest,
+   md5('{mix.seed}:' || CAST(epochs AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place
+   FROM d LEFT JOIN chosen USING (domain, lang, source)),
+starts AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place
+   RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS start FROM places)
+SELECT doc_id, domain, lang, source, tokens,
+   CAST(CASE WHEN epochs IS NULL THEN 0 ELSE epochs + CASE WHEN start < rest THEN 1 ELSE 0 END END AS BIGINT) AS copies
+FROM starts
+"""
+
+
+SQL = mix_sql(PRODUCTION)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

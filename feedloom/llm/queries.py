@@ -6,6 +6,7 @@ import importlib
 
 # Module and query of each operator.
 OPERATORS = (
+    ("mixing", "op1_mixing"),
     ("secrets", "op2_secrets"),
     ("simhash", "op7_simhash"),
     ("decontaminate", "op9_decontaminate"),
