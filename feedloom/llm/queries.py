@@ -6,6 +6,7 @@ import importlib
 
 # Module and query of each operator.
 OPERATORS = (
+    ("token_output", "op10_token_output"),
     ("mixing", "op1_mixing"),
     ("secrets", "op2_secrets"),
     ("simhash", "op7_simhash"),
