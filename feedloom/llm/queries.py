@@ -6,6 +6,7 @@ import importlib
 
 # Module and query of each operator.
 OPERATORS = (
+    ("toxicity", "op8_toxicity"),
     ("langid", "op3_language_id"),
     ("url_filter", "op5_url_filter"),
     ("token_output", "op10_token_output"),
