@@ -12,7 +12,8 @@ its ends.
 
 Score. The evidence of a hit is the log-odds of its term at its number of edits, plus the log-odds of its context: whether
 it stands inside quotation marks, and whether another hit stands within ``WINDOW`` words. A logistic
-model over a text's strongest hit, the sum of its hits and their number gives the score.
+model over a text's strongest hit, the number and sum of its hits (a word counts once) and the sum for its length
+gives the score.
 
 Training uses rows with crc32(doc_id) mod 3 other than 1, distinct texts, in a hash sample of ``sample_toxic`` toxic and
 ``sample_clean`` clean ones in expectation; clean ones are weighted to their true share. The driver gets candidate
@@ -41,7 +42,7 @@ from feedloom.llm.common import crc_mod, landed, table
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 6_000
 ROUNDS, CANDIDATES = 8, 400
 LEAST_TEXTS, LEAST_ODDS = 5, 20.0
-STEM_FROM, STEM_TO, STEM_WORDS = 4, 10, 3
+STEM_FROM, STEM_TO = 4, 10
 WINDOW = 10
 THRESHOLD = 0.7
 REMEMBERED = 400_000
@@ -182,8 +183,11 @@ class Reader:
     def __init__(self, terms: list[Term]):
         self.matcher, self.known = Matcher(terms), {}
 
-    def hits(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(term, edits, quoted, near another hit) of every hit."""
+    def hits(self, text: str | None) -> tuple[list[tuple[int, int, int, int]], int]:
+        """(term, edits, quoted, near another hit) of every distinct word that hits, and the number of words.
+
+        Of the places of a word, one outside quotation marks and near another hit counts first.
+        """
         tokens = (text or "").lower().split()
         if len(self.known) > REMEMBERED:
             self.known = {}
@@ -192,11 +196,13 @@ class Reader:
             if token not in known:
                 known[token] = self.matcher.match(_plain(token))
         found = [(at, known[token]) for at, token in enumerate(tokens) if known[token] is not None]
-        out = []
+        best: dict[str, tuple[int, int, int, int]] = {}
         for i, (at, (edits, term)) in enumerate(found):
             near = i > 0 and at - found[i - 1][0] <= WINDOW or i + 1 < len(found) and found[i + 1][0] - at <= WINDOW
-            out.append((term, edits, int(self.quoted(tokens, at)), int(near)))
-        return out
+            hit, word = (term, edits, int(self.quoted(tokens, at)), int(near)), _plain(tokens[at])
+            if word not in best or (-hit[2], hit[3]) > (-best[word][2], best[word][3]):
+                best[word] = hit
+        return list(best.values()), len(tokens)
 
     def quoted(self, tokens: list[str], at: int) -> bool:
         """An opening quotation mark is the last one before the word, a closing one follows, both in the window."""
@@ -212,19 +218,20 @@ class Model:
     evidence: dict[tuple[int, int], float] = field(default_factory=dict)  # (term, edits)
     quoted: float = 0.0
     near: float = 0.0
-    weights: np.ndarray = field(default_factory=lambda: np.array([-30.0, 0.0, 0.0, 0.0]))
-
-    def features(self, hits: list[tuple[int, int, int, int]]) -> tuple[float, float, float]:
-        """Strongest hit, sum of the best hit of each term, number of hits; the latter two on a log scale."""
-        best: dict[int, float] = {}
-        for term, edits, quoted, near in hits:
-            value = self.evidence.get((term, edits), 0.0) + quoted * self.quoted + near * self.near
-            best[term] = max(best.get(term, -9.0), value)
-        kept = [max(0.0, value) for value in best.values()]
-        return max(kept, default=0.0), math.log1p(sum(kept)), math.log1p(sum(1 for value in kept if value > 1.0))
-
-    def score(self, hits: list[tuple[int, int, int, int]]) -> float:
-        value = float(self.weights[0] + self.weights[1:] @ np.array(self.features(hits)))
+    weights: np.ndarray = field(default_factory=lambda: np.array([-30.0, 0.0, 0.0, 0.0, 0.0]))
+
+    def features(self, hits: list[tuple[int, int, int, int]], n_words: int) -> tuple[float, ...]:
+        """Strongest hit, number of hits, their sum, and the sum for the length; the latter three on log scales."""
+        values = [
+            self.evidence.get((term, edits), 0.0) + quoted * self.quoted + near * self.near
+            for term, edits, quoted, near in hits
+        ]
+        kept = [value for value in values if value > 0]
+        total = sum(kept)
+        return max(kept, default=0.0), math.log1p(len(kept)), math.log1p(total), math.log1p(100 * total / (n_words + 20))
+
+    def score(self, hits: list[tuple[int, int, int, int]], n_words: int) -> float:
+        value = float(self.weights[0] + self.weights[1:] @ np.array(self.features(hits, n_words)))
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, value))))
 
 
@@ -257,18 +264,15 @@ def _lexicon(words: DataFrame, n_toxic: int, n_clean: int) -> list[Term]:
         F.lit(True).alias("stem"),
         "word",
     ).where("length(word) > length(key)")
-    keys = landed(whole.unionByName(stems), "term-candidates")
+    # A text uses a stem if two of its words have it: by chance, one may.
+    keys = whole.unionByName(stems).groupBy("text_id", "toxic", "key", "stem").agg(F.count("*").alias("words"))
+    keys = landed(keys.where("NOT stem OR words > 1").drop("words"), "term-candidates")
     terms: list[Term] = []
     left = keys
     for _ in range(ROUNDS):
-        counts = left.groupBy("key", "stem").agg(
-            F.count_distinct(F.when(F.col("toxic") == 1, F.col("text_id"))).alias("pos"),
-            F.count_distinct(F.when(F.col("toxic") == 0, F.col("text_id"))).alias("neg"),
-            F.approx_count_distinct("word").alias("words"),
-        )
+        counts = left.groupBy("key", "stem").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
         odds = (F.col("pos") + 0.5) / (n_toxic + 1) / ((F.col("neg") + 0.5) / (n_clean + 1))
         good = counts.where((F.col("pos") >= LEAST_TEXTS) & (odds >= LEAST_ODDS))
-        good = good.where(~F.col("stem") | (F.col("words") >= STEM_WORDS))
         order = [F.desc("pos"), F.asc("stem"), F.desc(F.length("key")), F.asc("key")]
         rows = good.orderBy(*order).limit(CANDIDATES).collect()
         if not rows:
@@ -317,9 +321,9 @@ def _read(terms):
         reader = Reader(terms.value)
         for batch in batches:
             found = [reader.hits(text) for text in batch.column("text").to_pylist()]
-            # Equal hits of a text count once.
-            flat = pa.array([[list(hit) for hit in sorted(set(hits))] for hits in found], pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column("text_id"), batch.column("toxic"), flat], names=["text_id", "toxic", "hits"])
+            hits = pa.array([[list(hit) for hit in hits] for hits, _ in found], pa.list_(pa.list_(pa.int32())))
+            sizes = pa.array([n_words for _, n_words in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), hits, sizes], names=["toxic", "hits", "n_words"])
 
     return run
 
@@ -333,7 +337,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     if not n_toxic or not n_clean:
         share = n_toxic / (n_toxic + n_clean) if n_toxic + n_clean else 0.0
-        return Model(weights=np.array([30.0 if share else -30.0, 0.0, 0.0, 0.0]))
+        return Model(weights=np.array([30.0 if share else -30.0, 0.0, 0.0, 0.0, 0.0]))
     steps = 1_000_000
     chances = F.when(F.col("toxic") == 1, math.ceil(steps * min(1, sample_toxic / n_toxic)))
     chances = chances.otherwise(math.ceil(steps * min(1, sample_clean / n_clean)))
@@ -346,12 +350,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     pos, neg = n.get(1, 0), n.get(0, 0)
     terms = _lexicon(words, pos, neg)
     sent = spark.sparkContext.broadcast(terms)
-    read = texts.mapInArrow(_read(sent), "text_id long, toxic int, hits array<array<int>>")
-    rows = [(row["toxic"], [tuple(hit) for hit in row["hits"]]) for row in read.collect()]  # the bounded sample
+    read = texts.mapInArrow(_read(sent), "toxic int, hits array<array<int>>, n_words long")
+    # The bounded sample.
+    rows = [(row["toxic"], [tuple(hit) for hit in row["hits"]], row["n_words"]) for row in read.collect()]
     model = Model(terms)
     seen: dict[tuple, list[int]] = {}
     context: dict[tuple[str, int], list[int]] = {}
-    for toxic, hits in rows:
+    for toxic, hits, _ in rows:
         for key in {(term, edits) for term, edits, _, _ in hits}:
             seen.setdefault(key, [0, 0])[toxic] += 1
         for _, edits, quoted, near in hits:
@@ -374,8 +379,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
         return trust * with_ + (1 - trust) * prior
 
     model.quoted, model.near = min(0.0, contrast("quoted", -QUOTE_DOUBT)), max(0.0, contrast("near", 0.5))
-    features = np.array([model.features(hits) for _, hits in rows])
-    truth = np.array([toxic for toxic, _ in rows], dtype=float)
+    features = np.array([model.features(hits, n_words) for _, hits, n_words in rows])
+    truth = np.array([toxic for toxic, _, _ in rows], dtype=float)
     model.weights = _logistic(features, truth, np.where(truth > 0, n_toxic / max(1, pos), n_clean / max(1, neg)))
     return model
 
@@ -388,7 +393,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         held = sent.value
         reader = Reader(held.terms)
         for batch in batches:
-            found = [held.score(reader.hits(text)) for text in batch.column("text").to_pylist()]
+            found = [held.score(*reader.hits(text)) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
