@@ -213,11 +213,14 @@ def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Da
 def drop_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """All documents, without their marked words and the characters that follow each of these."""
     joined, hit = _with_hits(docs, benchmark, n)
-    parts = F.regexp_extract_all("text", F.lit(f"{WORD_ANY}{BETWEEN_ANY[:-1]}*"), F.lit(0))
+    parts = unused(joined, "parts")
+    found = F.regexp_extract_all("text", F.lit(f"{WORD_ANY}{BETWEEN_ANY[:-1]}*"), F.lit(0))
+    # A column of its own, as an expression inside transform() is computed for every element.
+    joined = joined.withColumn(parts, F.when(F.col(hit).isNotNull(), found))
     lead = F.regexp_extract("text", f"^{BETWEEN_ANY}", 0)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), hit)
-    kept = F.concat(lead, F.array_join(F.transform(left, lambda i: F.get(parts, i)), ""))
-    return joined.withColumn("text", F.when(F.col(hit).isNull(), F.col("text")).otherwise(kept)).drop(hit)
+    kept = F.concat(lead, F.array_join(F.transform(left, lambda i: F.get(F.col(parts), i)), ""))
+    return joined.withColumn("text", F.when(F.col(hit).isNull(), F.col("text")).otherwise(kept)).drop(hit, parts)
 
 
 SQL = """

@@ -6,6 +6,7 @@ import importlib
 
 # Module and query of each operator.
 OPERATORS = (
+    ("line_dedup", "op4_line_dedup"),
     ("toxicity", "op8_toxicity"),
     ("langid", "op3_language_id"),
     ("url_filter", "op5_url_filter"),
