@@ -6,6 +6,7 @@ import importlib
 
 # Module and query of each operator.
 OPERATORS = (
+    ("embed_dedup", "op6_embedding_dedup"),
     ("line_dedup", "op4_line_dedup"),
     ("toxicity", "op8_toxicity"),
     ("langid", "op3_language_id"),
