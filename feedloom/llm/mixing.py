@@ -33,6 +33,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from feedloom import runtime
 from feedloom.llm.common import landed, table
@@ -78,7 +79,7 @@ PRODUCTION = Mix(
 )
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _count(texts: pd.Series) -> pd.Series:
     # bytes are split at ASCII white space
     return pd.Series([len(text.split()) for text in texts], dtype="int64")
