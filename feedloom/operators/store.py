@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +51,21 @@ def read_pointer(spark: SparkSession, root: str) -> dict | None:
 
 
 def write_pointer(spark: SparkSession, root: str, pointer: dict) -> None:
+    """Replace the pointer in one step: a reader sees the old file or the new one, never a part."""
     fs, target = _fs(spark, f"{root}/{POINTER}")
-    stream = fs.create(target, True)
+    _, fresh = _fs(spark, f"{root}/.{POINTER}.{uuid.uuid4().hex}")
+    stream = fs.create(fresh, True)
     try:
         stream.write(bytearray(json.dumps(pointer).encode("utf-8")))
     finally:
         stream.close()
+    gateway = spark.sparkContext._gateway
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    options = getattr(hadoop, "Options$Rename")
+    overwrite = gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fresh, target, overwrite)
 
 
 # --- snapshots -------------------------------------------------------------------------------
@@ -119,10 +130,26 @@ def _bucket_table(path: str, buckets: int) -> str:
 # --- history ---------------------------------------------------------------------------------
 
 
-def append_run(df: DataFrame, path: str, run_id: str) -> None:
-    """Append the rows of one run; repeating a run replaces its own partition only."""
-    rows = df.drop("run_id").withColumn("run_id", F.lit(run_id))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+def _partition(path: str, run_id: str) -> str:
+    return f"{path}/run_id={quote(run_id, safe='')}"
+
+
+def append_run(df: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Write the rows of one run and return them as read back.
+
+    The run's own partition is written, so a repeated run replaces it, also by nothing. Rows come back
+    with the layout they had: neither an empty run nor a run id that looks like a number is inferred.
+    """
+    rows = df.drop("run_id")
+    rows.write.mode("overwrite").parquet(_partition(path, run_id))
+    return read_run(df.sparkSession, path, run_id, rows.schema)
+
+
+def read_run(spark: SparkSession, path: str, run_id: str, schema) -> DataFrame:
+    """The rows of one run, none if it was never written."""
+    own = _partition(path, run_id)
+    rows = spark.read.schema(schema).parquet(own) if exists(spark, own) else spark.createDataFrame([], schema)
+    return rows.withColumn("run_id", F.lit(run_id))
 
 
 def read_history(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -166,9 +193,7 @@ def ledger_entry(
 
 def append_ledger(entry: DataFrame, path: str, run_id: str, entry_no: int) -> None:
     """Ledger entries of a run are separate files; a repeated entry replaces itself."""
-    entry.drop("run_id", "entry").withColumn("run_id", F.lit(run_id)).withColumn("entry", F.lit(entry_no)).write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "entry").parquet(path)
+    entry.drop("run_id", "entry").write.mode("overwrite").parquet(f"{_partition(path, run_id)}/entry={entry_no}")
 
 
 def raw_rows(collected: DataFrame) -> DataFrame:
@@ -229,6 +254,10 @@ def guard_scope(seen: DataFrame, scope: str, version: int | None = 1, stored_ver
 
 
 def retain_latest(seen: DataFrame, limit: int = rules.Limits.seen_retention) -> DataFrame:
-    """Latest keys per scope; each task keeps at most ``limit`` rows of a scope before the shuffle."""
+    """Latest keys per scope; each task keeps at most ``limit`` rows of a scope before the shuffle.
+
+    A key that is dropped counts as new when it comes again. No watch calls this; it is for users who
+    want a bounded seen-set and accept that.
+    """
     order = Window.partitionBy("scope").orderBy(F.col("first_seen_at").desc(), "key")
     return seen.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit).drop("_place")

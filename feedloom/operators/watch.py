@@ -9,14 +9,11 @@ from feedloom import rules
 from feedloom.functions.details import job_details
 from feedloom.functions.relevance import cohort_allowed, is_relevant_role, location_allowed
 from feedloom.functions.text import matches, materialize
-from feedloom.runtime import lookup_join
 from feedloom.sources.html import html_to_text
 
 EARLY_MATCH = "Early-career match"
 UNCLEAR = "Eligibility unclear: review requirements"
 BOARD_PREFIX = "https://jobs.ashbyhq.com/"
-# Batches up to this size get a key over their sorted item keys.
-EXACT_BATCH_KEYS = rules.Limits.seen_retention
 
 POSTING_DDL = (
     "id string, title string, location string, locationName string, descriptionHtml string, "
@@ -89,32 +86,23 @@ def item_key(scope: Column, key: Column) -> Column:
     return F.sha2(F.concat_ws("|", scope, key), 256)
 
 
-def batch_keys(items: DataFrame, batch: str, limit: int = EXACT_BATCH_KEYS) -> DataFrame:
-    """Delivery key per batch, the same for every order and retry.
+def batch_keys(items: DataFrame, batch: str) -> DataFrame:
+    """Delivery key per batch, the same for every order, retry and size.
 
-    Up to ``limit`` items the key is the digest of the sorted item keys. Larger batches are not
-    gathered anywhere: their key is made of mergeable sums over the item digests.
+    The key is the digest of the number of distinct item keys and of sums over their digests: sums merge
+    ahead of the shuffle, so no batch is gathered anywhere.
     """
-    distinct = items.select(batch, "key").distinct()
     digest = F.sha2("key", 256)
 
     def part(start: int) -> Column:
         # 15 hex digits fit a bigint; the sum is a decimal, so it cannot overflow.
         return F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)"))
 
-    sums = distinct.groupBy(batch).agg(
+    sums = items.select(batch, "key").distinct().groupBy(batch).agg(
         F.count(F.lit(1)).alias("items"), part(1).alias("a"), part(16).alias("b"), part(31).alias("c")
     )
-    small = sums.filter(F.col("items") <= limit).select(batch)
-    listed = (
-        lookup_join(distinct, small, [batch], how="left_semi", salt_by="key")
-        .groupBy(batch)
-        .agg(F.sha2(F.array_join(F.array_sort(F.collect_list("key")), "|"), 256).alias("exact"))
-    )
     merged = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("items", "a", "b", "c")]), 256)
-    return sums.join(listed, batch, "left").select(
-        batch, "items", F.substring(F.coalesce("exact", merged), 1, 32).alias("batch_key")
-    )
+    return sums.select(batch, "items", F.substring(merged, 1, 32).alias("batch_key"))
 
 
 def watch_counts(classified: DataFrame, delivered: DataFrame) -> DataFrame:

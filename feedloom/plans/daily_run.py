@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from feedloom import rules
 from feedloom.operators import dedupe, digest, enrichment, feedback, health, lifecycle, normalize, ranking, store
-from feedloom.schemas import STATE_DDL, WEIGHTS_DDL
+from feedloom.schemas import ERRORS_DDL, STATE_DDL
 from feedloom.sources import boards, markdown, outcomes, structured
 
 ATS_COLLECTOR = "ats"
@@ -104,7 +104,7 @@ def run(
     try:
         stats = _run(spark, inputs, root, run_id, as_of, settings, scorer)
     except Exception as error:
-        failed = store.ledger_entry(spark, run_id, "failed", as_of, error=str(error)[:2000])
+        failed = store.ledger_entry(spark, run_id, "failed", as_of, error=str(error))
         store.append_ledger(failed, ledger, run_id, 1)
         raise
     done = store.ledger_entry(spark, run_id, "completed", as_of, stats)
@@ -116,20 +116,20 @@ def _collect(spark, inputs, root, run_id, as_of, settings):
     listings, counts = _feed_parts(inputs, settings, as_of)
     outcome_parts = []
     if inputs.board_payloads is not None:
-        judged_path = f"{root}/judged"
         # Postings are judged once; listings and outcomes both read the result.
-        store.append_run(boards.judged_postings(inputs.board_payloads, settings.filters), judged_path, run_id)
-        judged = spark.read.parquet(judged_path).filter(F.col("run_id") == run_id)
+        judged = store.append_run(boards.judged_postings(inputs.board_payloads, settings.filters), f"{root}/judged", run_id)
         listings.append(boards.collect_boards(judged).withColumn("collector", F.lit(ATS_COLLECTOR)))
         outcome_parts.append(
             outcomes.board_outcomes(inputs.boards, judged).withColumn("kind", F.lit("ats"))
         )
     for extra in inputs.collected:
         listings.append(extra.withColumn("collector", F.col("source_type")))
-    capped = outcomes.cap_per_collector(_union(listings), "collector", settings.limits.max_jobs_per_source)
+    collected, cap = _union(listings), settings.limits.max_jobs_per_source
+    if cap is not None:
+        store.append_run(outcomes.left_out(collected, "collector", cap), f"{root}/left_out", run_id)
+    capped = outcomes.cap_per_collector(collected, "collector", cap)
     landed = store.raw_rows(capped).withColumn("raw_job_id", normalize.raw_job_id(run_id))
-    store.append_run(landed, f"{root}/raw", run_id)
-    raw = spark.read.parquet(f"{root}/raw").filter(F.col("run_id") == run_id)
+    raw = store.append_run(landed, f"{root}/raw", run_id)
     if counts:
         relevant = raw.groupBy("source_name").agg(F.count(F.lit(1)).alias("relevant_jobs"))
         feeds = _union(counts)
@@ -148,8 +148,7 @@ def _watch_health(spark, found, root, run_id):
     runs = store.read_runs(spark, f"{root}/runs").filter(F.col("run_id") != run_id)
     stale = health.stale_now(found, store.read_health(spark, f"{root}/health"), runs)
     marked = health.mark_stale(found, stale)
-    store.append_run(marked, f"{root}/health", run_id)
-    now = spark.read.parquet(f"{root}/health").filter(F.col("run_id") == run_id)
+    now = store.append_run(marked, f"{root}/health", run_id)
     stale_rows = now.filter(F.col("status") == outcomes.STALE)
     findings = (
         outcomes.source_errors(now)
@@ -171,10 +170,11 @@ def _run(spark, inputs, root, run_id, as_of, settings, scorer) -> dict:
     raw, found = _collect(spark, inputs, root, run_id, as_of, settings)
     if found is not None:
         _watch_health(spark, found, root, run_id)
+    else:
+        store.append_run(spark.createDataFrame([], ERRORS_DDL), f"{root}/errors", run_id)
 
     unique = dedupe.merge_duplicates(normalize.normalize(raw.drop("run_id", "payload_json", "raw_description_hash", "collector")))
-    store.append_run(lifecycle.match_state(unique, state), f"{root}/unique", run_id)
-    matched = spark.read.parquet(f"{root}/unique").filter(F.col("run_id") == run_id).drop("run_id")
+    matched = store.append_run(lifecycle.match_state(unique, state), f"{root}/unique", run_id).drop("run_id")
     if inputs.pages is not None:
         picked = enrichment.pick_sparse(lifecycle.new_candidates(matched, state), settings.limits)
         texts = enrichment.found_descriptions(picked, inputs.pages)
@@ -193,8 +193,7 @@ def _run(spark, inputs, root, run_id, as_of, settings, scorer) -> dict:
     scores_path = f"{root}/scores"
     history = store.read_scores(spark, scores_path)
     learned = feedback.feedback_weights(feedback.observations(state, history), settings.limits.feedback_min_samples)
-    store.append_run(learned, f"{root}/weights", run_id)
-    weights = store.read_history(spark, f"{root}/weights", WEIGHTS_DDL).filter(F.col("run_id") == run_id).drop("run_id")
+    weights = store.append_run(learned, f"{root}/weights", run_id).drop("run_id")
     if inputs.companies is not None:
         tiers = ranking.company_tiers(inputs.companies, settings.priority_companies)
     else:
@@ -203,16 +202,11 @@ def _run(spark, inputs, root, run_id, as_of, settings, scorer) -> dict:
         )
     wanted = ranking.actionable(staged, as_of, settings.limits)
     ranked = ranking.rank(wanted, tiers, weights, history, run_id, settings, scorer)
-    store.append_run(ranked, f"{root}/ranked", run_id)
-    ranked = spark.read.parquet(f"{root}/ranked").filter(F.col("run_id") == run_id)
+    ranked = store.append_run(ranked, f"{root}/ranked", run_id)
     store.append_run(store.score_rows(ranked, as_of), scores_path, run_id)
     store.append_run(digest.alerts(ranked, settings.thresholds, settings.subject_prefix), f"{root}/alerts", run_id)
 
-    errors = (
-        spark.read.parquet(f"{root}/errors").filter(F.col("run_id") == run_id)
-        if store.exists(spark, f"{root}/errors")
-        else spark.createDataFrame([], "run_id string, source_name string, message string")
-    )
+    errors = store.read_run(spark, f"{root}/errors", run_id, ERRORS_DDL.removeprefix("run_id string, "))
     counted = (
         ranked.groupBy(F.lit(run_id).alias("run_id"))
         .agg(

@@ -119,22 +119,19 @@ def item_keys(spark, sf_dir):
     return _items(spark, sf_dir).select("event_id", watch.item_key(F.col("scope"), F.col("key")).alias("delivery_key"))
 
 
-_LIMIT = 2000
-
-
 @register(
     "batch_keys",
-    f"""WITH k AS (SELECT DISTINCT event_type AS scope, CAST(user_id AS VARCHAR) AS key FROM events
+    """WITH k AS (SELECT DISTINCT event_type AS scope, CAST(user_id AS VARCHAR) AS key FROM events
         UNION SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM orders),
     d AS (SELECT *, sha256(key) AS h FROM k),
-    g AS (SELECT scope, count(*) AS items, sha256(array_to_string(list_sort(list(key)), '|')) AS exact,
+    g AS (SELECT scope, count(*) AS items,
         sha256(count(*) || '|' || sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) || '|' || sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) || '|' || sum(CAST('0x' || substr(h, 31, 15) AS BIGINT))) AS merged
         FROM d GROUP BY scope)
-    SELECT scope, items, substr(CASE WHEN items <= {_LIMIT} THEN exact ELSE merged END, 1, 32) AS batch_key FROM g""",
+    SELECT scope, items, substr(merged, 1, 32) AS batch_key FROM g""",
 )
 def batch_keys(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.lit("orders").alias("scope"), F.col("o_orderkey").cast("string").alias("key"))
-    return watch.batch_keys(_items(spark, sf_dir).select("scope", "key").unionByName(orders), "scope", _LIMIT)
+    return watch.batch_keys(_items(spark, sf_dir).select("scope", "key").unionByName(orders), "scope")
 
 
 @register(

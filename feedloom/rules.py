@@ -564,11 +564,12 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class Limits:
-    """Collection limits; each is a feature of the report, not a guard against volume."""
+    """Limits of a run. Caps on what is collected are off (None) unless a user sets them; what a cap
+    leaves out is counted per collector."""
 
-    max_jobs_per_source: int = 500
-    max_company_pages: int = 75
-    max_enrichments: int = 30
+    max_jobs_per_source: int | None = None
+    max_company_pages: int | None = None
+    max_enrichments: int | None = None
     min_description_chars: int = 160
     max_age_days: int = 45
     digest_max_age_days: int = 7

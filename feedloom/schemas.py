@@ -60,6 +60,8 @@ HEALTH_DDL = """
     relevant_jobs bigint, error string
 """
 
+ERRORS_DDL = "run_id string, source_name string, stage string, message string, detail string"
+
 
 def select_collected(df: DataFrame, **columns: Column) -> DataFrame:
     """Project to the collected layout; columns not given are taken from ``df`` or left null."""

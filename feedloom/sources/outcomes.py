@@ -10,16 +10,25 @@ HEALTHY, FAILED, UNSUPPORTED, STALE = "healthy", "failed", "unsupported", "stale
 PROBLEM_STATES = (FAILED, STALE, UNSUPPORTED)
 
 
-def cap_per_collector(df: DataFrame, collector: str, limit: int) -> DataFrame:
-    """First listings of every collector in landing order.
+def cap_per_collector(df: DataFrame, collector: str, limit: int | None) -> DataFrame:
+    """First listings of every collector in landing order; all of them without a limit.
 
     The rank test becomes a window group limit: each task drops all but ``limit`` rows of a
     collector before the shuffle, so a collector with most of the rows costs no more than others.
     """
+    if limit is None:
+        return df
     order = Window.partitionBy(collector).orderBy("source_ordinal", "position")
     return df.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit).drop("_place")
 
 
+def left_out(df: DataFrame, collector: str, limit: int | None) -> DataFrame:
+    """(collector, listed, dropped) of every collector that a cap cuts."""
+    counts = df.groupBy(F.col(collector).alias("collector")).agg(F.count(F.lit(1)).alias("listed"))
+    dropped = F.lit(0) if limit is None else F.greatest(F.col("listed") - limit, F.lit(0))
+    return counts.withColumn("dropped", dropped.cast("bigint")).filter("dropped > 0")
+
+
 def board_outcomes(boards: DataFrame, judged: DataFrame) -> DataFrame:
     """One row per configured board, also where nothing was landed.
 

@@ -158,5 +158,43 @@ def test_failed_run_leaves_state_unpublished(spark, folder):
     assert again["total_new"] == 3
 
 
+def _only_feed(spark, jobs):
+    body = json.dumps({"jobs": jobs})
+    payload = spark.createDataFrame([(0, body)], "source_ordinal int, body string").withColumn(
+        "fetched_at", F.lit("2026-08-21").cast("timestamp")
+    )
+    return daily_run.Inputs(structured=[(FEED, payload)])
+
+
+@pytest.mark.parametrize("jobs, new", [(JOBS[:1], 1), ([dict(JOBS[0], posted_at="2026-07-20")], 0), ([], 0)])
+def test_run_finishes_on_a_fresh_root(spark, folder, jobs, new):
+    """A healthy feed without findings; nothing fresh enough to rank; an empty feed."""
+    stats = daily_run.run(spark, _only_feed(spark, jobs), folder, "007", "2026-08-21 08:00:00", SMALL)
+    assert (stats["total_new"], stats["total_collected"]) == (new, len(jobs))
+    assert daily_run.read_state(spark, folder).count() == len(jobs)
+    assert [(r.run_id, r.status) for r in store.read_runs(spark, f"{folder}/runs").collect()] == [("007", "completed")]
+    again = daily_run.run(spark, _only_feed(spark, []), folder, "2026-08-22", "2026-08-22 08:00:00", SMALL)
+    assert again["total_collected"] == 0 and daily_run.read_state(spark, folder).count() == len(jobs)
+
+
+def test_repeated_run_replaces_its_rows_by_fewer(spark, folder):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "n int, s string")
+    path = f"{folder}/history"
+    assert store.append_run(rows, path, "manual 1/2").count() == 2
+    store.append_run(rows, path, "007")
+    assert store.append_run(rows.limit(0), path, "manual 1/2").columns == ["n", "s", "run_id"]
+    kept = store.read_history(spark, path, "n int, s string, run_id string").collect()
+    assert sorted((r.n, r.run_id) for r in kept) == [(1, "007"), (2, "007")]
+
+
+def test_caps_are_off_and_counted_when_set(spark, folder):
+    assert rules.Limits().max_jobs_per_source is None and rules.Limits().max_enrichments is None
+    jobs = [dict(JOBS[0], job_id=f"j{i}", url=f"https://x.example/{i}") for i in range(5)]
+    few = rules.Settings(limits=rules.Limits(max_jobs_per_source=2), state_buckets=4)
+    assert daily_run.run(spark, _only_feed(spark, jobs), folder, "r1", "2026-08-21 08:00:00", few)["total_collected"] == 2
+    left = spark.read.parquet(f"{folder}/left_out").collect()
+    assert [(r.collector, r.listed, r.dropped) for r in left] == [("structured:feed_a", 5, 3)]
+
+
 def test_platform_registry_is_complete():
     assert set(boards.PLATFORMS) == {"ashby", "gem", "greenhouse", "lever", "smartrecruiters", "workday"}
