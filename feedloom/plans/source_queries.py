@@ -21,7 +21,6 @@ from feedloom.plans.testbed import (
     normal_url_sql,
     quote,
     scratch,
-    sql_any,
     sql_list,
     table,
     wide,
@@ -495,15 +494,14 @@ _ENRICH_URL = normal_url_sql("url")["normal"]
     "enriched_listings",
     f"""WITH {LISTINGS_CTE}, j AS (SELECT l.* EXCLUDE (apply_url, description_text), page_id, url, {_ENRICH_URL} AS n_url FROM listings l JOIN pages ON page_id = doc_id),
     u AS (SELECT n_url, arg_min(struct_pack(doc_id, page_id, title, posted_epoch, source_ordinal, position), struct_pack(source_ordinal, position)) AS f FROM j GROUP BY n_url),
-    picked AS (SELECT f.* FROM u ORDER BY {sql_any('lower(f.title)', rules.ENRICH_TITLE_WORDS)} DESC, f.posted_epoch IS NOT NULL DESC, f.posted_epoch DESC,
-        f.source_ordinal, f.position LIMIT 30),
+    picked AS (SELECT f.* FROM u),
     d AS (SELECT doc_id, title, CASE WHEN page_id % 3 = 0 THEN 'Work on page ' || page_id || ' & more entry level' ELSE '' END AS description_text FROM picked)
     SELECT doc_id, description_text, sha256(CASE WHEN description_text = '' THEN title ELSE description_text END) AS description_hash,
         CASE WHEN description_text <> '' THEN 'true' END AS enriched FROM d""",
 )
 def enriched_listings(spark, sf_dir):
     """Sparse listings that point at a page with a posting get its description."""
-    limits = rules.Limits(min_description_chars=20, max_enrichments=30)
+    limits = rules.Limits(min_description_chars=20)
     jobs = _job_pages(spark, sf_dir)
     links = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
     rows = collected(spark, sf_dir).join(links, "doc_id")

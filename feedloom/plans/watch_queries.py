@@ -136,17 +136,13 @@ def batch_keys(spark, sf_dir):
 
 @register(
     "guarded_seen_set",
-    "SELECT event_type AS scope, CAST(user_id AS VARCHAR) AS key, CAST(epoch_us(min(ts)) AS BIGINT) AS first_seen FROM events WHERE event_type = 'purchase' GROUP BY 1, 2",
+    "SELECT 'events' AS scope, event_type || '-' || user_id AS key, CAST(epoch_us(min(ts)) AS BIGINT) AS first_seen FROM events GROUP BY 1, 2",
 )
 def guarded_seen_set(spark, sf_dir):
-    """The seen-set of one scope; the guard reads all of it before it may be used."""
-    seen = (
-        _items(spark, sf_dir)
-        .filter("scope = 'purchase'")
-        .groupBy("scope", "key")
-        .agg(F.min("seen_at").alias("first_seen_at"))
-    )
-    return store.guard_scope(seen, "purchase").select("scope", "key", F.unix_micros("first_seen_at").alias("first_seen"))
+    """The seen-set of a scope that all events belong to; the guard reads all of it before it may be used."""
+    items = _items(spark, sf_dir).select(F.lit("events").alias("scope"), F.concat_ws("-", "scope", "key").alias("key"), "seen_at")
+    seen = items.groupBy("scope", "key").agg(F.min("seen_at").alias("first_seen_at"))
+    return store.guard_scope(seen, "events").select("scope", "key", F.unix_micros("first_seen_at").alias("first_seen"))
 
 
 @register(
@@ -166,26 +162,24 @@ def story_watch_counts(spark, sf_dir):
 # --- streams ---------------------------------------------------------------------------------
 
 
-def _event_files(spark, sf_dir, parts: int = 4) -> str:
-    """The events as files in time order, one micro-batch each."""
+def _replay(spark, sf_dir, start, parts: int = 4) -> None:
+    """Land the events slice by slice in time order and let the query read each slice before the next.
+
+    A slice is written by as many tasks as read it; ``start`` takes the stream and returns a query that
+    ends when all that has landed is read.
+    """
     folder = scratch(spark, "events")
     events = table(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("seen_at"), "user_id", "event_type", "event_id", "props"
     )
-    # The file source reads in the order of arrival, so the files are written one after another.
     part = F.floor((F.dayofmonth("seen_at") - 1) * parts / 31)
     for number in range(parts):
-        events.filter(part == number).coalesce(1).write.mode("append").parquet(folder)
-    return folder
-
+        events.filter(part == number).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(events.schema).parquet(folder)).awaitTermination()
 
-def _event_stream(spark, folder):
-    schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
-
-def _append(stream, path: str, checkpoint: str) -> None:
-    query = (
+def _append(stream, path: str, checkpoint: str):
+    return (
         stream.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
@@ -193,7 +187,6 @@ def _append(stream, path: str, checkpoint: str) -> None:
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
 
 
 def _as_items(batch):
@@ -202,10 +195,8 @@ def _as_items(batch):
 
 def _watched(spark, sf_dir, **options):
     folder = scratch(spark, "watch")
-    query = first_seen.watch_stream(
-        _event_stream(spark, _event_files(spark, sf_dir)), folder, f"{folder}/checkpoint", ["seen_at", "event_id"], _as_items, **options
-    )
-    query.awaitTermination()
+    order = ["seen_at", "event_id"]
+    _replay(spark, sf_dir, lambda stream: first_seen.watch_stream(stream, folder, f"{folder}/checkpoint", order, _as_items, **options))
     return folder
 
 
@@ -253,22 +244,26 @@ _STALE = 2
 @register(
     "lifecycle_stream",
     f"""WITH s AS (SELECT event_type || '-' || user_id AS k, CAST(ts AS DATE) AS d, max(ts) AS tm, arg_max(props, struct_pack(ts, event_id)) AS h FROM events GROUP BY 1, 2),
-    l AS (SELECT *, lag(tm) OVER w AS before, lag(h) OVER w AS old FROM s WHERE d < (SELECT CAST(max(ts) AS DATE) FROM events) WINDOW w AS (PARTITION BY k ORDER BY d))
-    SELECT k AS canonical_key, CAST(epoch_us(tm) AS BIGINT) AS seen, CASE WHEN before IS NULL THEN 'new'
-        WHEN epoch_us(tm) - epoch_us(before) >= {_STALE} * 86400000000 AND h <> old THEN 'reopened' ELSE 'seen' END AS lifecycle_state FROM l""",
+    l AS (SELECT *, lag(tm) OVER w AS before, lag(h) OVER w AS old FROM s WINDOW w AS (PARTITION BY k ORDER BY d)),
+    r AS (SELECT *, CASE WHEN before IS NULL THEN 'new'
+        WHEN epoch_us(tm) - epoch_us(before) >= {_STALE} * 86400000000 AND h IS DISTINCT FROM old THEN 'reopened' ELSE 'seen' END AS state FROM l)
+    SELECT k AS canonical_key, CAST(epoch_us(tm) AS BIGINT) AS seen, state AS lifecycle_state,
+        CAST(count(*) FILTER (state = 'reopened') OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING) AS INTEGER) AS reopened_count FROM r""",
 )
 def lifecycle_of_stream(spark, sf_dir):
-    """Lifecycle per key and day over a replayed stream; the last day stays open."""
+    """Lifecycle per key and day over a replayed stream."""
     folder = scratch(spark, "lifecycle")
-    stream = _event_stream(spark, _event_files(spark, sf_dir)).select(
-        F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("canonical_key"),
-        F.col("props").alias("content_hash"), "seen_at", F.col("event_id").alias("ordinal"),
-    )
-    daily = lifecycle_stream.daily_sightings(stream)
-    _append(daily, f"{folder}/daily", f"{folder}/checkpoint-daily")
-    landed = spark.readStream.schema(daily.schema).parquet(f"{folder}/daily")
-    _append(lifecycle_stream.lifecycle_stream(landed, _STALE), f"{folder}/out", f"{folder}/checkpoint-out")
-    return spark.read.parquet(f"{folder}/out").select("canonical_key", F.unix_micros("seen_at").alias("seen"), "lifecycle_state")
+
+    def start(stream):
+        sightings = stream.select(
+            F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("canonical_key"),
+            F.col("props").alias("content_hash"), "seen_at", F.col("event_id").alias("ordinal"),
+        )
+        return lifecycle_stream.write_daily(sightings, folder, f"{folder}/checkpoint")
+
+    _replay(spark, sf_dir, start)
+    rows = lifecycle_stream.lifecycle(lifecycle_stream.read_daily(spark, folder), _STALE)
+    return rows.select("canonical_key", F.unix_micros("seen_at").alias("seen"), "lifecycle_state", "reopened_count")
 
 
 @register(
@@ -276,13 +271,32 @@ def lifecycle_of_stream(spark, sf_dir):
     "SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, min(event_id) AS event_id FROM events GROUP BY 1, 2",
 )
 def bounded_first_seen(spark, sf_dir):
-    """First sightings with state that is dropped after a delay longer than the replayed month."""
+    """First sightings with keys that expire after a delay longer than the replayed month."""
     folder = scratch(spark, "bounded")
-    stream = _event_stream(spark, _event_files(spark, sf_dir, 1))
-    kept = first_seen.bounded_first_seen(stream, "seen_at", "60 days", ["event_type", "user_id"])
-    _append(kept, f"{folder}/out", f"{folder}/checkpoint")
-    rows = spark.read.parquet(f"{folder}/out")
-    return rows.select("event_type", F.col("user_id").cast("string").alias("user_id"), "event_id")
+    order = ["seen_at", "event_id"]
+    _replay(
+        spark, sf_dir,
+        lambda stream: first_seen.watch_stream(stream, folder, f"{folder}/checkpoint", order, _as_items, expire_days=60),
+    )
+    return first_seen.read_delivered(spark, folder).select(F.col("scope").alias("event_type"), F.col("key").alias("user_id"), "event_id")
+
+
+@register(
+    "expired_first_seen",
+    """WITH e AS (SELECT event_type AS scope, CAST(user_id AS VARCHAR) AS key, ts, event_id, floor((day(ts) - 1) * 4 / 31) AS part FROM events),
+    p AS (SELECT scope, key, part, min(ts) AS first_at, max(ts) AS last_at, arg_min(event_id, struct_pack(ts, event_id)) AS event_id FROM e GROUP BY 1, 2, 3),
+    w AS (SELECT *, lag(last_at) OVER (PARTITION BY scope, key ORDER BY part) AS before FROM p)
+    SELECT scope, key, event_id FROM w WHERE before IS NULL OR epoch_us(first_at) - epoch_us(before) > 5 * 86400000000""",
+)
+def expired_first_seen(spark, sf_dir):
+    """A key that was not seen for five days is delivered again."""
+    folder = scratch(spark, "expired")
+    order = ["seen_at", "event_id"]
+    _replay(
+        spark, sf_dir,
+        lambda stream: first_seen.watch_stream(stream, folder, f"{folder}/checkpoint", order, _as_items, expire_days=5),
+    )
+    return first_seen.read_delivered(spark, folder).select("scope", "key", "event_id")
 
 
 @register(

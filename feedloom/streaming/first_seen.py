@@ -22,7 +22,7 @@ from feedloom.operators.store import exists
 from feedloom.operators.watch import InvalidMatch, item_key, unseen
 from feedloom.runtime import fits_broadcast
 
-SEEN_DDL = "scope string, key string, first_seen_at timestamp, batch bigint"
+SEEN_DDL = "scope string, key string, first_seen_at timestamp, last_seen_at timestamp, batch bigint"
 
 
 def read_seen(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,13 +36,13 @@ def read_delivered(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("basePath", f"{folder}/delivered").parquet(f"{folder}/delivered")
 
 
-def first_per_key(items: DataFrame, order: list[str]) -> DataFrame:
-    """Earliest row of every (scope, key) in a batch; combined before the shuffle."""
+def first_per_key(items: DataFrame, order: list[str], seen_at: str) -> DataFrame:
+    """Earliest row of every (scope, key) in a batch, and ``_until``, its last time; combined before the shuffle."""
     rest = [c for c in items.columns if c not in ("scope", "key")]
     return (
         items.groupBy("scope", "key")
-        .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r"))
-        .select("scope", "key", "r.*")
+        .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r"), F.max(seen_at).alias("_until"))
+        .select("scope", "key", "r.*", "_until")
     )
 
 
@@ -55,33 +55,45 @@ def process_batch(
     relevant: Column | None = None,
     baseline: bool = False,
     valid: Column | None = None,
+    expire_days: int | None = None,
 ) -> None:
     """Deliver the new items of one batch, then remember their keys.
 
     ``batch`` has scope, key and the timestamp column ``seen_at``. With ``baseline`` a scope that
     has no keys yet is only remembered. Items that are not ``relevant`` are remembered without
     delivery. If any item is not ``valid``, nothing at all is written.
+
+    With ``expire_days``, a key counts as new again if its first item in the batch comes more than that after
+    the last one of earlier batches; folders of keys that are older than every possible item may be removed.
     """
     spark = batch.sparkSession
     if valid is not None and not batch.filter(~F.coalesce(valid, F.lit(False))).isEmpty():
         raise InvalidMatch("a matching item is invalid; the batch is not delivered")
     # Deliveries and keys must stem from one reading of the batch, so it is written before use.
     staged = f"{folder}/staged/batch={batch_id}"
-    first = first_per_key(batch, order)
+    first = first_per_key(batch, order, seen_at)
     first.write.mode("overwrite").parquet(staged)
     first = spark.read.schema(first.schema).parquet(staged)
     known = read_seen(spark, folder).filter(F.col("batch") != batch_id)
-    fresh = unseen(first, known, few_items=fits_broadcast(first))
+    if expire_days is None:
+        fresh = unseen(first, known, few_items=fits_broadcast(first))
+    else:
+        last = known.groupBy("scope", "key").agg(F.max("last_seen_at").alias("_last"))
+        gap = F.unix_micros(seen_at) - F.unix_micros("_last")
+        expired = F.col("_last").isNull() | (gap > expire_days * 86_400_000_000)
+        fresh = first.join(last, ["scope", "key"], "left").filter(expired).drop("_last")
 
     wanted = fresh if relevant is None else fresh.filter(F.coalesce(relevant, F.lit(False)))
     if baseline:
         # One row per scope: the scopes that already hold keys.
         wanted = wanted.join(known.select("scope").distinct(), "scope", "left_semi")
-    delivery = wanted.withColumn("delivery_key", item_key(F.col("scope"), F.col("key")))
+    delivery = wanted.drop("_until").withColumn("delivery_key", item_key(F.col("scope"), F.col("key")))
     delivery.write.mode("overwrite").parquet(f"{folder}/delivered/batch={batch_id}")
-    fresh.select("scope", "key", F.col(seen_at).alias("first_seen_at")).write.mode("overwrite").parquet(
-        f"{folder}/seen/batch={batch_id}"
-    )
+    # Keys that expire are remembered by their last item, others once.
+    kept = first if expire_days is not None else fresh
+    kept.select("scope", "key", F.col(seen_at).alias("first_seen_at"), F.col("_until").alias("last_seen_at")).write.mode(
+        "overwrite"
+    ).parquet(f"{folder}/seen/batch={batch_id}")
 
 
 def watch_stream(
@@ -98,8 +110,3 @@ def watch_stream(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def bounded_first_seen(stream: DataFrame, event_time: str, delay: str, keys: list[str]) -> DataFrame:
-    """Variant with bounded state: a key counts as new again after ``delay`` without it."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)

@@ -1,71 +1,74 @@
-"""Lifecycle of listings as two streams: daily sightings, then one small state per canonical key.
+"""Lifecycle of listings over a stream of sightings.
 
-The first stream reduces the sightings of a key to one per day, which is what a daily run sees, and
-writes them to a table. It combines before its shuffle, so a key with a third of all sightings
-reaches the second, stateful stream as one row per day, and the state as three values.
+Every micro-batch writes its own sightings per key and day; those partial rows merge into days when they
+are read. So a late row joins its day however late it comes, the last day is there like any other, a replayed
+batch replaces its own rows, and no streaming state grows. Both steps combine ahead of the shuffle: a key with a
+third of all sightings reaches the lifecycle as one row per day.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from feedloom import rules
 
-OUTPUT = "canonical_key string, seen_at timestamp, lifecycle_state string, reopened_count int"
-STATE = "last_seen_us long, content_hash string, reopened_count int"
+DAILY_DDL = "canonical_key string, day date, content_hash string, last_at timestamp, ordinal bigint"
 DAY_US = 86_400_000_000
 
 
-def daily_sightings(sightings: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Last content per key and day; a day is emitted when the watermark has passed it.
+def _merged(rows: DataFrame, at: str) -> DataFrame:
+    latest = F.max_by(F.struct("content_hash", F.col(at).alias("last_at"), "ordinal"), F.struct(at, "ordinal"))
+    return rows.groupBy("canonical_key", "day").agg(latest.alias("l")).select("canonical_key", "day", "l.*")
+
+
+def daily_sightings(sightings: DataFrame) -> DataFrame:
+    """Last content per key and day of a table of sightings.
 
     ``sightings`` has canonical_key, content_hash, seen_at (timestamp) and ordinal.
     """
+    rows = sightings.withColumns({"day": F.to_date("seen_at"), "ordinal": F.col("ordinal").cast("bigint")})
+    return _merged(rows, "seen_at")
+
+
+def write_daily(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write the daily sightings of every micro-batch until all available input is read."""
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        daily_sightings(batch).write.mode("overwrite").parquet(f"{folder}/daily/batch={batch_id}")
+
     return (
-        sightings.withWatermark("seen_at", delay)
-        .groupBy(F.window("seen_at", "1 day"), "canonical_key")
-        .agg(
-            F.max_by("content_hash", F.struct("seen_at", "ordinal")).alias("content_hash"),
-            F.max("seen_at").alias("last_at"),
-        )
-        .select("canonical_key", "content_hash", "last_at")
+        stream.writeStream.foreachBatch(on_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
-def lifecycle_stream(daily: DataFrame, stale_days: int = rules.Limits.reopen_after_days) -> DataFrame:
-    """Lifecycle of every row of a stream of daily sightings."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, content, reopened = state.get if state.exists else (None, None, 0)
-        # At most one row per day that was closed since the last trigger.
-        days = pd.concat(list(batches)).sort_values("last_at")
-        states, counts = [], []
-        for moment, found in zip(days["last_at"], days["content_hash"]):
-            now = pd.Timestamp(moment).value // 1000
-            if last is None:
-                life = rules.NEW
-            elif now - last >= stale_days * DAY_US and found != content:
-                life, reopened = rules.REOPENED, reopened + 1
-            else:
-                life = rules.SEEN
-            last, content = now, found
-            states.append(life)
-            counts.append(reopened)
-        state.update((last, content, reopened))
-        yield pd.DataFrame(
-            {
-                "canonical_key": key[0],
-                "seen_at": days["last_at"].values,
-                "lifecycle_state": states,
-                "reopened_count": counts,
-            }
-        )
-
-    return daily.groupBy("canonical_key").applyInPandasWithState(
-        step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+def read_daily(spark: SparkSession, folder: str) -> DataFrame:
+    """All days, each merged from the batches that saw it."""
+    rows = spark.read.schema(DAILY_DDL + ", batch bigint").parquet(f"{folder}/daily")
+    return _merged(rows.drop("batch"), "last_at")
+
+
+def lifecycle(daily: DataFrame, stale_days: int = rules.Limits.reopen_after_days) -> DataFrame:
+    """canonical_key, seen_at, lifecycle_state and reopened_count of every day a key was seen."""
+    days = Window.partitionBy("canonical_key").orderBy("day")
+    before = daily.select(
+        "canonical_key",
+        "day",
+        F.col("last_at").alias("seen_at"),
+        "content_hash",
+        F.lag("last_at").over(days).alias("before"),
+        F.lag("content_hash").over(days).alias("old"),
+    )
+    gap = F.unix_micros("seen_at") - F.unix_micros("before")
+    state = (
+        F.when(F.col("before").isNull(), rules.NEW)
+        .when((gap >= stale_days * DAY_US) & ~F.col("content_hash").eqNullSafe(F.col("old")), rules.REOPENED)
+        .otherwise(rules.SEEN)
     )
+    states = before.withColumn("lifecycle_state", state)
+    count = F.count_if(F.col("lifecycle_state") == rules.REOPENED).over(days.rowsBetween(Window.unboundedPreceding, 0))
+    return states.select("canonical_key", "seen_at", "lifecycle_state", count.cast("int").alias("reopened_count"))

@@ -17,7 +17,7 @@ def whole(text):
 
 LIBRARY = Tokenizer.from_file(out.vocabulary_path())
 ENCODER = out.Encoder(out.vocabulary_path())
-PARTS = ["it's", "'s", "don't", "É", "İ", "ΑΣ", "e\u0301", "\u0301", " ", "\n", "\t", "\u00a0", "\x1c", "--", "!'re", "12", "½", "a1b", "<|endoftext|>", "Wörd,", "東京", "#tag", "x=y", "\u3000"]
+PARTS = ["µª", "ÀÉß", "\u212b", "Ǆ", "ﬁ", "it's", "'s", "don't", "É", "İ", "ΑΣ", "e\u0301", "\u0301", " ", "\n", "\t", "\u00a0", "\x1c", "--", "!'re", "12", "½", "a1b", "<|endoftext|>", "Wörd,", "東京", "#tag", "x=y", "\u3000"]
 
 
 @settings(max_examples=300, deadline=None)
@@ -64,5 +64,5 @@ def test_offsets_come_from_the_files(spark, tmp_path):
     order = [r["doc_id"] for r in got]
     assert len(got) == len(rows()) and order[0] is None and order[1:] == sorted(order[1:])
     one = out.read_ids(spark, path).where("doc_id = 4")
-    assert one.count() == 2 and "EqualTo(doc_id,4)" in one._jdf.queryExecution().toString()
+    assert one.count() == len(wanted[4]) > 2 and "EqualTo(doc_id,4)" in one._jdf.queryExecution().toString()
     assert out.tokenized(spark.createDataFrame([], SCHEMA)).count() == 0
