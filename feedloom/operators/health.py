@@ -92,19 +92,19 @@ def stale_history(health: DataFrame, runs: DataFrame, streak: int = 2) -> DataFr
     )
 
 
-def problem_summary(health: DataFrame, runs: DataFrame) -> DataFrame:
-    """Sources checked and in trouble in the latest completed run; one name per configured source."""
+def problem_sources(health: DataFrame, runs: DataFrame) -> DataFrame:
+    """The sources in trouble in the latest completed run, one row each, with the counts of that run.
+
+    A run without any has one row with a null name. Names are never gathered into one value.
+    """
     last = recent_completed_runs(runs, 1).select("run_id")
-    bad = F.col("status").isin(*PROBLEM_STATES)
-    return (
-        health.join(F.broadcast(last), "run_id", "left_semi")
-        .groupBy("run_id")
-        .agg(
-            F.count_distinct("source_name").alias("sources_checked"),
-            F.count_distinct(F.when(bad, F.col("source_name"))).alias("need_attention"),
-            F.array_join(F.array_sort(F.collect_set(F.when(bad, F.col("source_name")))), ", ").alias("problem_sources"),
-        )
+    bad = F.max(F.col("status").isin(*PROBLEM_STATES)).alias("bad")
+    # One row: the latest run.
+    sources = health.join(F.broadcast(last), "run_id", "left_semi").groupBy("run_id", "source_name").agg(bad)
+    counts = sources.groupBy("run_id").agg(
+        F.count("source_name").alias("sources_checked"), F.count_if("bad").alias("need_attention")
     )
+    return counts.join(sources.filter("bad").select("run_id", "source_name"), "run_id", "left")
 
 
 def run_stats(ranked: DataFrame, thresholds: rules.Thresholds) -> DataFrame:

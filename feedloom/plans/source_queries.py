@@ -26,6 +26,7 @@ from feedloom.plans.testbed import (
     wide,
 )
 from feedloom.plans.text_queries import cohort_sql, folded_cte, location_sql, relevant_sql
+from feedloom.runtime import land
 from feedloom.sources import boards, html, markdown, outcomes, pages, search, stories, structured
 
 QUERIES = {}
@@ -427,7 +428,7 @@ _ANCHORS = f"""SELECT page_id, {_ROOT} || '/jobs/' || page_id AS apply_url, CASE
 
 @register("anchor_listings", _ANCHORS)
 def anchor_listings(spark, sf_dir):
-    found = pages.fallback_listings(_facts(spark, sf_dir), rules.Filters(), F.lit(True))
+    found = pages.fallback_listings(land(_facts(spark, sf_dir), "page-facts"), rules.Filters(), F.lit(True))
     return found.select("page_id", "title", "location_text", "apply_url")
 
 
@@ -442,8 +443,8 @@ def anchor_listings(spark, sf_dir):
 )
 def company_page_listings(spark, sf_dir):
     """Pages whose boards gave jobs use these; the others fall back to their own listings."""
-    facts = _facts(spark, sf_dir)
-    board_jobs = _facts(spark, sf_dir).filter("page_id % 5 = 0").select(
+    facts = land(_facts(spark, sf_dir), "page-facts")
+    board_jobs = facts.filter("page_id % 5 = 0").select(
         "page_id", F.lit("greenhouse:Found").alias("source_name"), F.lit("ats").alias("source_type"), F.lit("Software Engineer, New Grad").alias("title"),
         F.col("url").alias("apply_url"), "source_ordinal", F.lit(0).alias("position"), F.lit("Found").alias("company_name"),
     )
@@ -571,7 +572,7 @@ def search_direct(spark, sf_dir):
 )
 def search_pages(spark, sf_dir):
     """Listings on the pages behind all results."""
-    found = search.page_results(_results(spark, sf_dir), _facts(spark, sf_dir), rules.Filters())
+    found = search.page_results(_results(spark, sf_dir), land(_facts(spark, sf_dir), "page-facts"), rules.Filters())
     return found.groupBy("search_query", F.col("metadata")["parser"].alias("parser")).agg(F.count(F.lit(1)).alias("listings"))
 
 

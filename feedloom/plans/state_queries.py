@@ -575,12 +575,13 @@ def stale_now(spark, sf_dir):
 
 @register(
     "problem_sources",
-    f"""WITH {RUNS_CTE}, {HEALTH_CTE}, last AS (SELECT run_id FROM runs WHERE status = 'completed' ORDER BY started_at DESC LIMIT 1)
-    SELECT run_id, count(*) AS sources_checked, count(*) FILTER (status = 'failed') AS need_attention,
-        coalesce(array_to_string(list_sort(list(source_name) FILTER (status = 'failed')), ', '), '') AS problem_sources FROM health JOIN last USING (run_id) GROUP BY run_id""",
+    f"""WITH {RUNS_CTE}, {HEALTH_CTE}, last AS (SELECT run_id FROM runs WHERE status = 'completed' ORDER BY started_at DESC LIMIT 1),
+    h AS (SELECT health.* FROM health JOIN last USING (run_id)),
+    c AS (SELECT run_id, count(*) AS sources_checked, count(*) FILTER (status = 'failed') AS need_attention FROM h GROUP BY run_id)
+    SELECT c.*, source_name FROM c LEFT JOIN (SELECT run_id, source_name FROM h WHERE status = 'failed') b USING (run_id)""",
 )
 def problem_sources(spark, sf_dir):
-    return health.problem_summary(health_rows(spark, sf_dir), runs(spark, sf_dir))
+    return health.problem_sources(health_rows(spark, sf_dir), runs(spark, sf_dir))
 
 
 @register(

@@ -189,13 +189,18 @@ def discovered_boards(pages: DataFrame, page_key: str = "page_id") -> DataFrame:
     ).agg(F.min_by("link.identifier", "link.place").alias("identifier"), F.min("link.place").alias("place"))
 
 
-def scan_list(companies: DataFrame, priority: tuple[str, ...], limit: int) -> DataFrame:
-    """The companies whose pages are read in a run: priority names first, then tier, then name."""
+def scan_list(companies: DataFrame, priority: tuple[str, ...], limit: int | None = None) -> DataFrame:
+    """The companies whose pages are read in a run: priority names first, then tier, then name.
+
+    All of them, in no order, without a limit.
+    """
     name = F.lower(F.coalesce(F.col("name"), F.lit("")))
     is_priority = name.isin(*[p.lower() for p in priority]) if priority else F.lit(False)
+    enabled = companies.filter(F.coalesce(F.col("enabled"), F.lit(True)))
+    if limit is None:
+        return enabled
     return (
-        companies.filter(F.coalesce(F.col("enabled"), F.lit(True)))
-        .orderBy(
+        enabled.orderBy(
             F.when(is_priority, 0).otherwise(1),
             F.coalesce(F.col("priority_tier"), F.lit(3)),
             name,
