@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from feedloom import rules
 from feedloom.operators import dedupe, feedback, health, lifecycle, ranking, store
+from feedloom.plans import daily_run
 from feedloom.plans.scoring_queries import PROFILE, scored, scored_cte, tiers  # noqa: F401
 from feedloom.plans.testbed import (
     AS_OF,
@@ -24,7 +25,7 @@ from feedloom.plans.testbed import (
     sql_any,
     table,
 )
-from feedloom.schemas import STATE_DDL
+from feedloom.schemas import STATE_DDL, select_collected
 from feedloom.sources import outcomes
 
 QUERIES = {}
@@ -277,6 +278,41 @@ def merged_state(spark, sf_dir):
     )
 
 
+def _two_runs(spark, sf_dir) -> str:
+    """The daily run twice on a fresh root: some listings, then, a day later, some of these and others."""
+    root = scratch(spark, "daily")
+    rows = collected(spark, sf_dir)
+    small = rules.Settings(state_buckets=8)
+    for run_id, as_of, part in (("r1", "2024-01-29 00:00:00", _STORED), ("r2", "2024-01-30 00:00:00", _BATCH)):
+        inputs = daily_run.Inputs(collected=[select_collected(rows.filter(part))], companies=companies(spark, sf_dir))
+        daily_run.run(spark, inputs, root, run_id, as_of, small)
+    return root
+
+
+@register(
+    "daily_run_state",
+    f"""WITH {STATE_CTE} SELECT coalesce(b.canonical_key, s.canonical_key) AS canonical_key, coalesce(b.first.title, s.first.title) AS title,
+        CASE WHEN b.canonical_key IS NOT NULL AND s.canonical_key IS NOT NULL THEN 'seen' ELSE 'new' END AS current_status,
+        coalesce(b.content_hash, s.content_hash) AS content_hash
+    FROM stored0 s FULL OUTER JOIN batch b ON s.canonical_key = b.canonical_key""",
+)
+def daily_run_state(spark, sf_dir):
+    """The state after two daily runs."""
+    state = daily_run.read_state(spark, _two_runs(spark, sf_dir))
+    return state.select("canonical_key", "title", "current_status", "content_hash")
+
+
+@register(
+    "daily_run_ledger",
+    f"""SELECT run_id, 'completed' AS status, CAST(n AS BIGINT) AS total_collected, CAST(0 AS BIGINT) AS total_errors
+    FROM (SELECT 'r1' AS run_id, count(*) AS n FROM documents WHERE {_STORED} UNION ALL SELECT 'r2', count(*) FROM documents WHERE {_BATCH})""",
+)
+def daily_run_ledger(spark, sf_dir):
+    """What the ledger holds after two daily runs."""
+    runs_ = store.read_runs(spark, f"{_two_runs(spark, sf_dir)}/runs")
+    return runs_.select("run_id", "status", "total_collected", "total_errors")
+
+
 @register(
     "status_history",
     f"WITH {STATE_CTE} SELECT coalesce(job_id, k) AS job_id, lifecycle_state AS status, {AS_OF_EPOCH} AS changed FROM lived WHERE lifecycle_state IN ('new', 'reopened')",

@@ -210,6 +210,37 @@ def first_seen_stream(spark, sf_dir):
     return first_seen.read_delivered(spark, folder).select("scope", "key", "event_id", F.unix_micros("seen_at").alias("first_seen"))
 
 
+def _slice(spark, sf_dir, number: int, parts: int = 4):
+    rows = _as_items(table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("seen_at"), "user_id", "event_type", "event_id", "props"))
+    return rows.filter(F.floor((F.dayofmonth("seen_at") - 1) * parts / 31) == number)
+
+
+@register("replayed_batch", _FIRST)
+def replayed_batch(spark, sf_dir):
+    """The last batch is run a second time, as after a failure; the deliveries are the same."""
+    folder = _watched(spark, sf_dir)
+    first_seen.process_batch(_slice(spark, sf_dir, 3), 3, folder, ["seen_at", "event_id"])
+    return first_seen.read_delivered(spark, folder).select("scope", "key", "event_id", F.unix_micros("seen_at").alias("first_seen"))
+
+
+@register(
+    "refused_batch",
+    "SELECT event_type AS scope, CAST(user_id AS VARCHAR) AS key, min(event_id) AS event_id FROM events "
+    "WHERE floor((day(ts) - 1) * 4 / 31) <> 1 GROUP BY 1, 2",
+)
+def refused_batch(spark, sf_dir):
+    """One invalid item in the second batch: nothing of that batch is delivered or remembered."""
+    folder = scratch(spark, "refused")
+    for number in range(4):
+        batch = _slice(spark, sf_dir, number)
+        valid = F.lit(True) if number != 1 else F.col("event_id") % 5 != 0
+        try:
+            first_seen.process_batch(batch, number, folder, ["seen_at", "event_id"], valid=valid)
+        except watch.InvalidMatch:
+            continue
+    return first_seen.read_delivered(spark, folder).select("scope", "key", "event_id")
+
+
 @register(
     "baseline_stream",
     f"""WITH f AS ({_FIRST}), parts AS (SELECT *, floor((day(make_timestamp(first_seen)) - 1) * 4 / 31) AS part FROM f),
