@@ -167,16 +167,13 @@ def application_brief(profile: rules.Profile) -> Column:
     """Short brief per ranked listing for whoever tailors the application."""
     owned, weak = F.array_join("top_matching_skills", ", "), F.array_join("missing_or_weaker_skills", ", ")
     return F.concat(
-        F.lit("Tailor the resume for "),
+        F.lit("Prepare an application to "),
         F.concat_ws(" - ", "company_name", "title"),
-        F.lit(f". Lead with internships ({'; '.join(profile.internships)}) and highlight "),
-        F.when(owned == "", "general software engineering fundamentals").otherwise(owned),
-        F.lit(". Address or de-emphasize weaker areas such as "),
-        F.when(weak == "", "no major gaps identified").otherwise(weak),
-        F.lit(
-            ". Keep the story centered on product engineering, full-stack delivery, "
-            "and shipped user-facing systems."
-        ),
+        F.lit(f". Internships to name: {'; '.join(profile.internships)}. Skills to show: "),
+        F.when(owned == "", "core software skills").otherwise(owned),
+        F.lit(". Skills to explain or leave out: "),
+        F.when(weak == "", "none").otherwise(weak),
+        F.lit(". Close with a project that reached its users."),
     )
 
 
@@ -224,7 +221,7 @@ def render_digest(
     new = F.coalesce("total_new", F.lit(0)).cast("string")
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("Your new-grad job shortlist - "), F.date_format(day, "EEEE, MMMM d")),
+        F.concat(F.lit("Listings of the day - "), F.date_format(day, "EEEE, MMMM d")),
         F.concat(count, F.lit(" role"), plural, F.lit(" worth a look from "), new, F.lit(" new listings.")),
         F.lit(""),
         *[c for name in SECTIONS for c in block(name)],

@@ -11,6 +11,7 @@ from feedloom.operators import digest, ranking
 from feedloom.plans import text_queries
 from feedloom.plans.testbed import (
     AS_OF,
+    EXAMPLE_SKILLS,
     AS_OF_EPOCH,
     DAY,
     LISTINGS_CTE,
@@ -23,7 +24,7 @@ from feedloom.plans.testbed import (
     sql_regex,
 )
 
-PROFILE = rules.Profile(internships=("Intern at Acme", "Intern at Example"))
+PROFILE = rules.Profile(skills=EXAMPLE_SKILLS, internships=("Intern at Acme", "Intern at Example"))
 THRESHOLDS = rules.Thresholds(digest_min_fit=20, high_signal_fit=40, top_priority_fit=65, alert_fit=60)
 QUERIES = {}
 
@@ -290,12 +291,12 @@ def cross_run_texts(spark, sf_dir):
 
 @register(
     "application_briefs",
-    f"""WITH {RANKED_CTE} SELECT doc_id, 'Tailor the resume for ' || company_name || ' - ' || title
-        || '. Lead with internships (Intern at Acme; Intern at Example) and highlight '
-        || CASE WHEN len(owned) = 0 THEN 'general software engineering fundamentals' ELSE array_to_string(owned, ', ') END
-        || '. Address or de-emphasize weaker areas such as '
-        || CASE WHEN len(unowned) = 0 THEN 'no major gaps identified' ELSE array_to_string(unowned, ', ') END
-        || '. Keep the story centered on product engineering, full-stack delivery, and shipped user-facing systems.' AS brief FROM ranked""",
+    f"""WITH {RANKED_CTE} SELECT doc_id, 'Prepare an application to ' || company_name || ' - ' || title
+        || '. Internships to name: Intern at Acme; Intern at Example. Skills to show: '
+        || CASE WHEN len(owned) = 0 THEN 'core software skills' ELSE array_to_string(owned, ', ') END
+        || '. Skills to explain or leave out: '
+        || CASE WHEN len(unowned) = 0 THEN 'none' ELSE array_to_string(unowned, ', ') END
+        || '. Close with a project that reached its users.' AS brief FROM ranked""",
 )
 def application_briefs(spark, sf_dir):
     return scored(spark, sf_dir).select("doc_id", digest.application_brief(PROFILE).alias("brief"))

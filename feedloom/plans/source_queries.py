@@ -10,6 +10,7 @@ from feedloom.operators.dedupe import merge_duplicates
 from feedloom.operators.normalize import normalize
 from feedloom.plans.testbed import (
     AS_OF,
+    FILTERS,
     AS_OF_EPOCH,
     DAY,
     LISTINGS_CTE,
@@ -30,7 +31,7 @@ from feedloom.runtime import land
 from feedloom.sources import boards, html, markdown, outcomes, pages, search, stories, structured
 
 QUERIES = {}
-SETTINGS = rules.Settings(limits=rules.Limits(max_age_days=30))
+SETTINGS = rules.Settings(filters=FILTERS, limits=rules.Limits(max_age_days=30))
 STRIP_CHARS = "chr(32)||chr(10)||chr(9)||chr(13)"
 
 
@@ -227,7 +228,7 @@ def markdown_rows(spark, sf_dir):
         AND {cohort_sql("(title || chr(32) || apply_url)")} AND {location_sql('location_text')}""",
 )
 def markdown_feed(spark, sf_dir):
-    found = markdown.collect_markdown(_markdown_payloads(spark, sf_dir), rules.Settings(), AS_OF)
+    found = markdown.collect_markdown(_markdown_payloads(spark, sf_dir), rules.Settings(filters=FILTERS), AS_OF)
     return found.select(
         "source_name", "company_name", "title", "location_text", "apply_url", "external_job_id", F.unix_seconds("posted_at").alias("posted_epoch")
     )
@@ -309,7 +310,7 @@ _BOARD_CTE = f"""{LISTINGS_CTE}, board0 AS (SELECT doc_id, doc_id // 40 AS g, (d
         CASE WHEN k IN (1, 5) THEN NULL ELSE CAST(posted_epoch AS BIGINT) END AS posted_epoch FROM judged WHERE passes AND g % 10 <> 5""",
 )
 def board_listings(spark, sf_dir):
-    found = boards.collect_boards(boards.judged_postings(_board_payloads(spark, sf_dir), rules.Filters()))
+    found = boards.collect_boards(boards.judged_postings(_board_payloads(spark, sf_dir), FILTERS))
     return found.select(
         "source_name", "external_job_id", "title", "apply_url", "location_text", F.md5("description_text").alias("text_digest"),
         F.unix_seconds("posted_at").alias("posted_epoch"),
@@ -324,7 +325,7 @@ def board_listings(spark, sf_dir):
 )
 def board_outcomes(spark, sf_dir):
     payloads = _board_payloads(spark, sf_dir)
-    judged = boards.judged_postings(payloads, rules.Filters())
+    judged = boards.judged_postings(payloads, FILTERS)
     listed = (
         payloads.select(F.concat_ws(":", "platform", "company_name").alias("source_name"), F.lit(True).alias("supported"))
         .unionByName(table(spark, sf_dir, "nation").select(F.concat(F.lit("taleo:"), "n_name").alias("source_name"), F.lit(False).alias("supported")))
@@ -401,7 +402,7 @@ _PAGES_CTE = f"""p0 AS (SELECT page_id, url, {_PAGE_TITLE} AS title, string_spli
         CAST(page_id AS VARCHAR) AS external_job_id, '2024-01-15' AS posted FROM folded WHERE {relevant_sql()} AND {location_sql('location_text')}""",
 )
 def page_postings(spark, sf_dir):
-    found = pages.posting_listings(_facts(spark, sf_dir), rules.Filters())
+    found = pages.posting_listings(_facts(spark, sf_dir), FILTERS)
     return found.select(
         "page_id", "company_name", "title", "location_text", "description_text", "apply_url", "external_job_id",
         F.date_format("posted_at", "yyyy-MM-dd").alias("posted"),
@@ -428,7 +429,7 @@ _ANCHORS = f"""SELECT page_id, {_ROOT} || '/jobs/' || page_id AS apply_url, CASE
 
 @register("anchor_listings", _ANCHORS)
 def anchor_listings(spark, sf_dir):
-    found = pages.fallback_listings(land(_facts(spark, sf_dir), "page-facts"), rules.Filters(), F.lit(True))
+    found = pages.fallback_listings(land(_facts(spark, sf_dir), "page-facts"), FILTERS, F.lit(True))
     return found.select("page_id", "title", "location_text", "apply_url")
 
 
@@ -448,7 +449,7 @@ def company_page_listings(spark, sf_dir):
         "page_id", F.lit("greenhouse:Found").alias("source_name"), F.lit("ats").alias("source_type"), F.lit("Software Engineer, New Grad").alias("title"),
         F.col("url").alias("apply_url"), "source_ordinal", F.lit(0).alias("position"), F.lit("Found").alias("company_name"),
     )
-    found = pages.company_listings(facts, board_jobs, rules.Filters())
+    found = pages.company_listings(facts, board_jobs, FILTERS)
     return found.groupBy("source_type", "title").agg(F.count(F.lit(1)).alias("listings"))
 
 
@@ -558,7 +559,7 @@ _COMPANY = """CASE WHEN contains(apply_url, 'jobs.ashbyhq.com') OR contains(appl
     WHERE {relevant_sql()} AND {location_sql('location_text')} AND {_COMPANY} IS NOT NULL""",
 )
 def search_direct(spark, sf_dir):
-    found = search.direct_listings(_results(spark, sf_dir), rules.Filters())
+    found = search.direct_listings(_results(spark, sf_dir), FILTERS)
     return found.select("position", "title", "location_text", "company_name", "apply_url")
 
 
@@ -572,7 +573,7 @@ def search_direct(spark, sf_dir):
 )
 def search_pages(spark, sf_dir):
     """Listings on the pages behind all results."""
-    found = search.page_results(_results(spark, sf_dir), land(_facts(spark, sf_dir), "page-facts"), rules.Filters())
+    found = search.page_results(_results(spark, sf_dir), land(_facts(spark, sf_dir), "page-facts"), FILTERS)
     return found.groupBy("search_query", F.col("metadata")["parser"].alias("parser")).agg(F.count(F.lit(1)).alias("listings"))
 
 

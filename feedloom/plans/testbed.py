@@ -11,9 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom import rules
 from feedloom.operators.normalize import normalize
 from feedloom.runtime import checkpoint_folder, spread
 
+# An invented deployment: the families it leaves out and the skills of the person it serves.
+EXAMPLE_FAMILIES = ("Analyst", "Embedded", "Site Reliability", "Quality")
+EXAMPLE_SKILLS = ("Python", "Java", "Go", "SQL", "React", "Docker", "Linux", "Git", "Kubernetes")
+FILTERS = rules.Filters(excluded_families=EXAMPLE_FAMILIES)
 AS_OF = "2024-02-10 00:00:00"
 AS_OF_EPOCH = 1707523200
 DAY = 86400

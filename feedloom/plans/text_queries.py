@@ -8,6 +8,8 @@ from feedloom import rules
 from feedloom.functions import details, relevance, text, times, urls
 from feedloom.plans.testbed import (
     AS_OF,
+    EXAMPLE_FAMILIES,
+    FILTERS,
     AS_OF_EPOCH,
     DAY,
     LISTINGS_CTE,
@@ -23,7 +25,6 @@ from feedloom.plans.testbed import (
 )
 from feedloom.sources import html, pages
 
-FILTERS = rules.Filters()
 QUERIES = {}
 
 
@@ -253,7 +254,7 @@ def relevant_sql(extra: str = "FALSE") -> str:
         f"AND NOT {sql_any('a', rules.EXCLUDED_WORDS)} AND NOT {sql_any('t', rules.SENIOR_WORDS)} "
         f"AND NOT {sql_regex('t', rules.MID_LEVEL_TITLE_PATTERN)} AND NOT {sql_regex('t', rules.NON_ENTRY_TITLE_PATTERN)} "
         f"AND NOT {sql_regex('a', rules.EXPERIENCE_PATTERN)} "
-        f"AND NOT {sql_any('a', [f.lower() for f in rules.EXCLUDED_FAMILIES])} "
+        f"AND NOT {sql_any('a', [f.lower() for f in EXAMPLE_FAMILIES])} "
         f"AND {sql_any('t', rules.ROLE_WORDS)} AND ({_early_sql()} OR {extra}))"
     )
 
@@ -275,7 +276,7 @@ def relevant_roles(spark, sf_dir):
         WHEN NOT {cohort_sql('t')} THEN 'cohort' WHEN {sql_any('t', rules.SENIOR_WORDS)} THEN 'senior_title'
         WHEN {sql_regex('t', rules.MID_LEVEL_TITLE_PATTERN)} THEN 'mid_level_title' WHEN {sql_regex('t', rules.NON_ENTRY_TITLE_PATTERN)} THEN 'non_entry_title'
         WHEN NOT {sql_any('t', rules.ROLE_WORDS)} THEN 'no_role_in_title' WHEN {sql_any('a', rules.EXCLUDED_WORDS)} THEN 'excluded_word'
-        WHEN {sql_any('a', [f.lower() for f in rules.EXCLUDED_FAMILIES])} THEN 'excluded_family' WHEN {sql_regex('a', rules.EXPERIENCE_PATTERN)} THEN 'experience'
+        WHEN {sql_any('a', [f.lower() for f in EXAMPLE_FAMILIES])} THEN 'excluded_family' WHEN {sql_regex('a', rules.EXPERIENCE_PATTERN)} THEN 'experience'
         WHEN NOT {_early_sql()} THEN 'no_early_career_signal' ELSE 'accepted' END AS reason FROM folded)
     SELECT reason, count(*) AS listings FROM r GROUP BY reason""",
 )

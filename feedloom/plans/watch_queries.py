@@ -8,13 +8,12 @@ from feedloom import rules
 from feedloom.functions.text import links_in_text, materialize, mentions_job
 from feedloom.operators import store, watch
 from feedloom.plans.source_queries import story_pages
-from feedloom.plans.testbed import LISTINGS_CTE, listings, scratch, sql_any, table, wide
+from feedloom.plans.testbed import FILTERS, LISTINGS_CTE, listings, scratch, sql_any, table, wide
 from feedloom.plans.text_queries import cohort_sql, location_sql, relevant_sql
 from feedloom.sources import stories
 from feedloom.streaming import first_seen, lifecycle_stream
 
 QUERIES = {}
-FILTERS = rules.Filters()
 
 
 def register(name: str, sql: str | None = None):

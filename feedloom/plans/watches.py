@@ -82,7 +82,7 @@ def board_message():
         F.concat(F.lit("Location: "), place),
         F.concat(F.lit("Apply: "), F.col("url")),
         F.lit(""),
-        F.lit("Verify graduation eligibility and experience requirements before applying."),
+        F.lit("Check the requirements before you apply."),
         F.lit(""),
         "description",
     )

@@ -473,50 +473,6 @@ ENRICH_TITLE_WORDS = (
     "early career",
 )
 
-# --- Fixed values: default filters ----------------------------------------------------------
-
-EXCLUDED_FAMILIES = (
-    "IT Support",
-    "Help Desk",
-    "Analyst",
-    "Sales Engineer",
-    "Developer Advocate",
-    "Firmware",
-    "Embedded",
-    "Hardware",
-    "SRE",
-    "DevOps",
-    "Site Reliability",
-    "QA",
-)
-PROFILE_SKILLS = (
-    "Python",
-    "TypeScript",
-    "JavaScript",
-    "Java",
-    "C++",
-    "Bash",
-    "SQL",
-    "React",
-    "Next.js",
-    "MUI",
-    "Zustand",
-    "Apollo Client",
-    "FastAPI",
-    "Flask",
-    "Node.js",
-    "Express",
-    "Pydantic",
-    "REST APIs",
-    "Docker",
-    "Git",
-    "GitHub Actions",
-    "Langfuse",
-    "Retrieval-Augmented Generation",
-    "Model Context Protocol",
-    "Selenium",
-)
-
 # --- Lifecycle vocabulary -------------------------------------------------------------------
 
 NEW, SEEN, REOPENED = "new", "seen", "reopened"
@@ -537,7 +493,7 @@ class Filters:
 
     allowed_locations: tuple[str, ...] = ("United States", "Remote")
     excluded_locations: tuple[str, ...] = ()
-    excluded_families: tuple[str, ...] = EXCLUDED_FAMILIES
+    excluded_families: tuple[str, ...] = ()
     target_year: int = 2027
 
 
@@ -546,7 +502,7 @@ class Profile:
     """The person the listings are scored for."""
 
     graduation_year: int = 2027
-    skills: tuple[str, ...] = PROFILE_SKILLS
+    skills: tuple[str, ...] = ()
     preferred_locations: tuple[str, ...] = ("United States", "Remote")
     internships: tuple[str, ...] = ()
 

@@ -2,6 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from feedloom import rules
+
+FILTERS = rules.Filters(excluded_families=("Analyst", "Embedded", "Firmware", "Site Reliability"))
+PROFILE = rules.Profile(skills=("Python", "TypeScript", "React", "Node.js", "Docker", "SQL"))
+
 
 def one(spark, column):
     """Value of a column expression over literals."""

@@ -6,12 +6,13 @@ from urllib.parse import parse_qsl, urlencode, urljoin
 import pytest
 from pyspark.sql import functions as F
 
+import helpers
 from feedloom import rules
 from feedloom.functions import details, relevance, text, times, urls
 from feedloom.sources import pages
 from helpers import lit, one
 
-FILTERS = rules.Filters()
+FILTERS = helpers.FILTERS
 
 
 @pytest.mark.parametrize(

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import helpers
 from feedloom import rules, runtime
 from feedloom.functions.scoring import score
 from feedloom.operators import dedupe, digest, feedback, health, lifecycle, normalize, ranking, store, watch
@@ -120,7 +121,7 @@ def test_lifecycle(spark, status, as_of, title, life):
 
 def ranked(spark, rows, tier=3):
     frame = listings(spark, rows).withColumn("company_tier", F.lit(tier))
-    return score(frame, rules.Profile())
+    return score(frame, helpers.PROFILE)
 
 
 def test_scoring_goldens(spark):
@@ -230,10 +231,10 @@ def test_empty_digest(spark):
     none = spark.createDataFrame([], "run_id string, source_name string, message string")
     chosen = digest_frame(spark).filter("false").withColumn("place", F.lit(1))
     stats = run.withColumns({"total_collected": F.lit(4), "total_new": F.lit(0)})
-    assert digest.render_digest(run, chosen, none, stats, "2026-08-22", rules.Settings()).count() == 0
+    assert digest.render_digest(run, chosen, none, stats, "2026-08-22", rules.Settings(filters=helpers.FILTERS, profile=helpers.PROFILE)).count() == 0
     row = digest.render_digest(run, chosen, none, stats, "2026-08-22", rules.Settings(send_empty_digest=True)).first()
     assert row.subject == "[Listings] No strong new matches - Aug 22" and row.body_text.count("(none)") == 3
-    assert "Your new-grad job shortlist - Saturday, August 22" in row.body_text
+    assert "Listings of the day - Saturday, August 22" in row.body_text
 
 
 def test_stale_streak_breaks_on_a_missing_row(spark):
@@ -289,10 +290,10 @@ def test_posting_labels(spark):
         {"isListed": False}, {"employmentType": "Intern"},
     ]
     kept = ["Junior Software Engineer", "Associate Software Engineer", "Software Engineer I", "Software Engineer", "Backend Engineer"]
-    found = watch.classify_postings(postings(spark, *dropped, *[{"title": t} for t in kept], {}), rules.Filters()).collect()
+    found = watch.classify_postings(postings(spark, *dropped, *[{"title": t} for t in kept], {}), helpers.FILTERS).collect()
     assert [r.label is None for r in found] == [True] * 11 + [False] * 6
     assert found[-1].label == watch.EARLY_MATCH and found[-3].label == watch.UNCLEAR
-    odd = watch.classify_postings(postings(spark, {"id": None}, {"id": "", "applyUrl": "https://evil.example/1"}), rules.Filters())
+    odd = watch.classify_postings(postings(spark, {"id": None}, {"id": "", "applyUrl": "https://evil.example/1"}), helpers.FILTERS)
     assert [r.key for r in odd.collect()] == ["https://jobs.ashbyhq.com/d/1", "https://evil.example/1"]
     assert [r.url for r in watch.invalid_matches(odd).collect()] == ["https://evil.example/1"]
 

@@ -5,13 +5,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import helpers
 from feedloom import rules
 from feedloom.operators import store
 from feedloom.plans import daily_run
 from feedloom.sources import boards
 
 FEED = rules.StructuredFeed(name="feed_a", url="https://feeds.example/new-grad.json", job_path="jobs")
-SMALL = rules.Settings(state_buckets=4)
+SMALL = rules.Settings(filters=helpers.FILTERS, profile=helpers.PROFILE, state_buckets=4)
 JOBS = [
     {
         "job_id": "fig-1",
@@ -121,7 +122,7 @@ def test_two_runs(spark, folder):
     changed = [dict(j, title=j["title"] + " ") if j.get("company") != "Nooks" else dict(j, title="Software Engineer - New Grad (Web)") for j in JOBS]
     third = daily_run.run(
         spark, inputs(spark, changed, decisions=decisions), folder, "r3", "2026-08-29 08:00:00",
-        rules.Settings(limits=rules.Limits(digest_max_age_days=30), state_buckets=4),
+        rules.Settings(filters=helpers.FILTERS, profile=helpers.PROFILE, limits=rules.Limits(digest_max_age_days=30), state_buckets=4),
     )
     state = {r.company_name: r for r in daily_run.read_state(spark, folder).collect()}
     assert third["total_reopened"] == 1
@@ -190,7 +191,7 @@ def test_repeated_run_replaces_its_rows_by_fewer(spark, folder):
 def test_caps_are_off_and_counted_when_set(spark, folder):
     assert rules.Limits().max_jobs_per_source is None and rules.Limits().max_enrichments is None
     jobs = [dict(JOBS[0], job_id=f"j{i}", url=f"https://x.example/{i}") for i in range(5)]
-    few = rules.Settings(limits=rules.Limits(max_jobs_per_source=2), state_buckets=4)
+    few = rules.Settings(filters=helpers.FILTERS, profile=helpers.PROFILE, limits=rules.Limits(max_jobs_per_source=2), state_buckets=4)
     assert daily_run.run(spark, _only_feed(spark, jobs), folder, "r1", "2026-08-21 08:00:00", few)["total_collected"] == 2
     left = spark.read.parquet(f"{folder}/left_out").collect()
     assert [(r.collector, r.listed, r.dropped) for r in left] == [("structured:feed_a", 5, 3)]

@@ -4,12 +4,13 @@ import json
 
 from pyspark.sql import functions as F
 
+import helpers
 from feedloom import rules
 from feedloom.functions import relevance
 from feedloom.operators import enrichment
 from feedloom.sources import boards, html, markdown, outcomes, pages, search, stories, structured
 
-FILTERS = rules.Filters()
+FILTERS = helpers.FILTERS
 AS_OF = "2026-08-22 00:00:00"
 UUID = "622e1f1e-4a39-4e7c-8526-1189ca588066"
 BOARD_DDL = (
@@ -102,7 +103,7 @@ def test_markdown_table(spark):
 """
     frame = spark.createDataFrame([(0, "new_grad_2027", "https://md", body)], "source_ordinal int, source_name string, source_url string, body string")
     frame = frame.withColumn("fetched_at", F.lit(AS_OF).cast("timestamp"))
-    rows = markdown.collect_markdown(frame, rules.Settings(), AS_OF).orderBy("position").collect()
+    rows = markdown.collect_markdown(frame, rules.Settings(filters=helpers.FILTERS, profile=helpers.PROFILE), AS_OF).orderBy("position").collect()
     assert [r.company_name for r in rows] == ["Example", "No age"]
     assert rows[0].apply_url == "https://example.com/jobs/1" and rows[0].location_text == "Remote - USA"
     assert str(rows[0].posted_at) == "2026-08-20 00:00:00" and rows[0].confidence == 0.8

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import helpers
 from feedloom import rules
 from feedloom.operators import store
 from feedloom.operators.watch import InvalidMatch
@@ -29,7 +30,7 @@ def posting(key, title="Software Engineer - New Grad 2027", **more):
 
 
 def poll(spark, folder, number, rows, **more):
-    return watches.poll_board(spark, payload(spark, rows, **more), folder, number, AS_OF, rules.Filters()).first()
+    return watches.poll_board(spark, payload(spark, rows, **more), folder, number, AS_OF, helpers.FILTERS).first()
 
 
 def test_board_poll(spark, folder):
