@@ -7,7 +7,8 @@ keeps, per stripe and row group, the range of doc_id and a Bloom filter on it: a
 other stripes by metadata.
 
 Encoding. The tokenizer drops white space and encodes what stands between two blanks or line ends alone, so a text is
-cut there, and each task remembers the ids of pieces, and of the words inside them, that it has met. Both
+cut there, and each task remembers the ids of pieces, and of the words inside them, that it has met. A new word of
+Latin-1 letters goes to the tokenizer's model without its normaliser. Both
 memories are bounded (``PIECES``, ``WORDS``): when one is full, what was not met since the last time is forgotten. A text with a special token's string is given to
 the tokenizer whole. The ids equal those of whole texts, which the tests check.
 
@@ -15,13 +16,14 @@ Offsets. ``start`` is the number of ids of all documents before one. It comes fr
 a file plus the sum of the files before it, one number per file.
 
 Defined cases: a null or empty text has the end id alone; documents with the same doc_id are each written, in the order
-of their texts; a null doc_id comes before all others; an empty table gives no rows.
+of a hash of their texts; a null doc_id comes before all others; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,10 +37,14 @@ from feedloom.llm.common import landed, table
 
 END_ID = 1
 # Entries of a generation of remembered pieces and words; two generations are kept.
-PIECES = 500_000
-WORDS = 300_000
+PIECES = 400_000
+WORDS = 250_000
 # Marks that the tokenizer never joins with letters; an apostrophe may begin a suffix of its own.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Characters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others
+# follow from 256 up.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = dict(zip(PRINTED, PRINTED)) | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
 OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -55,6 +61,15 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def latin(text: str) -> bool:
+    """No character beyond Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids of texts, as little-endian 32-bit numbers."""
 
@@ -65,6 +80,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.specials = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = end_id.to_bytes(4, "little")
         self.pieces: dict[str, bytes] = {"": b""}
@@ -75,35 +91,38 @@ class Encoder:
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        """Add pieces that were not met before, or not lately."""
+    def learn(self, missing: list[str], plain: bool) -> None:
+        """Add pieces that were not met before, or not lately. ``plain``: lower-case Latin-1."""
         if len(self.pieces) > PIECES:
             self.old_pieces, self.pieces = self.pieces, {"": b""}
         if len(self.words) > WORDS:
             self.old_words, self.words = self.words, {}
-        parted, wanted = [], {}
-        for piece in pieces:
-            if piece in self.old_pieces:
-                self.pieces[piece] = self.old_pieces[piece]
+        pieces, words, old_pieces, old_words = self.pieces, self.words, self.old_pieces, self.old_words
+        for piece in missing:
+            ids = old_pieces.get(piece)
+            if ids is not None:
+                pieces[piece] = ids
                 continue
-            # A word with ASCII marks around it: the tokenizer parts letters from marks, and lower-cases.
+            # A word with ASCII marks around it: the tokenizer parts letters from marks.
             word = piece.strip(MARKS)
             if not word.isalpha():
-                self.pieces[piece] = self.encoded(piece)
+                pieces[piece] = self.encoded(piece)
                 continue
-            at = piece.find(word)
-            lead, tail = piece[:at], piece[at + len(word) :]
-            word = word.lower() if word.isascii() else word
-            parted.append((piece, lead, word, tail))
-            if word not in self.words:
-                wanted[word] = self.old_words.get(word)
-        new = [word for word, ids in wanted.items() if ids is None]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            wanted[word] = np.array(found.ids, "<u4").tobytes()
-        self.words.update(wanted)
-        for piece, lead, word, tail in parted:
-            ids = self.words[word]
-            self.pieces[piece] = self.marks(lead) + ids + self.marks(tail) if lead or tail else ids
+            ids = words.get(word)
+            if ids is None:
+                ids = old_words.get(word)
+                if ids is None:
+                    ids = self.word(word) if plain else self.encoded(word)
+                words[word] = ids
+            if len(word) < len(piece):
+                at = piece.find(word)
+                ids = self.marks(piece[:at]) + ids + self.marks(piece[at + len(word) :])
+            pieces[piece] = ids
+
+    def word(self, word: str) -> bytes:
+        """Ids of a run of letters. Lower-case Latin-1 needs no normalising and goes to the model at once."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+        return array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
 
     def marks(self, run: str) -> bytes:
         if run and run not in self.words:
@@ -115,17 +134,16 @@ class Encoder:
             return self.end
         if any(special in text for special in self.specials):
             return self.encoded(text) + self.end
-        cut = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([self.pieces[piece] for piece in cut]) + self.end
-        except KeyError:
-            distinct = dict.fromkeys(cut)
-        self.learn([piece for piece in distinct if piece not in self.pieces])
-        # What was forgotten while this text was read is of the generation before.
-        for piece in distinct:
-            if piece not in self.pieces:
-                self.pieces[piece] = self.old_pieces[piece]
-        return b"".join([self.pieces[piece] for piece in cut]) + self.end
+        # The tokenizer lower-cases; doing so first makes fewer pieces. Beyond Latin-1, lower() is not the same.
+        plain = latin(text)
+        cut = (text.lower() if plain else text).replace("\n", " ").split(" ")
+        found = list(map(self.pieces.get, cut))
+        if None in found:
+            places = [at for at, ids in enumerate(found) if ids is None]
+            self.learn(list(dict.fromkeys([cut[at] for at in places])), plain)
+            for at in places:
+                found[at] = self.pieces[cut[at]]
+        return b"".join(found) + self.end
 
 
 @lru_cache(maxsize=2)
@@ -149,9 +167,11 @@ def _encode(path: str, end_id: int):
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
     """Write (doc_id, ids) as ORC files in ascending doc_id order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Hash text as well, so that a doc_id with a third of all rows does not go to one file.
+    # A hash of the text as well, so that a doc_id with a third of all rows does not go to one file. The ranges
+    # come from a sample of these two numbers that the driver gets; it holds no texts.
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(parts, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
     encoded = ordered.mapInArrow(_encode(vocabulary, end_id), "doc_id long, ids array<int>")
     encoded.write.options(**OPTIONS).orc(path)
 
