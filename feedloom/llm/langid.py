@@ -38,7 +38,7 @@ SAMPLE_DOCS = 4_000
 ROUNDS = 3
 SMOOTHING = 0.01
 UNKNOWN = 1e-7
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 # Words of up to this length are taken together, so many at a time; no sum of theirs can vanish.
