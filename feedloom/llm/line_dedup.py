@@ -31,7 +31,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom import runtime
 from feedloom.llm.common import landed, table, unused
 
 SEED_WORDS = 5
@@ -176,8 +175,8 @@ def _without_lines(docs: DataFrame, seed_words: int) -> tuple[DataFrame, str]:
     places, parts = names
     gone = deletions(docs, seed_words).withColumnRenamed("gone", places)
     same = (docs["doc_id"].cast("long") == gone["doc_id"]) & (_text_key(docs) == gone["whole"])
-    side = F.broadcast(gone) if runtime.fits_broadcast(gone) else gone
-    joined = docs.join(side, same, "left").select(*[docs[c] for c in docs.columns], gone[places])
+    # The deletions grow with the documents, so this is one join by shuffle at every size.
+    joined = docs.join(gone.hint("merge"), same, "left").select(*[docs[c] for c in docs.columns], gone[places])
     # A column of its own, as an expression inside transform() is computed for every element.
     joined = joined.withColumn(parts, F.when(F.col(places).isNotNull(), F.split("text", "\n", -1)))
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), places)
