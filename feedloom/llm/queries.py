@@ -6,6 +6,9 @@ import importlib
 
 # Module and query of each operator.
 OPERATORS = (
+    ("token_align", "op11_token_align"),
+    ("whitening", "op12_whitening"),
+    ("chat_format", "op13_chat_format"),
     ("embed_dedup", "op6_embedding_dedup"),
     ("line_dedup", "op4_line_dedup"),
     ("toxicity", "op8_toxicity"),
