@@ -29,8 +29,10 @@ import hashlib
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +97,9 @@ class Vocabularies:
         for at in order:
             if not self.b.is_control(at) and not self.b.is_unknown(at):
                 same.setdefault(self.b_bytes[at], at)
-        self.identity = np.array([same.get(x, -1) if x else -1 for x in self.a_bytes], "i8")
+        self.identity_list = [same.get(x, -1) if x else -1 for x in self.a_bytes]
+        self.identity = np.array(self.identity_list, "i8")
+        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.cuts = self._cuts(json.loads(self.a.to_str()))
 
     @staticmethod
@@ -125,82 +129,99 @@ class Vocabularies:
         """Smallest integers that hold a * b_size + b."""
         return "i4" if self.a_size * self.b_size < 1 << 31 else "i8"
 
+    @property
+    def key_code(self) -> str:
+        """The same for the array module."""
+        return {"i4": "i", "i8": "q"}[self.key_type]
+
 
 @lru_cache(maxsize=2)
 def vocabularies(a_path: str, b_path: str) -> Vocabularies:
     return Vocabularies(a_path, b_path)
 
 
-# (groups as text, [n_a, n_b, n_groups], ids of A of regular groups, keys of irregular links), the last three as bytes.
-Record = tuple[bytes, bytes, bytes, bytes]
-NOTHING: Record = (b"", b"", b"", b"")
+# (groups as text, ids of A of regular groups, keys of irregular links), the last two as bytes. In the text a comma stands between
+# ids of A and a stroke between ids of B, so that both can be counted; a digest has commas for both.
+Record = tuple[bytes, bytes, bytes]
+# Stands for a text whose tokens do not give its bytes.
+ODD: Record = (b"", b"", b"")
 
 
 def align(a: list[int], b: list[int], words: Vocabularies) -> Record:
     """Groups and links of two id sequences over the same bytes."""
     groups, regular, irregular = [], [], []
-    sizes_a, sizes_b, size, identity = words.a_bytes, words.b_bytes, words.b_size, words.identity
-    i = j = 0
-    while i < len(a):
-        from_a, from_b = i, j
-        end_a, end_b = len(sizes_a[a[i]]), len(sizes_b[b[j]])
-        pairs = [a[i] * size + b[j]]
+    sizes_a, sizes_b, size, identity = words.a_sizes, words.b_sizes, words.b_size, words.identity_list
+    i, j, n = 0, 0, len(a)
+    while i < n:
+        x, y = a[i], b[j]
+        end_a, end_b = sizes_a[x], sizes_b[y]
         i, j = i + 1, j + 1
+        if end_a == end_b:
+            groups.append(f"{x}|{y}")
+            if identity[x] == y:
+                regular.append(x)
+            else:
+                irregular.append(x * size + y)
+            continue
+        irregular.append(x * size + y)
+        text_a, text_b = str(x), str(y)
         while end_a != end_b:
             # The side that ends first goes on, and meets the token that the other side is in.
             if end_a < end_b:
-                end_a += len(sizes_a[a[i]])
+                x = a[i]
+                end_a += sizes_a[x]
                 i += 1
+                text_a += f",{x}"
             else:
-                end_b += len(sizes_b[b[j]])
+                y = b[j]
+                end_b += sizes_b[y]
                 j += 1
-            pairs.append(a[i - 1] * size + b[j - 1])
-        groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-        if len(pairs) == 1 and identity[a[from_a]] == b[from_b]:
-            regular.append(a[from_a])
-        else:
-            irregular += pairs
-    counts = np.array([len(a), len(b), len(groups)], "<i4").tobytes()
-    return ";".join(groups).encode(), counts, np.array(regular, "<i4").tobytes(), np.array(irregular, words.key_type).tobytes()
+                text_b += f"/{y}"
+            irregular.append(x * size + y)
+        groups.append(text_a + "|" + text_b)
+    return ";".join(groups).encode(), array("i", regular).tobytes(), array(words.key_code, irregular).tobytes()
 
 
 class Aligner:
-    """Records of texts; None where the tokens do not give the text's bytes."""
+    """Records of texts; ODD where the tokens do not give the text's bytes."""
 
     def __init__(self, a_path: str, b_path: str):
         self.voc = vocabularies(a_path, b_path)
-        self.pieces: dict[str, Record | None] = {}
-        self.words: dict[str, Record | None] = {}
-        self.old_pieces: dict[str, Record | None] = {}
-        self.old_words: dict[str, Record | None] = {}
+        self.pieces: dict[str, Record] = {}
+        self.words: dict[str, Record] = {}
+        self.old_pieces: dict[str, Record] = {}
+        self.old_words: dict[str, Record] = {}
 
-    def record(self, text: str, a: list[int], b: list[int]) -> Record | None:
+    def record(self, text: str, a: list[int], b: list[int]) -> Record:
         voc, wanted = self.voc, text.encode()
-        if b"".join(map(voc.a_bytes.__getitem__, a)) != wanted or b"".join(map(voc.b_bytes.__getitem__, b)) != wanted:
-            return None
+        parts_a, parts_b = [voc.a_bytes[x] for x in a], [voc.b_bytes[y] for y in b]
         # Entries without bytes would stand nowhere; no public file has them in a text.
-        return align(a, b, voc) if all(map(voc.a_bytes.__getitem__, a)) and all(map(voc.b_bytes.__getitem__, b)) else None
+        if b"".join(parts_a) != wanted or b"".join(parts_b) != wanted or b"" in parts_a or b"" in parts_b:
+            return ODD
+        return align(a, b, voc)
 
-    def whole(self, text: str) -> Record | None:
+    def whole(self, text: str) -> Record:
         """Of a whole text, without cuts."""
         a = self.voc.a.encode(" " + text, add_special_tokens=False).ids
         return self.record(" " + text, a, self.voc.b.encode(text))
 
-    def learn(self, pieces: list[str]) -> dict[str, Record | None]:
+    def learn(self, pieces: set[str]) -> dict[str, Record]:
         """Records of pieces that were not met before, or not lately."""
         if len(self.pieces) > PIECES:
             self.old_pieces, self.pieces = self.pieces, {}
         if len(self.words) > WORDS:
             self.old_words, self.words = self.words, {}
-        found = {piece: self.old_pieces[piece] for piece in pieces if piece in self.old_pieces}
-        cut = {piece: CUT.split(" " + piece) for piece in pieces if piece not in found}
-        known: dict[str, Record | None] = {}
-        missing = []
-        for word in dict.fromkeys(word for words in cut.values() for word in words):
-            record = self.words.get(word, NOTHING)
-            if record is NOTHING:
-                record = self.old_words.get(word, NOTHING)
-            if record is NOTHING:
+        found, cut = {}, {}
+        for piece in pieces:
+            record = self.old_pieces.get(piece)
+            if record is None:
+                cut[piece] = CUT.split(" " + piece)
+            else:
+                found[piece] = record
+        known, missing = {}, []
+        for word in set(chain.from_iterable(cut.values())):
+            record = self.words.get(word) or self.old_words.get(word)
+            if record is None:
                 missing.append(word)
             else:
                 known[word] = record
@@ -210,37 +231,34 @@ class Aligner:
             b = self.voc.b.encode(["\n" + word for word in missing], num_threads=1)
             for word, ids_a, ids_b in zip(missing, a, b):
                 known[word] = self.record(word, ids_a.ids, ids_b[2:])
-        for word, record in known.items():
-            if len(word) <= LONGEST:
-                self.words[word] = record
+        self.words.update((word, record) for word, record in known.items() if len(word) <= LONGEST)
         for piece, words in cut.items():
-            found[piece] = joined([known[word] for word in words]) if len(words) > 1 else known[words[0]]
-        for piece, record in found.items():
-            if len(piece) <= LONGEST:
-                self.pieces[piece] = record
+            found[piece] = known[words[0]] if len(words) == 1 else joined([known[word] for word in words])
+        self.pieces.update((piece, record) for piece, record in found.items() if len(piece) <= LONGEST)
         return found
 
-    def __call__(self, texts: list[str]) -> list[list[Record] | None]:
-        """For each text, which is not empty, the records of its pieces."""
+    def __call__(self, texts: list[str]) -> list[list[Record]]:
+        """For each text the records of its pieces."""
         if not self.voc.cuts:
-            return [[record] if (record := self.whole(text)) else None for text in texts]
+            return [[self.whole(text)] for text in texts]
         cut = [SPACE.split(text) for text in texts]
-        missing = {piece for pieces in cut for piece in pieces if piece not in self.pieces}
-        # Pieces that stay remembered may be forgotten by ``learn``, so those of this call are kept aside.
-        now, new = self.pieces, self.learn(list(missing)) if missing else {}
+        # Pieces that are remembered now may be forgotten by ``learn``.
+        now, missing = self.pieces, set(chain.from_iterable(cut)).difference(self.pieces)
+        new = self.learn(missing) if missing else {}
         found = []
         for pieces in cut:
-            records = [new[piece] if piece in new else now[piece] for piece in pieces]
-            found.append(None if None in records else records)
+            records = list(map(now.get, pieces))
+            if None in records:
+                records = [new[piece] if record is None else record for piece, record in zip(pieces, records)]
+            found.append(records)
         return found
 
 
-def joined(records: list[Record | None]) -> Record | None:
+def joined(records: list[Record]) -> Record:
     """One record of records that follow each other."""
-    if None in records:
-        return None
-    counts = np.frombuffer(b"".join([r[1] for r in records]), "<i4").reshape(-1, 3).sum(0, dtype="<i4")
-    return b";".join([r[0] for r in records]), counts.tobytes(), b"".join([r[2] for r in records]), b"".join([r[3] for r in records])
+    if ODD in records:
+        return ODD
+    return b";".join([r[0] for r in records]), b"".join([r[1] for r in records]), b"".join([r[2] for r in records])
 
 
 @lru_cache(maxsize=1)
@@ -264,16 +282,15 @@ ALIGNED = (
 NO_TOKENS = (0, 0, 0, 0, "", b"", b"")
 
 
-def _of_text(parts: list[list[Record] | None], key_size: int) -> tuple:
+def _of_text(parts: list[list[Record]], key_size: int) -> tuple:
     """Columns of one text, given the records of its slices."""
-    if None in parts:
+    groups, regular, irregular = joined([record for part in parts for record in part])
+    if not groups:
         return NO_TOKENS
-    records = [record for part in parts for record in part]
-    counts = np.frombuffer(b"".join([r[1] for r in records]), "<i4").reshape(-1, 3).sum(0, dtype="i8")
-    digest, regular = hashlib.sha256(b";".join([r[0] for r in records])), b"".join([r[2] for r in records])
-    irregular = b"".join([r[3] for r in records])
-    links = len(regular) // 4 + len(irregular) // key_size
-    return (*map(int, counts), links, digest.hexdigest(), regular, irregular)
+    n_groups = groups.count(b";") + 1
+    n_a, n_b = groups.count(b",") + n_groups, groups.count(b"/") + n_groups
+    digest = hashlib.sha256(groups.replace(b"/", b",")).hexdigest()
+    return n_a, n_b, n_groups, len(regular) // 4 + len(irregular) // key_size, digest, regular, irregular
 
 
 def _align(a_path: str, b_path: str):
