@@ -18,14 +18,20 @@ from pyspark.sql.window import Window
 from feedloom import rules
 from feedloom.operators import dedupe, digest, enrichment, feedback, health, lifecycle, normalize, ranking, store
 from feedloom.schemas import ERRORS_DDL, STATE_DDL
-from feedloom.sources import boards, markdown, outcomes, structured
+from feedloom.sources import boards, company_pages, html, markdown, outcomes, search, structured
 
 ATS_COLLECTOR = "ats"
+PAGES_COLLECTOR, SEARCH_COLLECTOR = "company_pages", "web_search"
 
 
 @dataclass
 class Inputs:
-    """Landed tables of one run; any of them may be left out."""
+    """Landed tables of one run; any of them may be left out.
+
+    ``company_pages`` (slug, url, html, source_ordinal, fetched_at) are read for the companies of the scan list, and
+    ``found_payloads`` for the boards that they link to. ``search_results`` are rows of
+    ``search.results_from_payloads``, ``search_pages`` (page_id, url, html) the pages landed for them.
+    """
 
     structured: list[tuple[rules.StructuredFeed, DataFrame]] = field(default_factory=list)
     markdown: DataFrame | None = None
@@ -34,9 +40,18 @@ class Inputs:
     collected: list[DataFrame] = field(default_factory=list)
     pages: DataFrame | None = None
     companies: DataFrame | None = None
+    company_pages: DataFrame | None = None
+    found_payloads: DataFrame | None = None
+    search_results: DataFrame | None = None
+    search_pages: DataFrame | None = None
     decisions: DataFrame | None = None
 
 
+FOUND_PAYLOADS_DDL = """
+    source_ordinal int, platform string, identifier string, api_url string, careers_url string, fetched_at timestamp, body string
+"""
+
+
 def _feed_parts(inputs: Inputs, settings: rules.Settings, as_of: str):
     """Listings and outcome of every structured and Markdown feed."""
     listings, counts = [], []
@@ -122,6 +137,24 @@ def _collect(spark, inputs, root, run_id, as_of, settings):
         outcome_parts.append(
             outcomes.board_outcomes(inputs.boards, judged).withColumn("kind", F.lit("ats"))
         )
+    if inputs.company_pages is not None:
+        payloads = inputs.found_payloads
+        if payloads is None:
+            payloads = spark.createDataFrame([], FOUND_PAYLOADS_DDL)
+        found, states = company_pages.collect(
+            inputs.companies, inputs.company_pages, payloads, settings,
+            lambda df, name: store.append_run(df, f"{root}/{name}", run_id).drop("run_id"),
+        )
+        listings.append(found.withColumn("collector", F.lit(PAGES_COLLECTOR)))
+        outcome_parts.append(states)
+    if inputs.search_results is not None:
+        landed = inputs.search_pages
+        if landed is None:
+            landed = spark.createDataFrame([], "page_id bigint, url string, html string")
+        read = html.page_facts(search.needed_pages(inputs.search_results, landed))
+        facts = store.append_run(read, f"{root}/search_facts", run_id).drop("run_id")
+        found = search.search_listings(inputs.search_results, facts, settings.filters, settings.limits.max_search_results)
+        listings.append(found.withColumn("collector", F.lit(SEARCH_COLLECTOR)))
     for extra in inputs.collected:
         listings.append(extra.withColumn("collector", F.col("source_type")))
     collected, cap = _union(listings), settings.limits.max_jobs_per_source

@@ -362,13 +362,27 @@ def fresh_actionable(spark, sf_dir):
     return ranking.actionable(ranked(spark, sf_dir), AS_OF, rules.Limits()).select("doc_id", "lifecycle_state")
 
 
+_SPARSE = (
+    f"WITH {LISTINGS_CTE}, {identity_cte()} SELECT doc_id, canonical_key FROM identified "
+    "WHERE length(trim(description_text, chr(32)||chr(10)||chr(9)||chr(13))) < 400"
+)
+
+
 @register(
     "enrichment_picks",
-    f"WITH {LISTINGS_CTE}, {identity_cte()} SELECT doc_id, canonical_key FROM identified "
-    "WHERE length(trim(description_text, chr(32)||chr(10)||chr(9)||chr(13))) < 400 "
-    f"ORDER BY {sql_any('lower(title)', rules.ENRICH_TITLE_WORDS)} DESC, posted_epoch IS NOT NULL DESC, posted_epoch DESC, source_ordinal, position LIMIT 30",
+    f"{_SPARSE} ORDER BY {sql_any('lower(title)', rules.ENRICH_TITLE_WORDS)} DESC, posted_epoch IS NOT NULL DESC, posted_epoch DESC, source_ordinal, position LIMIT 30",
 )
 def enrichment_picks(spark, sf_dir):
+    """The 30 sparse listings that are enriched first."""
+    from feedloom.operators.enrichment import pick_sparse
+
+    limits = rules.Limits(min_description_chars=400, max_enrichments=30)
+    return pick_sparse(normalized(spark, sf_dir), limits).select("doc_id", "canonical_key")
+
+
+@register("enrichment_all", _SPARSE)
+def enrichment_all(spark, sf_dir):
+    """All sparse listings, as without a limit."""
     from feedloom.operators.enrichment import pick_sparse
 
     return pick_sparse(normalized(spark, sf_dir), rules.Limits(min_description_chars=400)).select("doc_id", "canonical_key")

@@ -28,7 +28,7 @@ from feedloom.plans.testbed import (
 )
 from feedloom.plans.text_queries import cohort_sql, folded_cte, location_sql, relevant_sql
 from feedloom.runtime import land
-from feedloom.sources import boards, html, markdown, outcomes, pages, search, stories, structured
+from feedloom.sources import boards, company_pages, html, markdown, outcomes, pages, search, stories, structured
 
 QUERIES = {}
 SETTINGS = rules.Settings(filters=FILTERS, limits=rules.Limits(max_age_days=30))
@@ -453,6 +453,73 @@ def company_page_listings(spark, sf_dir):
     return found.groupBy("source_type", "title").agg(F.count(F.lit(1)).alias("listings"))
 
 
+# A third of all pages link to one board, spelled in another case; some link to a board with or without a landed payload.
+_HOT_BOARD = 2
+_PAGE_LINKS = f"""links AS (SELECT page_id, {_HOT_BOARD} AS g, 'greenhouse' AS platform FROM pages WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id, (page_id % 7) * 6 + 3, 'lever' FROM pages WHERE page_id % 12 = 4)"""
+_COMPANY_PAGES = f"""boards_ AS (WITH {_BOARD_CTE} SELECT g, k, title, apply_url, passes, g % 10 = 5 AS broken FROM judged), {_PAGE_LINKS},
+    found AS (SELECT l.page_id, l.platform, b.title, b.apply_url, b.passes, b.broken FROM links l JOIN boards_ b ON b.g = l.g),
+    answered AS (SELECT DISTINCT page_id FROM found WHERE passes AND NOT broken),
+    own AS (WITH {_PAGES_CTE} SELECT page_id, 'Org ' || page_id AS company_name, title, apply_url FROM folded WHERE {relevant_sql()} AND {location_sql('location_text')}),
+    listed AS (SELECT platform || ':Company ' || page_id AS source_name, 'ats' AS source_type, 'Company ' || page_id AS company_name, title, apply_url
+            FROM found WHERE passes AND NOT broken
+        UNION ALL SELECT 'company:c' || page_id, 'company_page', company_name, title, apply_url FROM own WHERE page_id NOT IN (SELECT page_id FROM answered)
+        UNION ALL SELECT 'company:c' || page_id, 'company_page', 'Company ' || page_id, title, apply_url FROM ({_ANCHORS})
+            WHERE page_id % 2 = 0 AND page_id NOT IN (SELECT page_id FROM answered))"""
+
+
+def company_tables(spark, sf_dir):
+    """Companies, one per page, their landed pages with links to boards, and the payloads of boards."""
+    rows = _job_pages(spark, sf_dir)
+    ident = F.col("page_id").cast("string")
+    links = (
+        F.when(F.col("page_id") % 3 == 0, F.lit(f'<a href="https://boards.greenhouse.io/B{_HOT_BOARD}">board</a>'))
+        .when(F.col("page_id") % 12 == 4, F.concat(F.lit("https://jobs.lever.co/b"), (F.col("page_id") % 7 * 6 + 3).cast("string")))
+        .when(F.col("page_id") % 12 == 10, F.concat(F.lit("https://jobs.ashbyhq.com/none-"), ident))
+        .otherwise(F.lit(""))
+    )
+    landed = rows.filter("page_id % 11 <> 7").select(
+        F.concat(F.lit("c"), ident).alias("slug"), F.col("page_id").cast("int").alias("source_ordinal"), "url",
+        F.concat("html", links).alias("html"), F.lit("2024-02-01").cast("timestamp").alias("fetched_at"),
+    )
+    listed = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("company_id"), F.concat(F.lit("c"), ident).alias("slug"), F.concat(F.lit("Company "), ident).alias("name"),
+        (F.col("page_id") % 2 + 1).cast("int").alias("priority_tier"), F.lit(True).alias("enabled"),
+    )
+    return listed, landed, _board_payloads(spark, sf_dir).drop("company_name")
+
+
+def _company_pages(spark, sf_dir):
+    settings = rules.Settings(filters=FILTERS)
+    return company_pages.collect(*company_tables(spark, sf_dir), settings, land)
+
+
+_LANDED = "CAST(split_part(source_name, CASE WHEN source_type = 'ats' THEN 'Company ' ELSE 'company:c' END, 2) AS BIGINT) % 11 <> 7"
+
+
+@register("company_page_rows", f"WITH {_COMPANY_PAGES} SELECT * FROM listed WHERE {_LANDED}")
+def company_page_rows(spark, sf_dir):
+    """Scan list, boards found on the pages, their payloads, and the pages' own listings where boards gave none."""
+    found, _ = _company_pages(spark, sf_dir)
+    return found.select("source_name", "source_type", "company_name", "title", "apply_url")
+
+
+@register(
+    "company_page_outcomes",
+    f"""WITH {_COMPANY_PAGES}, per_page AS (SELECT split_part(source_name, CASE WHEN source_type = 'ats' THEN 'Company ' ELSE 'company:c' END, 2) AS id, count(*) AS n FROM listed GROUP BY 1)
+    SELECT 'company:c' || page_id AS source_name, CASE WHEN page_id % 11 = 7 THEN 'failed' ELSE 'healthy' END AS status, CAST(NULL AS BIGINT) AS total_available,
+        CASE WHEN page_id % 11 = 7 THEN 0 ELSE coalesce(n, 0) END AS relevant_jobs, CASE WHEN page_id % 11 = 7 THEN 'no page was landed' END AS error
+    FROM pages LEFT JOIN per_page ON id = CAST(page_id AS VARCHAR)
+    UNION ALL SELECT 'discovered:' || platform || ':Company ' || page_id, CASE WHEN n IS NULL OR broken THEN 'failed' ELSE 'healthy' END,
+        CASE WHEN NOT broken THEN n END, CASE WHEN NOT broken THEN relevant ELSE 0 END,
+        CASE WHEN n IS NULL THEN 'no payload was landed' WHEN broken THEN 'payload is not a list' END
+    FROM links LEFT JOIN (SELECT g, broken, count(*) AS n, count(*) FILTER (passes) AS relevant FROM boards_ GROUP BY 1, 2) USING (g) WHERE page_id % 11 <> 7
+    UNION ALL SELECT 'discovered:ashby:Company ' || page_id, 'failed', NULL, 0, 'no payload was landed' FROM pages WHERE page_id % 12 = 10 AND page_id % 11 <> 7""",
+)
+def company_page_outcomes(spark, sf_dir):
+    return _company_pages(spark, sf_dir)[1].drop("kind")
+
+
 _LINKED = "page_id % 4 < 2"
 
 
@@ -577,6 +644,42 @@ def search_pages(spark, sf_dir):
     return found.groupBy("search_query", F.col("metadata")["parser"].alias("parser")).agg(F.count(F.lit(1)).alias("listings"))
 
 
+_HOT_PAGE = "(SELECT min(url) FROM pages WHERE page_id = 1)"
+
+
+def _many_results(spark, sf_dir):
+    """``_results``, and as many again as there are listings that point to one page."""
+    hot = table(spark, sf_dir, "pages").filter("page_id = 1").agg(F.min("url").alias("url"))
+    again = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("hot"), (F.col("doc_id") % 5).cast("string")).alias("query"), F.col("doc_id").alias("position"), F.lit("Jobs").alias("title"),
+        F.lit(None).cast("string").alias("snippet"), F.lit("engine").alias("source_name"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(0).alias("source_ordinal"),
+    )
+    # One address, a single row.
+    return _results(spark, sf_dir).unionByName(again.crossJoin(F.broadcast(hot)))
+
+
+@register(
+    "search_listings",
+    f"""WITH direct AS (WITH {LISTINGS_CTE}, s AS (SELECT doc_id, apply_url, CASE title
+            WHEN 'Associate Software Engineer (Remote, US)' THEN 'Associate Software Engineer'
+            WHEN 'Product Engineer, New Graduate - Austin, TX' THEN 'Product Engineer, New Graduate'
+            WHEN 'Software Developer | Early Career | Seattle' THEN 'Software Developer | Early Career' ELSE title END AS title, 'Great role' AS description_text,
+            CASE title WHEN 'Associate Software Engineer (Remote, US)' THEN 'Remote, US' WHEN 'Product Engineer, New Graduate - Austin, TX' THEN 'Austin, TX'
+            WHEN 'Software Developer | Early Career | Seattle' THEN 'Seattle' END AS location_text FROM listings),
+        {folded_cte('s')} SELECT CAST(doc_id % 8 AS VARCHAR) AS search_query, title, apply_url, 'search_result_direct' AS parser FROM folded
+        WHERE {relevant_sql()} AND {location_sql('location_text')} AND {_COMPANY} IS NOT NULL),
+    own AS (WITH {_PAGES_CTE} SELECT url, title, apply_url, 'json_ld' AS parser FROM folded WHERE {relevant_sql()} AND {location_sql('location_text')}
+        UNION ALL SELECT url, title, a.apply_url, 'anchor_fallback' FROM ({_ANCHORS}) a JOIN pages USING (page_id)),
+    asked AS (SELECT CAST(page_id % 8 AS VARCHAR) AS search_query, url FROM pages UNION ALL SELECT 'hot' || doc_id % 5, {_HOT_PAGE} FROM documents)
+    SELECT * FROM direct UNION ALL SELECT search_query, title, apply_url, parser FROM asked JOIN own USING (url)
+        WHERE NOT regexp_matches(url, '^[a-z]+://([^/?#]*\\.)?google\\.com')""",
+)
+def search_listings(spark, sf_dir):
+    """Direct listings and those of the pages behind; one address behind a third of all results is dealt out."""
+    found = search.search_listings(_many_results(spark, sf_dir), land(_facts(spark, sf_dir), "page-facts"), FILTERS, per_salt=1000)
+    return found.select("search_query", "title", "apply_url", F.col("metadata")["parser"].alias("parser"))
+
+
 # --- stories ---------------------------------------------------------------------------------
 
 

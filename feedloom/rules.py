@@ -525,6 +525,7 @@ class Limits:
 
     max_jobs_per_source: int | None = None
     max_company_pages: int | None = None
+    max_search_results: int | None = None
     max_enrichments: int | None = None
     min_description_chars: int = 160
     max_age_days: int = 45

@@ -70,3 +70,27 @@ def lookup_join(
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def skew_join(
+    rows: DataFrame, other: DataFrame, on: list[str], salt_by: str, how: str = "inner", per_salt: int = 10_000
+) -> DataFrame:
+    """Join two tables of which ``rows`` may hold a large part of its rows under one key.
+
+    Keys with more than ``per_salt`` rows are counted first; such a key is dealt to as many salts as it
+    needs, and only its rows of ``other`` are copied, once per salt. All other keys have one salt.
+    """
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > per_salt)
+    hot = land(counts.select(*on, F.ceil(F.col("_n") / per_salt).cast("int").alias("_salts")), "hot-keys")
+
+    def marked(df: DataFrame) -> DataFrame:
+        # Unique by key. Beyond the size for a broadcast Spark shuffles by the key; no key has few salts and many rows.
+        side = F.broadcast(hot) if fits_broadcast(hot) else hot
+        return df.join(side, on, "left")
+
+    dealt = F.pmod(F.xxhash64(salt_by), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted = marked(rows).withColumn("_salt", dealt).drop("_salts")
+    copied = marked(other).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    ).drop("_salts")
+    return salted.join(copied, [*on, "_salt"], how).drop("_salt")

@@ -74,6 +74,20 @@ def split_title(title: Column) -> Column:
     return bind(collapse(title), split)
 
 
+def posting_gate(posting: Column, company: Column, filters: rules.Filters) -> Column:
+    """A title, a company, an allowed place and a relevant role."""
+    return (
+        posting["title"].isNotNull()
+        & (F.coalesce(company, F.lit("")) != "")
+        & location_allowed(posting["location"], filters)
+        & is_relevant_role(posting["title"], posting["description"], filters)
+    )
+
+
+def _employer(posting: Column) -> Column:
+    return F.when(posting["has_organization"], posting["organization"]).otherwise(F.col("company_name"))
+
+
 def posting_listings(facts: DataFrame, filters: rules.Filters) -> DataFrame:
     """JSON-LD postings that pass the gate, with all page columns kept.
 
@@ -84,28 +98,18 @@ def posting_listings(facts: DataFrame, filters: rules.Filters) -> DataFrame:
         *[c for c in facts.columns if c not in ("postings", "anchors", "descriptions")],
         F.posexplode("postings").alias("position", "posting"),
     )
-    known = F.when(F.col("posting.has_organization"), F.col("posting.organization")).otherwise(F.col("company_name"))
-    named = rows.withColumns(
-        {
-            "company_name": known,
-            "title": F.col("posting.title"),
-            "description_text": F.col("posting.description"),
-            "location_text": F.col("posting.location"),
-        }
-    )
-    gate = (
-        F.col("title").isNotNull()
-        & (F.coalesce(F.col("company_name"), F.lit("")) != "")
-        & location_allowed(F.col("location_text"), filters)
-        & is_relevant_role(F.col("title"), F.col("description_text"), filters)
-    )
-    once = materialize(named, passes=gate)
+    posting = F.col("posting")
+    once = materialize(rows, passes=posting_gate(posting, _employer(posting), filters))
     return once.filter("passes").withColumns(
         {
-            "apply_url": resolve_link(F.col("url"), F.coalesce(F.col("posting.url"), F.col("url"))),
-            "external_job_id": F.col("posting.identifier"),
-            "posted_at": times.parse_posted(F.col("posting.date_posted")),
-            "employment_type": F.col("posting.employment_type"),
+            "company_name": _employer(posting),
+            "title": posting["title"],
+            "description_text": posting["description"],
+            "location_text": posting["location"],
+            "apply_url": resolve_link(F.col("url"), F.coalesce(posting["url"], F.col("url"))),
+            "external_job_id": posting["identifier"],
+            "posted_at": times.parse_posted(posting["date_posted"]),
+            "employment_type": posting["employment_type"],
             "confidence": F.lit(1.0),
             "metadata": F.create_map(F.lit("parser"), F.lit("json_ld")),
         }
@@ -159,18 +163,77 @@ def anchor_listings(facts: DataFrame, filters: rules.Filters) -> DataFrame:
     )
 
 
+def _passed(filters: rules.Filters) -> Column:
+    """The postings of a page that pass the gate, each with its place on the page."""
+    placed = F.transform("postings", lambda posting, i: F.struct(i.alias("place"), posting.alias("posting")))
+    return F.filter(placed, lambda x: posting_gate(x["posting"], _employer(x["posting"]), filters))
+
+
+def _passed_anchors(filters: rules.Filters) -> Column:
+    named = F.filter(
+        F.transform("anchors", lambda anchor, i: F.struct(i.alias("place"), anchor.alias("anchor"))),
+        lambda x: x["anchor"]["text"] != "",
+    )
+    split = F.transform(
+        named, lambda x: F.struct(x["place"].alias("place"), x["anchor"].alias("anchor"), split_title(x["anchor"]["text"]).alias("split"))
+    )
+    return F.filter(
+        split, lambda x: anchor_gate(x["split"]["title"], x["split"]["location"], x["anchor"]["href"], filters)
+    )
+
+
 def page_listings(facts: DataFrame, filters: rules.Filters, fallback: Column, page_key: str = "page_id") -> DataFrame:
-    """Postings of every page; anchors only where a page gave none and ``fallback`` holds."""
-    postings = select_collected(posting_listings(facts, filters).withColumn("source_url", F.col("url")))
-    return postings.unionByName(
-        select_collected(fallback_listings(facts, filters, fallback, page_key).withColumn("source_url", F.col("url")))
+    """Postings of every page; anchors only where a page gave none and ``fallback`` holds.
+
+    Both are decided within the row of the page: its postings pass the gate once, and its anchors are looked at
+    only if none did.
+    """
+    once = materialize(facts, passed=_passed(filters))
+    wanted = F.when((F.size("passed") == 0) & fallback, _passed_anchors(filters))
+
+    def entry(x: Column, is_posting: bool) -> Column:
+        posting, anchor = (x["posting"], None) if is_posting else (None, x["anchor"])
+        none = F.lit(None).cast("string")
+        parser = F.create_map(F.lit("parser"), F.lit("json_ld")) if is_posting else F.create_map(
+            F.lit("parser"), F.lit("anchor_fallback"), F.lit("raw_anchor_text"), anchor["text"]
+        )
+        unknown = F.coalesce(null_if_empty(F.col("company_name")), F.col("page_title"), F.lit("Unknown Company"))
+        href = F.coalesce(posting["url"], F.col("url")) if is_posting else anchor["href"]
+        return F.struct(
+            x["place"].cast("bigint").alias("position"),
+            (_employer(posting) if is_posting else unknown).alias("company_name"),
+            (posting["title"] if is_posting else x["split"]["title"]).alias("title"),
+            (posting["location"] if is_posting else x["split"]["location"]).alias("location_text"),
+            (posting["description"] if is_posting else F.lit("")).alias("description_text"),
+            href.alias("href"),
+            (posting["identifier"] if is_posting else none).alias("external_job_id"),
+            (posting["date_posted"] if is_posting else none).alias("date_posted"),
+            (posting["employment_type"] if is_posting else none).alias("employment_type"),
+            F.lit(1.0 if is_posting else 0.6).alias("confidence"),
+            parser.alias("metadata"),
+        )
+
+    postings = F.transform("passed", lambda x: entry(x, True))
+    anchors = F.transform(wanted, lambda x: entry(x, False))
+    listed = F.concat(postings, F.coalesce(anchors, F.array().cast(_entry_type(once, postings))))
+    known = [c for c in ("url", "source_name", "source_type", "source_ordinal", "fetched_at") if c in facts.columns]
+    rows = once.select(*known, F.explode(listed).alias("e"))
+    return select_collected(
+        rows.select(*known, "e.*"),
+        source_url=F.col("url"),
+        apply_url=resolve_link(F.col("url"), F.col("href")),
+        posted_at=times.parse_posted(F.col("date_posted")),
     )
 
 
+def _entry_type(rows: DataFrame, entries: Column) -> str:
+    return rows.select(entries.alias("e")).schema["e"].dataType.simpleString()
+
+
 def fallback_listings(facts: DataFrame, filters: rules.Filters, fallback: Column, page_key: str = "page_id") -> DataFrame:
-    # Page keys are unique, so neither side of the anti join can be skewed.
-    answered = posting_listings(facts, filters).select(page_key).distinct()
-    return anchor_listings(facts.filter(fallback).join(answered, page_key, "left_anti"), filters)
+    """Anchor listings of the pages without a posting that passes, where ``fallback`` holds."""
+    once = materialize(facts, passed=F.size(_passed(filters)))
+    return anchor_listings(once.filter(fallback & (F.col("passed") == 0)).drop("passed"), filters)
 
 
 def _links_of(platform: str, pattern: str) -> Column:

@@ -10,6 +10,7 @@ from feedloom import rules
 from feedloom.functions.relevance import is_relevant_role, location_allowed
 from feedloom.functions.text import materialize, strip
 from feedloom.functions.urls import company_from_url, on_domain
+from feedloom.runtime import skew_join
 from feedloom.schemas import select_collected
 from feedloom.sources.pages import page_listings, split_title
 
@@ -20,9 +21,11 @@ def results_from_payloads(payloads: DataFrame) -> DataFrame:
     parsed = payloads.select(
         "source_ordinal", F.from_json("body", f"struct<queries: map<string, array<{result}>>>").alias("p")
     )
-    per_query = parsed.select("source_ordinal", F.explode("p.queries").alias("query", "results"))
-    rows = per_query.select("source_ordinal", "query", F.posexplode("results").alias("position", "r"))
-    return rows.select("source_ordinal", "query", "position", "r.*")
+    per_query = parsed.select("source_ordinal", F.posexplode("p.queries").alias("number", "query", "results"))
+    rows = per_query.select("source_ordinal", "number", "query", F.posexplode("results").alias("place", "r"))
+    # Places of a payload go through its queries, so that no two results share one.
+    position = F.shiftleft(F.col("number").cast("bigint"), 32) + F.col("place")
+    return rows.select("source_ordinal", "query", position.alias("position"), "r.*")
 
 
 def top_results(results: DataFrame, limit: int) -> DataFrame:
@@ -58,21 +61,25 @@ def direct_listings(results: DataFrame, filters: rules.Filters) -> DataFrame:
     )
 
 
-def result_pages(
-    results: DataFrame, facts: DataFrame, aggregators: tuple[str, ...] = rules.SEARCH_AGGREGATORS
+def needed_pages(
+    results: DataFrame, pages: DataFrame, aggregators: tuple[str, ...] = rules.SEARCH_AGGREGATORS
 ) -> DataFrame:
-    """Facts of the landed pages behind results that are not on an aggregator.
+    """The landed pages, or their facts, behind results that are not on an aggregator.
 
-    One page may stand behind many results: the facts are joined to the distinct addresses and the
-    results to their outcome, so a popular page is read once.
+    One page may stand behind many results: the distinct addresses pick the pages, so a popular page is
+    read once, and no other page is parsed.
     """
     wanted = results.filter(~on_domain(F.col("url"), aggregators)).select("url").distinct()
-    return facts.join(wanted, "url", "left_semi")
+    return pages.join(wanted, "url", "left_semi")
 
 
-def page_results(results: DataFrame, facts: DataFrame, filters: rules.Filters) -> DataFrame:
-    """Listings found on the pages behind results, stamped with the query."""
-    pages = result_pages(results, facts).select(
+def page_results(results: DataFrame, facts: DataFrame, filters: rules.Filters, per_salt: int = 10_000) -> DataFrame:
+    """Listings found on the pages behind results, stamped with the query.
+
+    One address may be a third of all results, and one page may hold many listings: ``skew_join`` deals out the
+    results of an address, and copies the listings of that page only.
+    """
+    pages = needed_pages(results, facts).select(
         "page_id",
         "url",
         "page_title",
@@ -81,18 +88,29 @@ def page_results(results: DataFrame, facts: DataFrame, filters: rules.Filters) -
         F.lit(None).cast("string").alias("company_name"),
         F.lit("web_search").alias("source_type"),
     )
-    found = page_listings(pages, filters, F.lit(True)).drop("source_name", "source_ordinal", "position", "search_query")
+    found = page_listings(pages, filters, F.lit(True)).drop("source_name", "source_ordinal", "search_query")
     keyed = results.filter(~on_domain(F.col("url"), rules.SEARCH_AGGREGATORS)).select(
         F.col("url").alias("source_url"),
         "source_ordinal",
-        "position",
+        F.col("position").alias("result_position"),
         F.concat(F.lit("search:"), F.col("source_name")).alias("source_name"),
         F.col("query").alias("search_query"),
     )
-    return select_collected(keyed.join(found, "source_url"))
+    joined = skew_join(keyed, found.withColumnRenamed("position", "page_position"), ["source_url"], "result_position", per_salt=per_salt)
+    # The order of a landed listing: the result, then the place on its page.
+    return joined.withColumn("position", F.col("result_position"))
 
 
-def search_listings(results: DataFrame, facts: DataFrame, filters: rules.Filters, limit: int) -> DataFrame:
-    """Direct listings and page listings of the first results of every query."""
-    top = top_results(results, limit)
-    return direct_listings(top, filters).unionByName(page_results(top, facts, filters))
+def search_listings(
+    results: DataFrame, facts: DataFrame, filters: rules.Filters, limit: int | None = None, per_salt: int = 10_000
+) -> DataFrame:
+    """Direct listings and page listings of the results; of the first ``limit`` of every query where one is given.
+
+    A result's direct listing comes before those of its page, in the order of the page.
+    """
+    top = results if limit is None else top_results(results, limit)
+    direct = direct_listings(top, filters)
+    first = direct.withColumn("position", F.shiftleft("position", 16))
+    behind = page_results(top, facts, filters, per_salt)
+    order = F.shiftleft(F.col("result_position"), 16) + F.col("page_position") + 1
+    return first.unionByName(select_collected(behind.withColumn("position", order)))

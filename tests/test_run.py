@@ -199,3 +199,81 @@ def test_caps_are_off_and_counted_when_set(spark, folder):
 
 def test_platform_registry_is_complete():
     assert set(boards.PLATFORMS) == {"ashby", "gem", "greenhouse", "lever", "smartrecruiters", "workday"}
+
+
+def company_inputs(spark):
+    """Four companies: a board with a relevant job, a board without one, a page of its own, no page."""
+    link = '<a href="/jobs/{0}">Software Engineer, New Grad {0}</a>'
+    page = '<html><title>t</title>' + link
+    landed = spark.createDataFrame(
+        [
+            ("figma", 0, "https://figma.example/careers", page.format(1) + " https://boards.greenhouse.io/Figma"),
+            ("quiet", 1, "https://quiet.example/careers", page.format(2) + " https://jobs.lever.co/quiet https://jobs.ashbyhq.com/gone"),
+            ("own", 2, "https://own.example/careers", page.format(3)),
+            ("unasked", 3, "https://unasked.example/careers", page.format(4)),
+        ],
+        "slug string, source_ordinal int, url string, html string",
+    ).withColumn("fetched_at", F.lit("2026-08-21").cast("timestamp"))
+    companies = spark.createDataFrame(
+        [(1, "figma", "Figma", 1, True), (2, "quiet", "Quiet", 1, True), (3, "own", "Own", 1, True), (4, "silent", "Silent", 2, True), (5, "unasked", "Unasked", 1, False)],
+        "company_id bigint, slug string, name string, priority_tier int, enabled boolean",
+    )
+    senior = json.dumps([{"id": "9", "text": "Senior Accountant", "hostedUrl": "https://jobs.lever.co/quiet/9", "categories": {"location": "Remote, US"}}])
+    payloads = spark.createDataFrame(
+        [
+            (0, "greenhouse", "figma", "https://boards-api.greenhouse.io/v1/boards/figma/jobs", "", json.dumps(GREENHOUSE)),
+            (1, "lever", "quiet", "https://api.lever.co/quiet", "", senior),
+            (2, "greenhouse", "unasked", "https://x.example", "", "not json: must not be read"),
+        ],
+        "source_ordinal int, platform string, identifier string, api_url string, careers_url string, body string",
+    ).withColumn("fetched_at", F.lit("2026-08-21").cast("timestamp"))
+    return dict(companies=companies, company_pages=landed, found_payloads=payloads)
+
+
+def test_company_pages_and_search_in_the_run(spark, folder):
+    results = spark.createDataFrame(
+        [(0, "q", 0, "Nooks Software Engineer, New Grad", "https://jobs.lever.co/nooks/1", " s ", "engine"), (0, "q", 1, "Jobs", "https://acme.example/jobs", None, "engine")],
+        "source_ordinal int, query string, position bigint, title string, url string, snippet string, source_name string",
+    ).withColumn("published_at", F.lit(None).cast("timestamp"))
+    page = '<html><title>Acme</title><a href="/jobs/7">Software Engineer, New Grad</a></html>'
+    pages = spark.createDataFrame([(1, "https://acme.example/jobs", page), (2, "https://other.example", page)], "page_id bigint, url string, html string")
+    given = daily_run.Inputs(search_results=results, search_pages=pages, **company_inputs(spark))
+    stats = daily_run.run(spark, given, folder, "r1", "2026-08-21 08:00:00", SMALL)
+    state = {r.apply_url: r for r in daily_run.read_state(spark, folder).collect()}
+    assert {u: (r.source_name, r.company_name, r.company_id) for u, r in state.items()} == {
+        "https://boards.greenhouse.io/figma/jobs/12345?gh_src=abc": ("greenhouse:Figma", "Figma", 1),
+        "https://quiet.example/jobs/2": ("company:quiet", "Quiet", 2),
+        "https://own.example/jobs/3": ("company:own", "Own", 3),
+        "https://jobs.lever.co/nooks/1": ("search:engine", "Nooks", None),
+        "https://acme.example/jobs/7": ("search:engine", "Acme", None),
+    }
+    assert stats["total_collected"] == 5 and stats["total_errors"] == 2
+    health = {r.source_name: (r.status, r.total_available, r.relevant_jobs) for r in store.read_health(spark, f"{folder}/health").collect()}
+    assert health == {
+        "company:figma": ("healthy", None, 1),
+        "company:quiet": ("healthy", None, 1),
+        "company:own": ("healthy", None, 1),
+        "company:silent": ("failed", None, 0),
+        "discovered:greenhouse:Figma": ("healthy", 1, 1),
+        "discovered:lever:Quiet": ("healthy", 1, 0),
+        "discovered:ashby:Quiet": ("failed", None, 0),
+    }
+
+
+def test_company_pages_without_payloads_or_pages(spark, folder):
+    given = company_inputs(spark)
+    given["found_payloads"] = None
+    daily_run.run(spark, daily_run.Inputs(**given), folder, "r1", "2026-08-21 08:00:00", SMALL)
+    assert {r.source_name for r in daily_run.read_state(spark, folder).collect()} == {"company:figma", "company:quiet", "company:own"}
+
+
+def test_skew_join_equals_a_plain_join(spark):
+    from feedloom.runtime import skew_join
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("n"))
+    rows = rows.unionByName(spark.createDataFrame([(None, -1), (77, -2)], "k long, n long"))
+    other = spark.range(120).select((F.col("id") % 60).alias("k"), F.col("id").alias("m")).unionByName(spark.createDataFrame([(None, 5)], "k long, m long"))
+    for how in ("inner", "left"):
+        got = skew_join(rows, other, ["k"], "n", how, per_salt=100).select("k", "n", "m")
+        want = rows.join(other, "k", how).select("k", "n", "m")
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
