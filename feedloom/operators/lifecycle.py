@@ -51,9 +51,12 @@ def alias_index(state: DataFrame) -> DataFrame:
     return oldest.join(state.select("canonical_key"), "canonical_key", "left_anti")
 
 
-def match_state(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """Add ``state_key``: the key under which a listing is, or will be, stored."""
-    return batch.join(alias_index(state), "canonical_key", "left").select(
+def match_state(batch: DataFrame, state: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Add ``state_key``: the key under which a listing is, or will be, stored.
+
+    With ``index``, the maintained alias index, nothing is computed over the stored rows.
+    """
+    return batch.join(alias_index(state) if index is None else index, "canonical_key", "left").select(
         *batch.columns, F.coalesce("alias_key", "canonical_key").alias("state_key")
     )
 
@@ -89,8 +92,10 @@ def merge_state(
     stale_days: int = rules.Limits.reopen_after_days,
     partitions: int | None = None,
 ) -> DataFrame:
-    """The whole next state, with ``lifecycle_state`` (null for rows that the batch did not touch)
-    and the landing order of the touched rows.
+    """The whole next state, with ``lifecycle_state`` (null for rows that the batch did not touch), the landing
+    order of the touched rows and ``today_key``, the key that their address gives.
+
+    Given the stored rows of the batch's keys instead of all, the result is what the batch changes.
 
     ``matched`` has state_key and company_id. Several listings may mean one legacy row: the first
     decides the lifecycle, the last one is stored. With ``partitions`` (the bucket number of the
@@ -102,7 +107,7 @@ def merge_state(
     order = F.struct("source_ordinal", "position")
     incoming = [c for c in (*OVERWRITTEN, "metadata", "seen_in_sources", "company_id")]
     batch = matched.groupBy("state_key").agg(
-        F.max_by(F.struct(*incoming), order).alias("b"),
+        F.max_by(F.struct(*incoming, F.col("canonical_key").alias("today_key")), order).alias("b"),
         F.min_by("content_hash", order).alias("first_hash"),
         F.min(order).alias("landed"),
     )
@@ -153,11 +158,12 @@ def merge_state(
         "seen_in_sources": F.when(is_new, F.col("b.seen_in_sources"))
         .when(touched, sources)
         .otherwise(F.col("s.seen_in_sources")),
+        "today_key": F.col("b.today_key"),
         "lifecycle_state": F.col("life"),
         "source_ordinal": F.col("landed.source_ordinal"),
         "position": F.col("landed.position"),
     }
-    extra = ("lifecycle_state", "source_ordinal", "position")
+    extra = ("today_key", "lifecycle_state", "source_ordinal", "position")
     by_name = {name: value.alias(name) for name, value in columns.items()}
     return joined.select(*[by_name[c] for c in state.columns], *[by_name[c] for c in extra])
 

@@ -110,14 +110,19 @@ def read_snapshot(spark: SparkSession, root: str, ddl: str) -> DataFrame:
     pointer = read_pointer(spark, root)
     if pointer is None:
         return spark.createDataFrame([], ddl)
-    path = f"{root}/v={pointer['version']}"
     if "buckets" not in pointer:
-        return spark.read.schema(ddl).parquet(path)
-    table = _bucket_table(path, pointer["buckets"])
+        return spark.read.schema(ddl).parquet(f"{root}/v={pointer['version']}")
+    return read_version(spark, root, pointer["version"], ddl, pointer["key"], pointer["buckets"])
+
+
+def read_version(spark: SparkSession, root: str, version: int, ddl: str, key: str, buckets: int) -> DataFrame:
+    """A version that was staged with a key, published or not."""
+    path = f"{root}/v={version}"
+    table = _bucket_table(path, buckets)
     if not spark.catalog.tableExists(table):
         spark.sql(
-            f"CREATE TABLE {table} ({ddl}) USING parquet CLUSTERED BY ({pointer['key']}) "
-            f"SORTED BY ({pointer['key']}) INTO {pointer['buckets']} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE {table} ({ddl}) USING parquet CLUSTERED BY ({key}) "
+            f"SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
     return spark.table(table).select(*T.StructType.fromDDL(ddl).fieldNames())
 
@@ -204,8 +209,10 @@ def raw_rows(collected: DataFrame) -> DataFrame:
 
 
 def score_rows(ranked: DataFrame, as_of: str) -> DataFrame:
-    names = [f.strip().split(" ")[0] for f in SCORES_DDL.split(",")]
-    return ranked.withColumn("created_at", as_timestamp(as_of)).select(*[n for n in names if n != "run_id"])
+    """Score history in its declared types: without skills in the profile, lists have no type of their own."""
+    fields = [f for f in T.StructType.fromDDL(SCORES_DDL).fields if f.name != "run_id"]
+    rows = ranked.withColumn("created_at", as_timestamp(as_of))
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def read_state(spark: SparkSession, root: str) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedloom import rules
-from feedloom.operators import dedupe, digest, enrichment, feedback, health, lifecycle, normalize, ranking, store
-from feedloom.schemas import ERRORS_DDL, STATE_DDL
+from feedloom.operators import dedupe, digest, enrichment, feedback, health, lifecycle, normalize, ranking, state, store
+from feedloom.schemas import ERRORS_DDL
 from feedloom.sources import boards, company_pages, html, markdown, outcomes, search, structured
 
 ATS_COLLECTOR = "ats"
@@ -192,14 +192,8 @@ def _watch_health(spark, found, root, run_id):
 
 
 def _run(spark, inputs, root, run_id, as_of, settings, scorer) -> dict:
-    state_root = f"{root}/state"
-    state = store.read_state(spark, state_root)
-    if inputs.decisions is not None:
-        store.append_run(
-            lifecycle.decision_history(state, inputs.decisions), f"{root}/status_user", run_id
-        )
-        store.append_run(lifecycle.split_decisions(inputs.decisions)[1], f"{root}/decisions_refused", run_id)
-        state = lifecycle.apply_decisions(state, inputs.decisions)
+    state_root, buckets = f"{root}/state", settings.state_buckets
+    state.compact_when_due(spark, state_root, buckets, settings.compact_after)
     raw, found = _collect(spark, inputs, root, run_id, as_of, settings)
     if found is not None:
         _watch_health(spark, found, root, run_id)
@@ -207,9 +201,20 @@ def _run(spark, inputs, root, run_id, as_of, settings, scorer) -> dict:
         store.append_run(spark.createDataFrame([], ERRORS_DDL), f"{root}/errors", run_id)
 
     unique = dedupe.merge_duplicates(normalize.normalize(raw.drop("run_id", "payload_json", "raw_description_hash", "collector")))
-    matched = store.append_run(lifecycle.match_state(unique, state), f"{root}/unique", run_id).drop("run_id")
+    index = state.alias_index(spark, state_root)
+    matched = store.append_run(lifecycle.match_state(unique, index=index), f"{root}/unique", run_id).drop("run_id")
+    # From here on only the stored rows that the batch or a decision means are used.
+    keys = [matched.select(F.col("state_key").alias(state.KEY))]
+    if inputs.decisions is not None:
+        valid, refused = lifecycle.split_decisions(inputs.decisions)
+        store.append_run(refused, f"{root}/decisions_refused", run_id)
+        keys.append(valid)
+    known = store.append_run(state.rows_of(spark, state_root, state.union_keys(*keys)), f"{root}/known", run_id).drop("run_id")
+    if inputs.decisions is not None:
+        store.append_run(lifecycle.decision_history(known, inputs.decisions), f"{root}/status_user", run_id)
+        known = lifecycle.apply_decisions(known, inputs.decisions)
     if inputs.pages is not None:
-        picked = enrichment.pick_sparse(lifecycle.new_candidates(matched, state), settings.limits)
+        picked = enrichment.pick_sparse(lifecycle.new_candidates(matched, known), settings.limits)
         texts = enrichment.found_descriptions(picked, inputs.pages)
         matched = enrichment.patch_descriptions(matched, texts, settings.limits)
     if inputs.companies is not None:
@@ -217,15 +222,17 @@ def _run(spark, inputs, root, run_id, as_of, settings, scorer) -> dict:
     else:
         matched = matched.withColumn("company_id", F.lit(None).cast("bigint"))
 
-    version = store.next_version(spark, state_root)
-    buckets = settings.state_buckets
-    merged = lifecycle.merge_state(matched, state, as_of, settings.limits.reopen_after_days, buckets)
-    staged = store.stage_snapshot(merged, state_root, version, "canonical_key", buckets)
+    version = state.next_version(spark, state_root)
+    merged = lifecycle.merge_state(matched, known, as_of, settings.limits.reopen_after_days)
+    staged = state.stage(merged, state_root, version)
     store.append_run(lifecycle.status_history(staged, as_of), f"{root}/status", run_id)
 
     scores_path = f"{root}/scores"
     history = store.read_scores(spark, scores_path)
-    learned = feedback.feedback_weights(feedback.observations(state, history), settings.limits.feedback_min_samples)
+    before = state.rows(spark, state_root)
+    if inputs.decisions is not None:
+        before = lifecycle.apply_decisions(before, inputs.decisions)
+    learned = feedback.feedback_weights(feedback.observations(before, history), settings.limits.feedback_min_samples)
     weights = store.append_run(learned, f"{root}/weights", run_id).drop("run_id")
     if inputs.companies is not None:
         tiers = ranking.company_tiers(inputs.companies, settings.priority_companies)
@@ -264,9 +271,9 @@ def _run(spark, inputs, root, run_id, as_of, settings, scorer) -> dict:
     counts = {name: int(value or 0) for name, value in counts.items()}
     counts["total_normalized"] = counts["total_collected"]
     counts["total_errors"] = errors.count()
-    store.publish(spark, state_root, version, buckets=buckets, key="canonical_key", run_id=run_id)
+    state.publish(spark, state_root, version, run_id=run_id)
     return counts
 
 
 def read_state(spark: SparkSession, root: str) -> DataFrame:
-    return store.read_snapshot(spark, f"{root}/state", STATE_DDL)
+    return state.rows(spark, f"{root}/state")

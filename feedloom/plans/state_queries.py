@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom import rules
-from feedloom.operators import dedupe, feedback, health, lifecycle, ranking, store
+from feedloom.functions.urls import canonical_key
+from feedloom.operators import dedupe, feedback, health, lifecycle, ranking, state, store
 from feedloom.plans import daily_run
 from feedloom.plans.scoring_queries import PROFILE, scored, scored_cte, tiers  # noqa: F401
 from feedloom.plans.testbed import (
@@ -25,6 +26,7 @@ from feedloom.plans.testbed import (
     sql_any,
     table,
 )
+from feedloom.runtime import land
 from feedloom.schemas import STATE_DDL, select_collected
 from feedloom.sources import outcomes
 
@@ -260,10 +262,14 @@ def new_candidates(spark, sf_dir):
 )
 def merged_state(spark, sf_dir):
     merged = next_state(spark, sf_dir)
+    return _merged_columns(merged, "lifecycle_state")
+
+
+def _merged_columns(merged, *more):
     return merged.select(
         "canonical_key",
         "job_id",
-        "lifecycle_state",
+        *more,
         "current_status",
         "content_hash",
         "title",
@@ -278,6 +284,65 @@ def merged_state(spark, sf_dir):
     )
 
 
+# --- state at rest: base, deltas, alias index ------------------------------------------------
+
+
+def _state_at_rest(spark, sf_dir) -> str:
+    """The stored state in the layout of the daily run, in parts.
+
+    A third of the rows is right in the base; the others are stale there and mended by one of two deltas, in the first of which
+    a third of them has a wrong alias.
+    """
+    root, rows = scratch(spark, "state"), stored_state(spark, sf_dir)
+    part = F.pmod(F.xxhash64("canonical_key"), F.lit(3))
+    extra = {"lifecycle_state": F.lit(None).cast("string"), "source_ordinal": F.lit(0), "position": F.lit(0).cast("bigint")}
+    rows = rows.withColumns({**extra, "today_key": canonical_key(F.col("apply_url")), "part": part})
+    stale = rows.withColumns({"title": F.lit("stale"), "current_status": F.lit("new")})
+    wrong = stale.withColumn("today_key", F.concat(F.lit("wrong-"), "canonical_key"))
+    state.stage(rows.filter("part = 1").unionByName(stale.filter("part <> 1")), root, 0)
+    state.publish(spark, root, 0)
+    state.compact(spark, root, 8)
+    for version, changed in ((2, rows.filter("part = 0").unionByName(wrong.filter("part = 2"))), (3, rows.filter("part = 2"))):
+        state.stage(changed, root, version)
+        state.publish(spark, root, version)
+    return root
+
+
+def _next_delta(spark, sf_dir) -> str:
+    """The state at rest after the batch, which writes a delta of the rows it touches."""
+    root = _state_at_rest(spark, sf_dir)
+    rows = lifecycle.match_state(batch(spark, sf_dir), index=state.alias_index(spark, root))
+    rows = land(lifecycle.with_company_id(rows, companies(spark, sf_dir)), "matched")
+    known = state.rows_of(spark, root, state.union_keys(rows.select(F.col("state_key").alias("canonical_key"))))
+    state.stage(lifecycle.merge_state(rows, known, AS_OF), root, 4)
+    state.publish(spark, root, 4)
+    return root
+
+
+_WHOLE = QUERIES["merged_state"][1]
+
+
+@register("delta_state", f"SELECT * EXCLUDE (lifecycle_state) FROM ({_WHOLE})")
+def delta_state(spark, sf_dir):
+    """``merged_state`` read from a base and the deltas of three runs."""
+    return _merged_columns(state.rows(spark, _next_delta(spark, sf_dir)))
+
+
+@register("compacted_state", f"SELECT * EXCLUDE (lifecycle_state) FROM ({_WHOLE})")
+def compacted_state(spark, sf_dir):
+    """The same after compaction."""
+    root = _next_delta(spark, sf_dir)
+    state.compact(spark, root, 8)
+    return _merged_columns(state.rows(spark, root))
+
+
+@register("indexed_matches", QUERIES["matched_listings"][1])
+def indexed_matches(spark, sf_dir):
+    """``matched_listings`` by the maintained alias index."""
+    index = state.alias_index(spark, _state_at_rest(spark, sf_dir))
+    return lifecycle.match_state(batch(spark, sf_dir), index=index).select("canonical_key", "state_key")
+
+
 def _two_runs(spark, sf_dir) -> str:
     """The daily run twice on a fresh root: some listings, then, a day later, some of these and others."""
     root = scratch(spark, "daily")
@@ -298,8 +363,8 @@ def _two_runs(spark, sf_dir) -> str:
 )
 def daily_run_state(spark, sf_dir):
     """The state after two daily runs."""
-    state = daily_run.read_state(spark, _two_runs(spark, sf_dir))
-    return state.select("canonical_key", "title", "current_status", "content_hash")
+    rows = daily_run.read_state(spark, _two_runs(spark, sf_dir))
+    return rows.select("canonical_key", "title", "current_status", "content_hash")
 
 
 @register(

@@ -569,3 +569,5 @@ class Settings:
     send_empty_digest: bool = False
     # Buckets of the listing state; aim at some hundred megabytes per bucket.
     state_buckets: int = 64
+    # Deltas of the listing state after which a run compacts it first.
+    compact_after: int = 32
