@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import crc_mod, landed, table
+from feedloom.llm.common import crc_mod, landed, released, table
 
 SAMPLE_DOCS = 4_000
 ROUNDS = 3
@@ -336,7 +336,7 @@ def keep_determined(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
             found = score(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != UNDETERMINED and value >= least for lang, value in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
