@@ -63,6 +63,8 @@ def _latest(rows: DataFrame) -> DataFrame:
 def rows(spark: SparkSession, root: str) -> DataFrame:
     """The whole state in force."""
     pointer = _pointer(spark, root)
+    if not pointer["deltas"]:
+        return _base(spark, root, pointer)
     changed = _latest(_parts(spark, root, "deltas", pointer["deltas"], DELTA_DDL).select(*names(STATE_DDL), "v"))
     rest = _base(spark, root, pointer).join(changed.select(KEY), KEY, "left_anti")
     return rest.select(*names(STATE_DDL)).unionByName(changed)
@@ -72,7 +74,10 @@ def rows_of(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
     """The stored rows of some keys; ``keys`` has one column, canonical_key, without repeats."""
     pointer = _pointer(spark, root)
     side = F.broadcast(keys) if fits_broadcast(keys) else keys
-    base = _base(spark, root, pointer).join(side, KEY, "left_semi").withColumn("v", F.lit(-1))
+    found = _base(spark, root, pointer).join(side, KEY, "left_semi")
+    if not pointer["deltas"]:
+        return found
+    base = found.withColumn("v", F.lit(-1))
     deltas = _parts(spark, root, "deltas", pointer["deltas"], DELTA_DDL).select(*names(STATE_DDL), "v")
     return _latest(base.select(*names(STATE_DDL), "v").unionByName(deltas.join(side, KEY, "left_semi")))
 
@@ -138,8 +143,9 @@ def compact(spark: SparkSession, root: str, buckets: int = rules.Settings.state_
 
 
 def compact_when_due(spark: SparkSession, root: str, buckets: int, after: int) -> bool:
-    """Compact if that many deltas lie above the base."""
-    due = len(_pointer(spark, root)["deltas"]) >= after
+    """Compact if that many deltas lie above the base, or the first load lies there without one."""
+    pointer = _pointer(spark, root)
+    due = len(pointer["deltas"]) >= after or (pointer["base"] is None and bool(pointer["deltas"]))
     if due:
         compact(spark, root, buckets)
     return due

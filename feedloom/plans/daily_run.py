@@ -272,6 +272,9 @@ def _run(spark, inputs, root, run_id, as_of, settings, scorer) -> dict:
     counts["total_normalized"] = counts["total_collected"]
     counts["total_errors"] = errors.count()
     state.publish(spark, state_root, version, run_id=run_id)
+    if version == 0:
+        # The first load becomes the base at once; should that fail, the next run does it.
+        state.compact(spark, state_root, buckets)
     return counts
 
 

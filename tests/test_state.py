@@ -102,14 +102,15 @@ def listings(spark, numbers):
 def test_bytes_of_a_run_follow_its_batch(spark, folder):
     days = ("2026-08-01", "2026-08-02", "2026-08-03", "2026-08-04", "2026-08-05")
     batches = (range(400), [1], [2, 900], [3], [900])
-    sizes = []
+    sizes, before = [], 0
     for number, (day, numbers) in enumerate(zip(days, batches)):
         daily_run.run(spark, daily_run.Inputs(collected=[listings(spark, numbers)]), folder, f"r{number}", f"{day} 08:00:00", SMALL)
-        pointer = store.read_pointer(spark, f"{folder}/state")
-        sizes.append(written(f"{folder}/state/deltas/v={pointer['version']}"))
+        sizes.append(written(f"{folder}/state/deltas") - before)
+        before += sizes[-1]
+    pointer = store.read_pointer(spark, f"{folder}/state")
     assert max(sizes[1:]) < sizes[0] / 5
-    # The fourth run met three deltas and compacted them first.
-    assert pointer["base"] == 3 and pointer["deltas"] == [4, 5]
+    # The first load became the base; the last run met three deltas and compacted them first.
+    assert pointer["base"] == 5 and pointer["deltas"] == [6]
     found = {r.apply_url: (str(r.last_seen_at)[:10], r.current_status) for r in daily_run.read_state(spark, folder).collect()}
     assert len(found) == 401 and found["https://x.example/jobs/900"] == ("2026-08-05", "seen")
     assert found["https://x.example/jobs/1"] == ("2026-08-02", "seen") and found["https://x.example/jobs/7"] == ("2026-08-01", "new")
