@@ -118,8 +118,10 @@ def _share(nodes: DataFrame, parent: list[str], child: str) -> DataFrame:
     """Split each parent's ``budget`` among its children by ``weight``, up to their ``capacity``."""
     exact = "decimal(38,0)"
     nodes = nodes.where("weight > 0")
-    ratio = F.floor(F.col("capacity").cast("double") * 1e6 / F.col("weight"))
-    by = Window.partitionBy(*parent).orderBy(ratio, child)
+    # capacity / weight without rounding: its whole part, then 18 decimals, which tell apart any two quotients of weights below 1e9.
+    whole_part = F.expr("capacity div weight")
+    decimals = F.expr(f"(CAST(capacity % weight AS {exact}) * CAST(1000000000000000000 AS {exact})) div weight")
+    by = Window.partitionBy(*parent).orderBy(whole_part, decimals, child)
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     after = by.rowsBetween(0, Window.unboundedFollowing)
     exact_sum = lambda column, window: F.coalesce(F.sum(column).over(window), F.lit(0)).cast(exact)
@@ -219,7 +221,8 @@ def _share_sql(name: str, parent: str, children: str, level: str, weights: Mappi
 {name}_l AS (SELECT n.*, budget, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w,
    coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
    FROM {name}_n n JOIN {parent} USING ({keys}) WHERE weight > 0
-   WINDOW w AS (PARTITION BY {keys} ORDER BY floor(CAST(capacity AS DOUBLE) * 1e6 / weight), {level})),
+   WINDOW w AS (PARTITION BY {keys} ORDER BY capacity // weight,
+      CAST(capacity % weight AS HUGEINT) * 1000000000000000000 // weight, {level})),
 {name}_f AS (SELECT *, capacity * w <= greatest(budget - c, 0) * weight AS is_full FROM {name}_l),
 {name}_t AS (SELECT *, coalesce(sum(CASE WHEN is_full THEN capacity END) OVER p, 0) AS taken,
    coalesce(sum(CASE WHEN NOT is_full THEN weight END) OVER p, 0) AS free FROM {name}_f WINDOW p AS (PARTITION BY {keys})),
