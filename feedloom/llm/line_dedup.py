@@ -1,16 +1,17 @@
 """Line deduplication by pairwise alignment.
 
 Lines are compared by a hash of their text without white space at the ends. A line is rare enough to show a
-copy, a seed, if it holds ``SEED_WORDS`` words or more; shorter ones (headings, blank lines) recur by chance.
+copy, a seed, if it holds ``SEED_WORDS`` words or more; shorter ones (headings, blank lines) recur by chance. Two letters of a
+script without spaces count as a word.
 
 1. Copies. Documents with the same text are one class, by its hash; in all but the first everything is
    aligned with the first, so it is deleted. Only the first goes on.
 2. Pairs. A seed that several documents hold links each later one with the earliest that holds it. So a line of n documents
-   gives n - 1 pairs and not n * n, no link is dropped however frequent the line is, and whatever a later
-   document shares with any earlier one it also shares with an earliest holder.
+   gives n - 1 pairs and not n * n, and no link is dropped however frequent the line is.
 3. Alignment. The line hashes of both documents are aligned by patience diff: lines that occur once on each side and
    match are put in order by a longest increasing run, matching lines around these anchors extend them, and the
-   gaps are aligned in the same way. Blocks of adjacent aligned lines that hold a seed are common blocks.
+   gaps are aligned in the same way. Blocks of adjacent aligned lines that hold a seed are common blocks. Seeds of the earlier document
+   that are left, as they stand in another order, are anchors of their own. So a seed stays only where no earlier document holds it.
 4. Deletion. The lines of all its common blocks are deleted from the later document.
 
 Documents are in order of doc_id. Texts are moved once, to meet the lines to delete; all else is hashes. Aggregates
@@ -24,6 +25,7 @@ seeds; empty tables give empty ones; other columns are kept.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -34,6 +36,9 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import landed, table, unused
 
 SEED_WORDS = 5
+# Letters of scripts that are written without spaces (Thai, Lao, Burmese, Khmer, kana, Han); so many count as one more word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+UNSPACED_WORD = 2
 
 
 def line_hash(line: str, seed_words: int = SEED_WORDS) -> int:
@@ -41,7 +46,10 @@ def line_hash(line: str, seed_words: int = SEED_WORDS) -> int:
     from xxhash import xxh64_intdigest
 
     value = xxh64_intdigest(line.strip().encode("utf-8")) >> 2 << 1
-    return value | (len(line.split(None, seed_words)) >= seed_words)
+    words = len(line.split(None, seed_words))
+    if words < seed_words and not line.isascii():
+        words += len(UNSPACED.findall(line)) // UNSPACED_WORD
+    return value | (words >= seed_words)
 
 
 def _lines(seed_words: int):
@@ -107,16 +115,33 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """(start, end) in ``b`` of the blocks of adjacent aligned lines that hold a seed."""
-    out, block = [], []
+    """(start, end) in ``b`` of the blocks that it has in common with ``a``.
+
+    First the blocks of adjacent aligned lines that hold a seed. A seed of ``a`` that is then left in ``b``, as it stands in another
+    order or more than once, is an anchor of its own, with its first place in ``a``; equal lines beside it extend it.
+    """
+    out, block, gone = [], [], bytearray(len(b))
     for pair in [*patience(a, b), None]:
         if block and (pair is None or pair != (block[-1][0] + 1, block[-1][1] + 1)):
             if any(b[at] & 1 for _, at in block):
                 out.append((block[0][1], block[-1][1] + 1))
+                gone[out[-1][0] : out[-1][1]] = b"\1" * len(block)
             block = []
         if pair is not None:
             block.append(pair)
-    return out
+    places = {line: at for at, line in reversed(list(enumerate(a))) if line & 1}
+    for at, line in enumerate(b):
+        if gone[at] or line not in places:
+            continue
+        x, start, end = places[line], at, at + 1
+        while x > 0 and start > 0 and not gone[start - 1] and a[x - 1] == b[start - 1]:
+            x, start = x - 1, start - 1
+        x = places[line] + 1
+        while x < len(a) and end < len(b) and not gone[end] and a[x] == b[end]:
+            x, end = x + 1, end + 1
+        out.append((start, end))
+        gone[start:end] = b"\1" * (end - start)
+    return sorted(out)
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,6 +54,10 @@ def documents(n=120):
         for _ in range(rng.randint(0, 4)):
             parts += [line() for _ in range(rng.randint(0, 3))] + rng.choice(passages)
         out.append("\n".join([*parts, common] if rng.random() < 0.7 else parts))
+    # The same passages in other orders, and one of them twice.
+    for i in range(20):
+        out.append("\n".join(x for part in rng.sample(passages, 6) for x in [*part, *part[:1]]))
+    out += ["\u6700\u521d\u306e\u884c\u306f\u9577\u3044\u65e5\u672c\u8a9e\u3067\u3059\n\u77ed\u3044" + end for end in ("", "\nend")]
     out += out[:30] + ["", "x", "x\n\ny", out[0] + "\n", " " + out[1], "long line of words " * 20_000, "a\n" * 30_000]
     return list(enumerate(out))
 
@@ -84,6 +88,24 @@ def test_texts_equal_brute_force(spark, tmp_path):
         assert row["n_lines"] == len(dict(docs)[row["doc_id"]].split("\n"))
 
 
+def test_seeds_stay_only_where_no_earlier_document_holds_them(spark):
+    docs = documents()
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], SCHEMA)
+    left = {r["doc_id"]: r["text"] for r in ld.dedup_lines(frame).collect()}
+    seen, seed = set(), lambda x: len(x.split()) >= 5 or not x.isascii() and len(x) >= 10
+    for i, text in docs:
+        own = [x.strip() for x in text.split("\n") if seed(x)]
+        assert [x.strip() for x in left[i].split("\n") if seed(x)] == [x for x in own if x not in seen]
+        seen |= set(own)
+
+
+def test_lines_in_another_order():
+    a, b, c = 3, 5, 7
+    assert ld.common_blocks([a, b], [b, a, c]) == [(0, 1), (1, 2)]
+    assert ld.common_blocks([a, 2, b, a], [a, a, 2]) in ([(0, 1), (1, 3)], [(0, 3)])
+    assert ld.common_blocks([2, 4], [4, 2]) == []
+
+
 def test_defined_cases(spark):
     schema = SCHEMA + ", gone int, parts string, whole long"
     empty = spark.createDataFrame([], schema)
