@@ -9,7 +9,7 @@ up to the text's, and with the share of each language among the training texts t
 Training. Piece probabilities come from expectation maximisation: each round computes, for every distinct word of a
 language, the expected count of its pieces over all segmentations (forward and backward sums), on Spark; the driver gets
 one number per language and piece. The training texts are a hash sample of the labelled ones, of
-``sample_docs`` in expectation. Rows are used for training if ``crc32(doc_id) mod 5`` is not 0.
+``sample_docs`` per language in expectation and all of a language that has fewer; shares count all rows. Rows are used for training if ``crc32(doc_id) mod 5`` is not 0.
 
 Scale. The model is (languages x vocabulary) numbers, broadcast. Texts are scored in one pass without a shuffle; a
 task remembers the words it has met, up to ``REMEMBERED``.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import crc_mod, landed, released, table
 
-SAMPLE_DOCS = 4_000
+SAMPLE_DOCS = 1_000
 ROUNDS = 3
 SMOOTHING = 0.01
 UNKNOWN = 1e-7
@@ -253,8 +253,10 @@ def train(docs: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DO
     model = Model(languages, numbers, longest, flat, prior)
     if not languages:
         return model
-    steps = 1_000_000
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < F.lit(min(steps, math.ceil(steps * sample_docs / total)))
+    steps = 1 << 40
+    least = [math.ceil(steps * min(1.0, sample_docs / row["count"])) for row in shares]
+    least = F.create_map(*[F.lit(x) for pair in zip(languages, least) for x in pair])
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < least[labelled["lang"]]
     sample = labelled.where(chance).select(F.col("lang").cast("string"), F.col("text").cast("string"))
     words = sample.mapInArrow(_words, "lang string, word string, n long")
     words = landed(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "training-words")

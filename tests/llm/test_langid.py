@@ -75,3 +75,13 @@ def test_held_out_accuracy_and_defined_cases(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.predictions(empty, langid.train(empty)).count() == 0
     assert langid.predictions(docs, langid.train(empty)).where("lang_pred != 'und'").count() == 0
+
+
+def test_a_rare_language_is_learned(spark):
+    common = [(i, f"the house and the water of the old town {i}", "en") for i in range(1500)]
+    rare = [(10_000 + i, f"das haus und das wasser der alten stadt {i}", "de") for i in range(20)]
+    docs = spark.createDataFrame([(i, t, g, "s", 0) for i, t, g in common + rare], "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.train(docs, sample_docs=30)
+    assert model.languages == ["de", "en"]
+    scorer = langid.Scorer(model)
+    assert [lang for lang, _ in scorer(["das alte haus und die stadt", "the old house and the town"])] == ["de", "en"]
