@@ -82,6 +82,14 @@ def test_shortage_goes_to_siblings_before_ancestors():
     assert budgets[("web", "en", "s1")] == 10 and budgets[("web", "en", "s2")] == 40 and budgets[("web", "de", "s3")] == 50
 
 
+def test_large_leaves_keep_the_budget(spark):
+    for unit in (1, 10**12, 10**15 + 1):
+        leaves = spark.createDataFrame([("web", "en", "s1", 15 * unit), ("web", "en", "s2", 10 * unit)], "domain string, lang string, source string, tokens long")
+        found = mixing.budgets(leaves, Mix(max_epochs=1, budget_num=9, budget_den=10)).collect()
+        total = 25 * unit * 9 // 10
+        assert {r["source"]: r["budget"] for r in found} == {"s1": total - 10 * unit, "s2": 10 * unit}
+
+
 def test_empty_and_clashing(spark):
     schema = SCHEMA + ", domain int, copies string, packed int"
     assert mixing.counted(spark.createDataFrame([], schema)).count() == 0
