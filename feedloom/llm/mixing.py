@@ -30,10 +30,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from feedloom import runtime
 from feedloom.llm.common import landed, table
@@ -79,15 +77,9 @@ PRODUCTION = Mix(
 )
 
 
-@F.pandas_udf(LongType())
-def _count(texts: pd.Series) -> pd.Series:
-    # bytes are split at ASCII white space
-    return pd.Series([len(text.split()) for text in texts], dtype="int64")
-
-
 def token_count(text: Column) -> Column:
     """Words between ASCII white space; 0 for null."""
-    return _count(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def _mapped(values: Mapping[str, object], key: Column, other: object) -> Column:
