@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom import runtime
-from feedloom.llm.common import landed, table
+from feedloom.llm.common import landed, small_batches, table
 
 END_ID = 1
 # Entries of a generation of remembered pieces and words; two generations are kept.
-PIECES = 400_000
-WORDS = 250_000
+PIECES = 200_000
+WORDS = 125_000
 # Marks that the tokenizer never joins with letters; an apostrophe may begin a suffix of its own.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Characters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others
@@ -173,7 +173,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
     encoded = ordered.mapInArrow(_encode(vocabulary, end_id), "doc_id long, ids array<int>")
-    encoded.write.options(**OPTIONS).orc(path)
+    with small_batches(docs.sparkSession):
+        encoded.write.options(**OPTIONS).orc(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -207,7 +208,8 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
         "ids",
     )
     digests = rows.mapInArrow(_digest, "file long, at struct<block: long, row: long>, doc_id long, n_tokens long, ids_crc32 long")
-    digests = landed(digests, "token-digests")
+    with small_batches(spark):
+        digests = landed(digests, "token-digests")
     files = digests.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     # One row per file.
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
