@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom import rules
@@ -57,42 +57,56 @@ def external_candidates(ranked: DataFrame, limits: rules.Limits) -> DataFrame:
     return ranked.filter(F.col("fit_score") >= limits.scorer_min_fit)
 
 
+def _halved(rows: pd.DataFrame, scorer: Scorer, job_key: str) -> list[pd.DataFrame]:
+    """Scores of the rows that the scorer takes. One bad row of n costs about 2 log2(n) more calls."""
+    try:
+        found = scorer(rows).reindex(columns=[job_key, *RANKING_FIELDS])
+        # At most one score per row that was asked for.
+        return [found[found[job_key].isin(rows[job_key])].drop_duplicates(job_key)]
+    except Exception:
+        middle = len(rows) // 2
+        return [s for half in (rows.iloc[:middle], rows.iloc[middle:]) for s in _halved(half, scorer, job_key)] if middle else []
+
+
 def external_scores(
     candidates: DataFrame, scorer: Scorer, job_key: str = "canonical_key", batch: int = rules.Limits.scorer_batch
 ) -> DataFrame:
     """Scores of a user-supplied scorer, ``batch`` rows at a time.
 
-    ``scorer`` takes candidate rows and returns rows with the job key and the ranking fields. When
-    a batch fails, its rows are tried one by one; rows that fail, or are missing, give no score.
+    ``scorer`` takes candidate rows and returns rows with the job key and the ranking fields. A batch that
+    fails is tried again in halves; rows that fail alone, or are missing, give no score.
     """
 
-    def attempt(rows: pd.DataFrame) -> pd.DataFrame:
-        try:
-            return scorer(rows)
-        except Exception:
-            if len(rows) == 1:
-                return rows.iloc[0:0]
-            single = [attempt(rows.iloc[i : i + 1]) for i in range(len(rows))]
-            return pd.concat([s for s in single if len(s)] or [rows.iloc[0:0]])
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for start in range(0, len(rows), batch):
-                found = attempt(rows.iloc[start : start + batch])
-                yield found.reindex(columns=[job_key, *RANKING_FIELDS])
+                yield from _halved(rows.iloc[start : start + batch], scorer, job_key)
 
     return candidates.mapInPandas(run, f"{job_key} string, {EXTERNAL_DDL}")
 
 
-def valid_external(scores: DataFrame) -> DataFrame:
-    """Scores within bounds; texts are cleaned."""
+def _inside() -> Column:
+    """A score within its bounds."""
     inside = (
         F.col("fit_score").between(0, 100)
         & F.col("difficulty_score").between(0, 100)
         & F.col("scorer_confidence").between(0, 1)
         & F.col("recommendation").isin(*RECOMMENDATIONS)
     )
-    return scores.filter(F.coalesce(inside, F.lit(False))).withColumns(
+    return F.coalesce(inside, F.lit(False))
+
+
+def external_outcomes(candidates: DataFrame, scores: DataFrame, job_key: str = "canonical_key") -> DataFrame:
+    """(outcome, n): candidates that were scored, whose score was out of bounds (refused), or that have none (failed)."""
+    known = scores.select(F.col(job_key).alias("_key"), _inside().alias("_inside"))
+    joined = candidates.select(job_key).join(known, F.col(job_key) == F.col("_key"), "left")
+    outcome = F.when(F.col("_key").isNull(), "failed").when(F.col("_inside"), "scored").otherwise("refused")
+    return joined.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def valid_external(scores: DataFrame) -> DataFrame:
+    """Scores within bounds; texts are cleaned."""
+    return scores.filter(_inside()).withColumns(
         {c: plain_summary(F.col(c)) for c in ("fit_summary", "difficulty_summary")}
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from feedloom import rules
@@ -633,6 +634,46 @@ def external_candidates(spark, sf_dir):
     return ranking.external_candidates(scored(spark, sf_dir), rules.Limits()).select("doc_id", "fit_score")
 
 
+def _example_scorer(rows: pd.DataFrame) -> pd.DataFrame:
+    """A scorer that breaks on some rows and exceeds the bounds on others."""
+    if (rows["doc_id"] % 7 == 3).any():
+        raise ValueError("this batch holds a row that cannot be scored")
+    odd = rows["doc_id"] % 5 == 2
+    texts = {"recommendation": "apply_now", "fit_summary": "Good fit", "difficulty_summary": "Hard"}
+    out = rows[["canonical_key"]].assign(fit_score=(rows["doc_id"] % 101).mask(odd, 300), difficulty_score=40, scorer_confidence=0.9, **texts)
+    return out.assign(**{c: [["external"]] * len(out) for c in ("top_matching_skills", "missing_or_weaker_skills", "tags")})
+
+
+def _called(spark, sf_dir):
+    """Scored listings, the candidates among them, and what the example scorer returns for these."""
+    rows = scored(spark, sf_dir).withColumn("canonical_key", F.col("doc_id").cast("string"))
+    candidates = ranking.external_candidates(rows, rules.Limits()).select("canonical_key", "doc_id")
+    return rows, candidates, ranking.external_scores(candidates, _example_scorer)
+
+
+_TAKEN = "fit_score >= 50 AND doc_id % 7 <> 3 AND doc_id % 5 <> 2"
+
+
+@register(
+    "external_scorer",
+    f"""WITH {LISTINGS_CTE}, {scored_cte()} SELECT doc_id, CAST(CASE WHEN {_TAKEN} THEN doc_id % 101 ELSE fit_score END AS INT) AS fit_score,
+        CASE WHEN {_TAKEN} THEN 'external' ELSE 'heuristic' END AS scorer FROM scored""",
+)
+def external_scorer(spark, sf_dir):
+    rows, _, found = _called(spark, sf_dir)
+    return ranking.merge_external(rows, found).select("doc_id", "fit_score", "scorer")
+
+
+@register(
+    "external_outcomes",
+    f"""WITH {LISTINGS_CTE}, {scored_cte()} SELECT CASE WHEN doc_id % 7 = 3 THEN 'failed' WHEN doc_id % 5 = 2 THEN 'refused' ELSE 'scored' END AS outcome,
+        count(*) AS n FROM scored WHERE fit_score >= 50 GROUP BY 1""",
+)
+def external_outcomes(spark, sf_dir):
+    _, candidates, found = _called(spark, sf_dir)
+    return ranking.external_outcomes(candidates, found)
+
+
 # --- runs and source health ------------------------------------------------------------------
 
 

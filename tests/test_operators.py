@@ -207,6 +207,23 @@ def test_external_scorer_falls_back(spark):
     assert merged["c0"].fit_score == 91 and merged["c0"].fit_summary == "a b" and merged["c3"].fit_score == 65
 
 
+def test_external_batches_are_halved():
+    calls = []
+
+    def scorer(batch: pd.DataFrame) -> pd.DataFrame:
+        calls.append(len(batch))
+        if (batch["canonical_key"] == "k41").any():
+            raise RuntimeError("provider failed")
+        again = pd.DataFrame({"canonical_key": [*batch["canonical_key"], batch["canonical_key"].iloc[0], "stranger"]})
+        return again.assign(fit_score=90)
+
+    rows = pd.DataFrame({"canonical_key": [f"k{i}" for i in range(64)]})
+    found = pd.concat(ranking._halved(rows, scorer, "canonical_key"))
+    assert sorted(found["canonical_key"]) == sorted(f"k{i}" for i in range(64) if i != 41)
+    assert len(calls) == 13
+    assert ranking._halved(rows.iloc[41:42], scorer, "canonical_key") == []
+
+
 def digest_frame(spark):
     rows = [{"apply_url": f"https://example.com/{i}", "company_name": f"Company {i}"} for i in range(12)]
     frame = ranked(spark, rows)
