@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
 from feedloom.llm import near_copies, simhash
 from tests.llm.test_simhash import brute_fingerprint, brute_roots
 
@@ -65,3 +67,35 @@ def test_defined_cases(spark):
     assert kept.columns == docs.columns
     found = sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()), key=repr)
     assert found == [(0, "lone"), (1, None), (4, "a b c d"), (4, "another text")]
+
+
+def as_sets(spark, found):
+    """(rest, sets) of lists of shingle numbers; every class is in a group of its own."""
+    rows = [(i, len(x), i, np.unique(np.array(sorted(x), np.uint64)).tobytes()) for i, x in enumerate(found)]
+    table = spark.createDataFrame(rows, "node long, n int, label long, hashes binary")
+    return table.select("node", "n", "label"), table.select("node", "hashes")
+
+
+def test_rest_pairs_hold_every_similar_pair(spark):
+    rng, found = random.Random(3), [set(), set(), {5}, {5}, {5, 6}]
+    for _ in range(60):
+        base = set(rng.sample(range(1, 400), rng.randint(3, 30)))
+        found += [base, base - {min(base)}, base | {rng.randint(400, 900)}]
+    rest, sets = as_sets(spark, found)
+    got = {(r["a"], r["b"]) for r in near_copies.rest_pairs(rest, sets, 0.8).collect()}
+    similar = {(a, b) for a in range(len(found)) for b in range(a + 1, len(found)) if brute_linked(found[a], found[b])}
+    assert len(similar) > 120 and similar <= got
+    # Classes of one group are not compared again.
+    assert near_copies.rest_pairs(rest.withColumn("label", F.lit(0).cast("long")), sets, 0.8).count() == 0
+
+
+def test_family_below_the_similarity_gives_few_pairs(spark):
+    rng, size = random.Random(4), 1500
+    common = set(range(1, 101))
+    # 100 of 121 shingles are common to all: a similarity of 0.70 for every pair; every tenth text has a near copy.
+    found = [common | {1000 + 21 * i + k for k in range(21)} for i in range(size)]
+    near = [(i, size + k) for k, i in enumerate(range(0, size, 10))]
+    found += [(found[i] - {rng.choice(sorted(found[i]))}) | {10**6 + k} for k, (i, _) in enumerate(near)]
+    rest, sets = as_sets(spark, found)
+    got = [(r["a"], r["b"]) for r in near_copies.rest_pairs(rest, sets, 0.8).collect()]
+    assert set(near) <= set(got) and len(got) < len(found)
