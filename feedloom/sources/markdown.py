@@ -37,7 +37,11 @@ def _is_header(line: Column) -> Column:
 
 
 def table_lines(payloads: DataFrame) -> DataFrame:
-    """One row per table line that is not a header, with the names of the last header before it."""
+    """One row per table line that is not a header, with the names of the last header before it.
+
+    A document is cut at its headers into blocks of lines, and a block into lines: every line is touched once, however many
+    headers there are.
+    """
     lines = F.transform(
         F.split("body", "\r\n|\r|\n"), lambda line, i: F.struct(i.alias("i"), strip(line).alias("line"))
     )
@@ -47,21 +51,20 @@ def table_lines(payloads: DataFrame) -> DataFrame:
     )
     split = materialize(payloads, marked=marked)
     keep = [c for c in payloads.columns if c != "body"]
-    headers = F.transform(
-        F.filter("marked", lambda row: row["h"]),
-        lambda row: F.struct(row["i"].alias("i"), _names(row["line"]).alias("names")),
-    )
-    with_headers = materialize(split, headers=headers)
-    exploded = with_headers.select(
-        *keep, "headers", F.explode(F.filter("marked", lambda row: ~row["h"])).alias("row")
-    )
-    in_force = F.try_element_at(F.filter("headers", lambda h: h["i"] < F.col("row.i")), F.lit(-1))
+    places = F.transform("marked", lambda row, place: F.when(row["h"], place))
+    headed = materialize(split, starts=F.filter(places, lambda place: place.isNotNull()))
+    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array(F.size("marked")))
+    # Header first: element k + 1 of ``marked`` stands at place k.
+    blocks = F.zip_with("starts", ends, lambda start, end: F.slice("marked", start + 1, end - start))
+    blocked = headed.select(*keep, F.explode(blocks).alias("block"))
+    named = materialize(blocked, names=_names(F.get("block", F.lit(0))["line"]))
+    exploded = named.select(*keep, "names", F.explode(F.slice("block", 2, F.size("block"))).alias("row"))
     return exploded.select(
         *keep,
         F.col("row.i").cast("bigint").alias("position"),
         _cells(F.col("row.line")).alias("cells"),
-        in_force["names"].alias("names"),
-    ).filter("names is not null and not forall(cells, c -> c rlike '^[-: ]*$')")
+        "names",
+    ).filter("not forall(cells, c -> c rlike '^[-: ]*$')")
 
 
 def _index(names: tuple[str, ...]) -> Column:

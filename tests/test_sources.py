@@ -111,6 +111,26 @@ def test_markdown_table(spark):
     assert markdown.table_rows(markdown.table_lines(frame)).count() == 5
 
 
+def test_markdown_header_in_force(spark):
+    body = "| stray | row |\n| Company | Role |\n| a | b |\ntext\n| c | d |\n| Company | Position | Location |\r\n| Company | Role |\n|--|--|\n| e | f |"
+    rows = [(1, body), (2, None), (3, ""), (4, "| a | b |"), (5, "| Company | Role |")]
+    lines = markdown.table_lines(spark.createDataFrame(rows, "id int, body string")).orderBy("id", "position").collect()
+    found = [(r.id, r.position, r.cells, r.names) for r in lines]
+    role = ["company", "role"]
+    assert found == [(1, 2, ["a", "b"], role), (1, 4, ["c", "d"], role), (1, 8, ["e", "f"], role)]
+
+
+def test_markdown_many_headers(spark):
+    import time
+
+    body = "\n".join(("| Company | Role |\n" + "| a | b |\n" * 99) for _ in range(1000))
+    frame = spark.createDataFrame([(1, body)], "id int, body string")
+    start = time.time()
+    assert markdown.table_lines(frame).count() == 99_000
+    # By header and line this would be 1e8 steps; the bound is wide for a slow machine.
+    assert time.time() - start < 60
+
+
 POSTING = {
     "@type": "JobPosting",
     "title": "Software Engineer, New Grad",
