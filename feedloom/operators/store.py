@@ -43,6 +43,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it does not exist."""
+    fs, target = _fs(spark, path)
+    return [item.getPath().getName() for item in fs.listStatus(target)] if fs.exists(target) else []
+
+
 def read_pointer(spark: SparkSession, root: str) -> dict | None:
     if not exists(spark, f"{root}/{POINTER}"):
         return None

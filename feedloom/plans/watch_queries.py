@@ -209,6 +209,13 @@ def first_seen_stream(spark, sf_dir):
     return first_seen.read_delivered(spark, folder).select("scope", "key", "event_id", F.unix_micros("seen_at").alias("first_seen"))
 
 
+@register("compacted_first_seen", _FIRST)
+def compacted_first_seen(spark, sf_dir):
+    """The same stream with every batch folded into the bucketed base before the next; nothing is delivered twice or lost."""
+    folder = _watched(spark, sf_dir, compact_after=1, buckets=8)
+    return first_seen.read_delivered(spark, folder).select("scope", "key", "event_id", F.unix_micros("seen_at").alias("first_seen"))
+
+
 def _slice(spark, sf_dir, number: int, parts: int = 4):
     rows = _as_items(table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("seen_at"), "user_id", "event_type", "event_id", "props"))
     return rows.filter(F.floor((F.dayofmonth("seen_at") - 1) * parts / 31) == number)
@@ -311,13 +318,13 @@ def bounded_first_seen(spark, sf_dir):
     return first_seen.read_delivered(spark, folder).select(F.col("scope").alias("event_type"), F.col("key").alias("user_id"), "event_id")
 
 
-@register(
-    "expired_first_seen",
-    """WITH e AS (SELECT event_type AS scope, CAST(user_id AS VARCHAR) AS key, ts, event_id, floor((day(ts) - 1) * 4 / 31) AS part FROM events),
+_EXPIRED = """WITH e AS (SELECT event_type AS scope, CAST(user_id AS VARCHAR) AS key, ts, event_id, floor((day(ts) - 1) * 4 / 31) AS part FROM events),
     p AS (SELECT scope, key, part, min(ts) AS first_at, max(ts) AS last_at, arg_min(event_id, struct_pack(ts, event_id)) AS event_id FROM e GROUP BY 1, 2, 3),
     w AS (SELECT *, lag(last_at) OVER (PARTITION BY scope, key ORDER BY part) AS before FROM p)
-    SELECT scope, key, event_id FROM w WHERE before IS NULL OR epoch_us(first_at) - epoch_us(before) > 5 * 86400000000""",
-)
+    SELECT scope, key, event_id FROM w WHERE before IS NULL OR epoch_us(first_at) - epoch_us(before) > 5 * 86400000000"""
+
+
+@register("expired_first_seen", _EXPIRED)
 def expired_first_seen(spark, sf_dir):
     """A key that was not seen for five days is delivered again."""
     folder = scratch(spark, "expired")
@@ -339,3 +346,16 @@ def story_first_seen(spark, sf_dir):
     items = stories.story_items(story_pages(spark, sf_dir), "tester_1").filter("failure is null").withColumn("scope", F.lit("tester_1"))
     seen = items.filter("page_id % 2 = 0").select("scope", "key")
     return watch.unseen(items, seen).select("page_id", "key")
+
+
+@register("compacted_expired", _EXPIRED)
+def compacted_expired(spark, sf_dir):
+    """The same with every batch folded before the next: the base keeps the last time of a key."""
+    folder = scratch(spark, "expired-folded")
+    _replay(
+        spark, sf_dir,
+        lambda stream: first_seen.watch_stream(
+            stream, folder, f"{folder}/checkpoint", ["seen_at", "event_id"], _as_items, expire_days=5, compact_after=1, buckets=8
+        ),
+    )
+    return first_seen.read_delivered(spark, folder).select("scope", "key", "event_id")

@@ -3,7 +3,7 @@
 Layout of a watch folder:
 
 * ``delivered/batch=<id>``: rows for the reader, replaced as a whole when a batch is replayed
-* ``seen/batch=<id>``: keys that the batch made known
+* ``seen/batch=<id>``: keys that the batch made known; ``known/`` holds those of folded batches (``streaming/seen.py``)
 
 A batch first writes its deliveries and then its keys. When a batch is replayed, its own keys are
 left out of the anti join; otherwise the second attempt would find everything known and replace
@@ -18,18 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedloom.operators.store import exists
-from feedloom.operators.watch import InvalidMatch, item_key, unseen
+from feedloom.operators.watch import InvalidMatch, item_key
 from feedloom.runtime import fits_broadcast
-
-SEEN_DDL = "scope string, key string, first_seen_at timestamp, last_seen_at timestamp, batch bigint"
+from feedloom.streaming import seen
 
 
 def read_seen(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{folder}/seen"
-    if not exists(spark, path):
-        return spark.createDataFrame([], SEEN_DDL)
-    return spark.read.schema(SEEN_DDL).parquet(path)
+    return seen.read(spark, folder)
 
 
 def read_delivered(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,6 +51,8 @@ def process_batch(
     baseline: bool = False,
     valid: Column | None = None,
     expire_days: int | None = None,
+    compact_after: int = seen.COMPACT_AFTER,
+    buckets: int = seen.BUCKETS,
 ) -> None:
     """Deliver the new items of one batch, then remember their keys.
 
@@ -64,9 +61,12 @@ def process_batch(
     delivery. If any item is not ``valid``, nothing at all is written.
 
     With ``expire_days``, a key counts as new again if its first item in the batch comes more than that after
-    the last one of earlier batches; folders of keys that are older than every possible item may be removed.
+    the last one of earlier batches.
+
+    Once ``compact_after`` earlier batches lie above the base of known keys, they are folded into it first.
     """
     spark = batch.sparkSession
+    seen.fold_when_due(spark, folder, batch_id, compact_after, buckets)
     if valid is not None and not batch.filter(~F.coalesce(valid, F.lit(False))).isEmpty():
         raise InvalidMatch("a matching item is invalid; the batch is not delivered")
     # Deliveries and keys must stem from one reading of the batch, so it is written before use.
@@ -74,11 +74,11 @@ def process_batch(
     first = first_per_key(batch, order, seen_at)
     first.write.mode("overwrite").parquet(staged)
     first = spark.read.schema(first.schema).parquet(staged)
-    known = read_seen(spark, folder).filter(F.col("batch") != batch_id)
+    few = fits_broadcast(first)
     if expire_days is None:
-        fresh = unseen(first, known, few_items=fits_broadcast(first))
+        fresh = seen.unseen(first, folder, batch_id, few)
     else:
-        last = known.groupBy("scope", "key").agg(F.max("last_seen_at").alias("_last"))
+        last = seen.last_seen(first, folder, batch_id, few).withColumnRenamed("last", "_last")
         gap = F.unix_micros(seen_at) - F.unix_micros("_last")
         expired = F.col("_last").isNull() | (gap > expire_days * 86_400_000_000)
         fresh = first.join(last, ["scope", "key"], "left").filter(expired).drop("_last")
@@ -86,7 +86,7 @@ def process_batch(
     wanted = fresh if relevant is None else fresh.filter(F.coalesce(relevant, F.lit(False)))
     if baseline:
         # One row per scope: the scopes that already hold keys.
-        wanted = wanted.join(known.select("scope").distinct(), "scope", "left_semi")
+        wanted = wanted.join(seen.scopes(spark, folder, batch_id), "scope", "left_semi")
     delivery = wanted.drop("_until").withColumn("delivery_key", item_key(F.col("scope"), F.col("key")))
     delivery.write.mode("overwrite").parquet(f"{folder}/delivered/batch={batch_id}")
     # Keys that expire are remembered by their last item, others once.

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators.watch import InvalidMatch
-from feedloom.streaming import first_seen
+from feedloom.streaming import first_seen, seen
 
 ORDER = ["seen_at", "n"]
 
@@ -85,3 +85,57 @@ def test_stream_in_many_batches_equals_one(spark, folder):
         first_seen.watch_stream(stream, f"{folder}/{name}", f"{folder}/{name}/checkpoint", ORDER).awaitTermination()
         answers.append(delivered(spark, f"{folder}/{name}"))
     assert answers[0] == answers[1] == sorted(("s", str(i), i) for i in range(17))
+
+
+def test_folded_keys_stay_known(spark, folder):
+    """Batches stay bounded above the base, and the answer is that of a watch that never folds."""
+    for number in range(7):
+        rows = [("a", str(k), 100 * number + k, k % 2 == 0) for k in range(number, number + 4)] + [("s%d" % number, "x", 1, True)]
+        for name, after in (("folded", 2), ("plain", 100)):
+            first_seen.process_batch(
+                batch(spark, *rows), number, f"{folder}/{name}", ORDER, relevant=F.col("relevant"), baseline=True, compact_after=after, buckets=4
+            )
+        assert len(seen.open_batches(spark, f"{folder}/folded")) <= 2
+    assert delivered(spark, f"{folder}/folded") == delivered(spark, f"{folder}/plain") != []
+    assert known(spark, f"{folder}/folded") == known(spark, f"{folder}/plain")
+    # A replay of the last batch delivers the same rows; one of a folded batch is refused.
+    before = delivered(spark, f"{folder}/folded")
+    first_seen.process_batch(
+        batch(spark, *rows), 6, f"{folder}/folded", ORDER, relevant=F.col("relevant"), baseline=True, compact_after=2, buckets=4
+    )
+    assert delivered(spark, f"{folder}/folded") == before
+    with pytest.raises(seen.ReplayRefused):
+        first_seen.process_batch(batch(spark, *rows), 0, f"{folder}/folded", ORDER)
+
+
+def test_fold_that_dies_changes_nothing(spark, folder, monkeypatch):
+    first_seen.process_batch(batch(spark, ("a", "x", 1, True)), 0, folder, ORDER)
+
+    def crash(*_):
+        raise RuntimeError("no pointer")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(seen.store, "write_pointer", crash)
+        with pytest.raises(RuntimeError):
+            seen.fold(spark, folder, [0], 4)
+    assert known(spark, folder) == [("a", "x")] and seen.open_batches(spark, folder) == [0]
+    seen.fold(spark, folder, [0], 4)
+    assert known(spark, folder) == [("a", "x")] and seen.open_batches(spark, folder) == []
+
+
+def test_base_is_not_shuffled(spark, folder):
+    first_seen.process_batch(batch(spark, *[("a", str(k), k, True) for k in range(50)]), 0, folder, ORDER)
+    seen.fold(spark, folder, [0], 4)
+    items = batch(spark, ("a", "x", 1, True), ("a", "7", 1, True))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rest = seen.unseen(items, folder, 1)
+        assert [r.key for r in rest.collect()] == ["x"]
+        plan = rest._jdf.queryExecution().sparkPlan().toString()
+        executed = rest._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Bucketed: true" in executed or "bucketed" in plan.lower()
+    # The items are dealt to the buckets; the base is read in them.
+    assert executed.count("hashpartitioning(_item") in (1, 2) and "hashpartitioning(item" not in executed
