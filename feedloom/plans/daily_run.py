@@ -52,38 +52,38 @@ FOUND_PAYLOADS_DDL = """
 """
 
 
-def _feed_parts(inputs: Inputs, settings: rules.Settings, as_of: str):
-    """Listings and outcome of every structured and Markdown feed."""
+def _feed_parts(inputs: Inputs, settings: rules.Settings, as_of: str, land):
+    """Listings and outcome of every structured and Markdown feed; ``land`` writes a table of the run and reads it back.
+
+    Payloads are parsed when they are landed; listings and outcomes both read the result.
+    """
     listings, counts = [], []
-    for feed, payloads in inputs.structured:
-        rows = structured.feed_rows(payloads, feed)
+    parts = [structured.parsed_payloads(payloads, feed).withColumn("feed", F.lit(feed.name)) for feed, payloads in inputs.structured]
+    parsed = land(_union(parts), "parsed_feeds") if parts else None
+    for feed, _ in inputs.structured:
+        own = parsed.filter(F.col("feed") == feed.name)
         listings.append(
-            structured.collect_feed(structured.map_json_rows(rows, feed), settings, as_of).withColumn(
+            structured.collect_feed(structured.map_json_rows(structured.parsed_rows(own), feed), settings, as_of).withColumn(
                 "collector", F.lit(f"structured:{feed.name}")
             )
         )
-        entries = structured.extract_rows(F.col("body"), feed.job_path)
-        readable = F.coalesce(
-            F.when(entries.isNotNull(), True).otherwise(structured.has_path(F.col("body"), feed.job_path)), F.lit(False)
-        )
         counts.append(
-            payloads.agg(
+            own.agg(
                 F.lit(feed.name).alias("source_name"),
                 F.lit("structured").alias("kind"),
                 (F.count(F.lit(1)) > 0).alias("landed"),
-                F.coalesce(F.bool_and(readable), F.lit(False)).alias("readable"),
-                F.coalesce(F.sum(F.coalesce(F.size(entries), F.lit(0))), F.lit(0)).alias("total_available"),
+                F.coalesce(F.bool_and("readable"), F.lit(False)).alias("readable"),
+                F.coalesce(F.sum(F.coalesce(F.size("raws"), F.lit(0))), F.lit(0)).alias("total_available"),
             )
         )
     if inputs.markdown is not None:
+        rows = land(markdown.table_rows(markdown.table_lines(inputs.markdown)), "markdown_rows")
         listings.append(
-            markdown.collect_markdown(inputs.markdown, settings, as_of).withColumn(
+            markdown.collect_rows(rows, settings, as_of).withColumn(
                 "collector", F.concat(F.lit("markdown:"), "source_name")
             )
         )
-        available = markdown.table_rows(markdown.table_lines(inputs.markdown)).groupBy("source_name").agg(
-            F.count(F.lit(1)).alias("total_available")
-        )
+        available = rows.groupBy("source_name").agg(F.count(F.lit(1)).alias("total_available"))
         counts.append(
             inputs.markdown.select("source_name")
             .distinct()
@@ -128,7 +128,9 @@ def run(
 
 
 def _collect(spark, inputs, root, run_id, as_of, settings):
-    listings, counts = _feed_parts(inputs, settings, as_of)
+    listings, counts = _feed_parts(
+        inputs, settings, as_of, lambda df, name: store.append_run(df, f"{root}/{name}", run_id).drop("run_id")
+    )
     outcome_parts = []
     if inputs.board_payloads is not None:
         # Postings are judged once; listings and outcomes both read the result.

@@ -150,6 +150,20 @@ _CSV_CTE = f"""{LISTINGS_CTE}, csv0 AS (SELECT * EXCLUDE (location_text, descrip
     trim(description_text, {STRIP_CHARS}) AS description_text FROM listings), {folded_cte('csv0')}"""
 
 
+@register(
+    "parsed_feeds",
+    f"""WITH {LISTINGS_CTE} SELECT doc_id // 40 AS source_ordinal, CASE WHEN doc_id // 40 % 5 < 3 THEN count(*) END AS entries,
+        doc_id // 40 % 5 <> 3 AS readable FROM listings GROUP BY 1, doc_id // 40 % 5""",
+)
+def parsed_feeds(spark, sf_dir):
+    """Payloads parsed once for listings and outcome; one in five is broken, one holds a text in place of the list."""
+    kind = F.col("source_ordinal") % 5
+    body = F.when(kind == 3, F.concat(F.lit("{"), "body")).when(kind == 4, F.lit('{"data": [{"jobs": "none"}]}')).otherwise(F.col("body"))
+    parsed = structured.parsed_payloads(_feed_payloads(spark, sf_dir).withColumn("body", body), FEED)
+    entries = F.when(F.col("raws").isNotNull(), F.size("raws")).cast("bigint").alias("entries")
+    return parsed.select(F.col("source_ordinal").cast("bigint").alias("source_ordinal"), entries, "readable")
+
+
 @register(
     "csv_feed",
     f"""WITH {_CSV_CTE} SELECT CAST(doc_id AS VARCHAR) AS external_job_id, company_name, title, location_text, md5(description_text) AS text_digest

@@ -127,7 +127,14 @@ def collect_markdown(
     payloads: DataFrame, settings: rules.Settings, as_of: str, max_age_days: int | None = None
 ) -> DataFrame:
     """Listings of Markdown tables; payloads carry source_name, source_url, source_ordinal, body."""
-    rows = table_rows(table_lines(payloads)).withColumn("description_text", F.lit(""))
+    return collect_rows(table_rows(table_lines(payloads)), settings, as_of, max_age_days)
+
+
+def collect_rows(
+    rows: DataFrame, settings: rules.Settings, as_of: str, max_age_days: int | None = None
+) -> DataFrame:
+    """Listings among the rows that ``table_rows`` gives."""
+    rows = rows.withColumn("description_text", F.lit(""))
     once = materialize(rows, passes=markdown_gate(settings, max_age_days))
     return select_collected(
         once.filter("passes"),

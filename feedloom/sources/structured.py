@@ -45,6 +45,22 @@ def has_path(body: Column, path: str) -> Column:
     return _follow(F.from_json(body, _leaf_schema(path, T.StringType())), path).isNotNull()
 
 
+def parsed_payloads(payloads: DataFrame, feed: rules.StructuredFeed) -> DataFrame:
+    """(source_ordinal, fetched_at, raws, readable) of each payload, for listings and outcome alike.
+
+    ``raws`` holds the rows' JSON texts, null where there is no list; ``readable`` tells that the path exists. A payload with a
+    list is parsed once for both.
+    """
+    read = materialize(payloads.select("source_ordinal", "fetched_at", "body"), raws=extract_rows(F.col("body"), feed.job_path))
+    present = F.when(F.col("raws").isNotNull(), True).otherwise(has_path(F.col("body"), feed.job_path))
+    return read.select("source_ordinal", "fetched_at", "raws", F.coalesce(present, F.lit(False)).alias("readable"))
+
+
+def parsed_rows(parsed: DataFrame) -> DataFrame:
+    """What ``feed_rows`` gives, of payloads that are parsed."""
+    return parsed.select("source_ordinal", "fetched_at", F.posexplode("raws").alias("position", "raw"))
+
+
 def feed_rows(payloads: DataFrame, feed: rules.StructuredFeed) -> DataFrame:
     """One row per feed entry: ``source_ordinal``, ``position``, ``raw``, ``fetched_at``.
 
