@@ -24,7 +24,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose 5-word shingles have a similarity of 0.8, that of the smallest doc_id."""
+    """One document of each group of texts whose 5-word shingles have a similarity of 0.8, that of the smallest doc_id.
+
+    SimHash anchors propose pairs first, min-hash bands what lies beyond their 2 bits; whole shingle sets decide on both.
+    """
     return near_copies.keep_first(docs)
 
 

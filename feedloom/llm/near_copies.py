@@ -1,10 +1,14 @@
-"""Near copies by Jaccard similarity of word shingles: min-hash bands propose pairs, whole shingle sets decide.
+"""Near copies by Jaccard similarity of word shingles: SimHash anchors propose pairs, min-hash bands those beyond; whole sets decide.
 
 Two texts link if their sets of ``SHINGLE`` = 5-word shingles have a Jaccard similarity of ``SIMILARITY`` = 0.8 or
 more; texts in the same component of links are one group. Every link is computed from the whole sets; a shingle stands in
 them as a hash of 64 bits, so two shingles of a pair of texts are taken for one with a probability of about 1 in 1e19.
 
-Search. Rows with the same text are one class. A class has ``BANDS`` keys, each a hash of ``ROWS`` min-hashes; classes
+SimHash. Rows with the same text are one class. A class has a fingerprint of its shingles; classes of one fingerprint, and of
+fingerprints that the anchors of ``simhash.links`` connect at 2 or fewer bits, are proposed and decided first (``proposals``). What
+this joins is one group from then on and is not compared again.
+
+Beyond. Texts at 0.8 mostly differ in 3 to 11 bits, more than anchors cover. A class has therefore ``BANDS`` keys as well, each a hash of ``ROWS`` min-hashes; classes
 that share a key meet in a bucket. At similarity s that fails with probability (1 - s^ROWS)^BANDS, which is 0.0007 at 0.8
 and less than 1e-7 at 0.9; this is the only loss.
 
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedloom import runtime
+from feedloom.llm import simhash
 from feedloom.llm.common import landed, released, small_batches, unused
 from feedloom.llm.components import components
 
@@ -88,14 +93,15 @@ def band_keys(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> lis
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factors = _factors()
     for batch in batches:
-        sizes, keys = [], []
+        sizes, fps, keys = [], [], []
         for text in batch.column("text"):  # one text at a time; those of a batch would fill the worker
             found = shingle_hashes(text.as_py())
             sizes.append(len(found))
+            fps.append(simhash.majority(found))
             keys.append(band_keys(found, factors))
         columns = [batch.column("doc_id"), batch.column("whole"), pa.array(sizes, pa.int32())]
-        columns.append(pa.array(keys, pa.list_(pa.int64())))
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "whole", "n", "keys"])
+        columns += [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "whole", "n", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,18 +190,41 @@ def rest_pairs(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.select(F.least("small_node", "large_node").alias("a"), F.greatest("small_node", "large_node").alias("b")).distinct()
 
 
+def proposals(classes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of classes (node, n, fp) by SimHash: the first of a fingerprint with its others and with the firsts of linked ones."""
+    firsts = landed(classes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")), "near-fingerprints")
+    small = F.broadcast(firsts) if runtime.fits_broadcast(firsts) else firsts
+    same = classes.join(small, "fp").where("node != first.node").select("first", F.struct("node", "n").alias("other"))
+    side = lambda end, name: small.select(F.col("fp").alias(end), F.col("first").alias(name))
+    near = simhash.links(firsts.select("fp")).join(side("a", "first"), "a").join(side("b", "other"), "b").select("first", "other")
+    pairs = same.unionByName(near).where(_alike("first.n", "other.n", least))
+    return pairs.select(F.least("first.node", "other.node").alias("a"), F.greatest("first.node", "other.node").alias("b")).distinct()
+
+
+def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (key, node, n) of the buckets that hold several groups of links, with their group as ``label``."""
+    roots = components(found).withColumnRenamed("node", "_node")
+    rest = rows.join(roots, F.col("node") == F.col("_node"), "left")
+    rest = landed(rest.select("key", "node", "n", F.coalesce("root", "node").alias("label")), "near-rest")
+    mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return landed(rest.join(mixed.select("key"), "key"), "near-buckets")
+
+
 def links(classes: DataFrame, texts_of, least: float = SIMILARITY, stars: int = STARS) -> DataFrame:
-    """Links (a, b) that connect all classes (node, n, keys) that share a key and are that similar.
+    """Links (a, b) that connect all classes (node, n, fp, keys) that SimHash proposes or that share a key, and are that similar.
 
     ``texts_of`` gives the texts (node, text) of a table of nodes.
     """
+    proposed = landed(proposals(classes.select("node", "n", "fp"), least), "near-proposed")
     rows = landed(classes.select("node", "n", F.explode("keys").alias("key")), "near-keys")
     shared = rows.groupBy("key").count().where("count > 1").select("key")
-    buckets = landed(rows.join(shared, "key").withColumn("label", F.col("node")), "near-buckets")
-    texts = texts_of(buckets.select("node").distinct())
+    buckets = landed(rows.join(shared, "key"), "near-buckets")
+    ends = [proposed.select(F.col(end).alias("node")) for end in ("a", "b")]
+    texts = texts_of(buckets.select("node").unionByName(ends[0]).unionByName(ends[1]).distinct())
     with small_batches(texts.sparkSession):
         sets = landed(texts.mapInArrow(released(_sets), "node long, hashes binary"), "near-sets")
-    found = None
+    found = _verified(proposed, sets, least)
+    buckets = _apart(buckets, found)
     for _ in range(stars):
         if buckets.isEmpty():
             break
@@ -203,17 +232,11 @@ def links(classes: DataFrame, texts_of, least: float = SIMILARITY, stars: int =
         met = buckets.join(firsts, "key").where("node != first.node")
         unlike = met.where((F.col("label") != F.col("first.label")) & _alike("n", "first.n", least))
         pairs = landed(unlike.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-        now = _verified(pairs, sets, least)
-        found = landed(found.unionByName(now), "near-links") if found is not None else now
-        roots = components(found).withColumnRenamed("node", "_node")
-        rest = met.select("key", "node", "n").join(roots, F.col("node") == F.col("_node"), "left")
-        rest = landed(rest.select("key", "node", "n", F.coalesce("root", "node").alias("label")), "near-rest")
-        mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        buckets = landed(rest.join(mixed.select("key"), "key"), "near-buckets")
-    if found is None or not buckets.isEmpty():
+        found = landed(found.unionByName(_verified(pairs, sets, least)), "near-links")
+        buckets = _apart(met.select("key", "node", "n"), found)
+    if not buckets.isEmpty():
         pairs = landed(rest_pairs(buckets.select("node", "n", "label").distinct(), sets, least), "near-pairs")
-        now = _verified(pairs, sets, least)
-        found = found.unionByName(now) if found is not None else now
+        found = found.unionByName(_verified(pairs, sets, least))
     return found
 
 
@@ -226,9 +249,9 @@ def groups(docs: DataFrame, least: float = SIMILARITY, stars: int = STARS) -> Da
         docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"), _whole(docs).alias("whole")
     )
     with small_batches(docs.sparkSession):
-        marks = landed(rows.mapInArrow(released(_marks), "doc_id long, whole binary, n int, keys array<long>"), "near-marks")
-    # Rows of one class have the same keys. The number is fixed by writing it.
-    classes = marks.groupBy("whole").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+        marks = landed(rows.mapInArrow(released(_marks), "doc_id long, whole binary, n int, fp long, keys array<long>"), "near-marks")
+    # Rows of one class have the same fingerprint and keys. The number is fixed by writing it.
+    classes = marks.groupBy("whole").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys")])
     classes = landed(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -236,7 +259,7 @@ def groups(docs: DataFrame, least: float = SIMILARITY, stars: int = STARS) -> Da
         side = F.broadcast(wanted) if runtime.fits_broadcast(wanted) else wanted
         return rows.join(side, "whole").groupBy("node").agg(F.first("text").alias("text"))
 
-    roots = components(links(classes.select("node", "n", "keys"), texts_of, least, stars))
+    roots = components(links(classes.select("node", "n", "fp", "keys"), texts_of, least, stars))
     named = classes.select("whole", "node").join(roots, "node", "left")
     named = named.select("whole", F.coalesce("root", "node").alias("root"))
     ids = marks.groupBy("doc_id", "whole").agg(F.count("*").alias("n")).join(named, "whole")

@@ -55,10 +55,14 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
         shingles = [b" ".join(found)]
     else:
         shingles = map(b" ".join, zip(*[found[i:] for i in range(size)]))
-    hashes = np.array([xxh64_intdigest(x, SEED) for x in shingles], dtype=">u8")
+    return majority(np.array([xxh64_intdigest(x, SEED) for x in shingles], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of some 64-bit hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), CHUNK):
-        part = hashes[start : start + CHUNK]
+        part = hashes[start : start + CHUNK].astype(">u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 

@@ -99,3 +99,30 @@ def test_family_below_the_similarity_gives_few_pairs(spark):
     rest, sets = as_sets(spark, found)
     got = [(r["a"], r["b"]) for r in near_copies.rest_pairs(rest, sets, 0.8).collect()]
     assert set(near) <= set(got) and len(got) < len(found)
+
+
+def test_stage_links_by_simhash_and_decides_exactly(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(600)]
+    near = [" ".join([*base, "end"]), " ".join(base[1:])]
+    far = [" ".join(f"v{rng.randint(0, 10**6)}" for _ in range(600)) for _ in range(3)]
+    rows = [(i, t) for i, t in enumerate([" ".join(base), *near, *far])]
+    sets = [near_copies.shingle_hashes(t.encode()) for _, t in rows]
+    fps = [simhash.majority(found) for found in sets]
+    assert max((fps[0] ^ fps[i]).bit_count() for i in (1, 2)) <= simhash.THRESHOLD
+    # No two classes share a band; the fourth is given the fingerprint of the first, which its shingles do not bear out.
+    fps[3] = fps[0]
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    classes = spark.createDataFrame([(i, len(s), signed(f), [i]) for i, (s, f) in enumerate(zip(sets, fps))], "node long, n int, fp long, keys array<long>")
+    texts = spark.createDataFrame(rows, "node long, text string").select("node", F.col("text").cast("binary").alias("text"))
+    proposed = {(r["a"], r["b"]) for r in near_copies.proposals(classes).collect()}
+    assert (0, 3) in proposed and all(b < 4 for _, b in proposed)
+    found = near_copies.links(classes, lambda nodes: texts.join(nodes, "node", "left_semi")).collect()
+    ends = {i for r in found for i in (r["a"], r["b"])}
+    assert ends == {0, 1, 2}
+
+    calls, plain = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *args, **kwargs: calls.append(args) or plain(*args, **kwargs))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    kept = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "")
+    assert calls and sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4, 5]
