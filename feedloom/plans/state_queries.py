@@ -646,7 +646,9 @@ def _example_scorer(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _called(spark, sf_dir):
     """Scored listings, the candidates among them, and what the example scorer returns for these."""
-    rows = scored(spark, sf_dir).withColumn("canonical_key", F.col("doc_id").cast("string"))
+    # The scores are read by the candidates, the scorer's join and the outcomes; texts are read by none of these.
+    rows = scored(spark, sf_dir).drop("description_text", "job_details", "fit_groups", "difficulty_groups")
+    rows = land(rows.withColumn("canonical_key", F.col("doc_id").cast("string")), "scored")
     candidates = ranking.external_candidates(rows, rules.Limits()).select("canonical_key", "doc_id")
     return rows, candidates, ranking.external_scores(candidates, _example_scorer)
 
