@@ -830,8 +830,9 @@ def score_history(spark, sf_dir):
     """Score rows appended twice for the same run and read back once."""
     path = scratch(spark, "scores")
     rows = scored(spark, sf_dir).withColumn("job_id", F.col("doc_id").cast("string"))
+    rows = land(store.score_rows(rows, AS_OF), "score-rows")
     for _ in range(2):
-        store.append_run(store.score_rows(rows, AS_OF), path, "run-1")
+        store.append_run(rows, path, "run-1")
     return store.read_scores(spark, path).select(
         "run_id", F.col("job_id").cast("bigint").alias("doc_id"), "fit_score", "recommendation"
     )
