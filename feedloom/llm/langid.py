@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import crc_mod, landed, released, table
+from feedloom.llm.common import crc_mod, landed, released, small_batches, table
 
 SAMPLE_DOCS = 1_000
 ROUNDS = 3
@@ -329,7 +329,10 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_determined(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents with a language of at least that posterior, all columns kept; one pass, no join."""
+    """The documents with a language of at least that posterior, all columns kept; one pass, no join.
+
+    They are written here, since the size of the batches that go to Python holds for what is planned now.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +341,8 @@ def keep_determined(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
             found = score(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != UNDETERMINED and value >= least for lang, value in found], pa.bool_()))
 
-    return docs.mapInArrow(released(run), docs.schema)
+    with small_batches(docs.sparkSession):
+        return landed(docs.mapInArrow(released(run), docs.schema), "determined")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

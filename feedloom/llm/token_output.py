@@ -7,8 +7,8 @@ keeps, per stripe and row group, the range of doc_id and a Bloom filter on it: a
 other stripes by metadata.
 
 Encoding. The tokenizer drops white space and encodes what stands between two blanks or line ends alone, so a text is
-cut there, and each task remembers the ids of pieces, and of the words inside them, that it has met. A new word of
-Latin-1 letters goes to the tokenizer's model without its normaliser. Both
+cut there, and each task remembers the ids of pieces, and of the words inside them, that it has met. A word that stands as a piece of
+its own is remembered once. A new word of Latin-1 letters goes to the tokenizer's model without its normaliser. Both
 memories are bounded (``PIECES``, ``WORDS``): when one is full, what was not met since the last time is forgotten. A text with a special token's string is given to
 the tokenizer whole. The ids equal those of whole texts, which the tests check.
 
@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom import runtime
-from feedloom.llm.common import landed, small_batches, table
+from feedloom.llm.common import landed, released, small_batches, table
 
 END_ID = 1
 # Entries of a generation of remembered pieces and words; two generations are kept.
-PIECES = 200_000
-WORDS = 125_000
+PIECES = 100_000
+WORDS = 50_000
 # Marks that the tokenizer never joins with letters; an apostrophe may begin a suffix of its own.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Characters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others
@@ -108,16 +108,16 @@ class Encoder:
             if not word.isalpha():
                 pieces[piece] = self.encoded(piece)
                 continue
-            ids = words.get(word)
+            if len(word) == len(piece):
+                ids = words.pop(word, None) or old_words.get(word)
+                pieces[piece] = ids or (self.word(word) if plain else self.encoded(word))
+                continue
+            ids = words.get(word) or pieces.get(word)
             if ids is None:
-                ids = old_words.get(word)
-                if ids is None:
-                    ids = self.word(word) if plain else self.encoded(word)
+                ids = old_words.get(word) or old_pieces.get(word) or (self.word(word) if plain else self.encoded(word))
                 words[word] = ids
-            if len(word) < len(piece):
-                at = piece.find(word)
-                ids = self.marks(piece[:at]) + ids + self.marks(piece[at + len(word) :])
-            pieces[piece] = ids
+            at = piece.find(word)
+            pieces[piece] = self.marks(piece[:at]) + ids + self.marks(piece[at + len(word) :])
 
     def word(self, word: str) -> bytes:
         """Ids of a run of letters. Lower-case Latin-1 needs no normalising and goes to the model at once."""
@@ -172,7 +172,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID)
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
-    encoded = ordered.mapInArrow(_encode(vocabulary, end_id), "doc_id long, ids array<int>")
+    encoded = ordered.mapInArrow(released(_encode(vocabulary, end_id)), "doc_id long, ids array<int>")
     with small_batches(docs.sparkSession):
         encoded.write.options(**OPTIONS).orc(path)
 
@@ -207,7 +207,7 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
         "doc_id",
         "ids",
     )
-    digests = rows.mapInArrow(_digest, "file long, at struct<block: long, row: long>, doc_id long, n_tokens long, ids_crc32 long")
+    digests = rows.mapInArrow(released(_digest), "file long, at struct<block: long, row: long>, doc_id long, n_tokens long, ids_crc32 long")
     with small_batches(spark):
         digests = landed(digests, "token-digests")
     files = digests.groupBy("file").agg(F.sum("n_tokens").alias("n"))
