@@ -1,6 +1,6 @@
 """Scoring columns: skills, tags, fit, difficulty, recommendation and explanation.
 
-The text is scanned once per distinct word (``words_found``); after that every rule is a set test
+The text is scanned once per distinct word (``words_in``); after that every rule is a set test
 on a short array, and the groups stay visible as a struct so that a score can be explained.
 """
 
@@ -19,6 +19,7 @@ from feedloom.functions.text import (
     materialize,
     quote,
     words_found,
+    words_in,
 )
 
 TEXT_WORDS = tuple(
@@ -106,8 +107,7 @@ def scan(df: DataFrame, profile: rules.Profile) -> DataFrame:
     )
     preferred = [p.lower() for p in profile.preferred_locations]
     return materialize(
-        lowered,
-        found=words_found("_text", TEXT_WORDS),
+        lowered.withColumn("found", words_in(F.col("_text"), TEXT_WORDS)),
         years=required_years(F.col("_text")),
         title_found=words_found("_title", TITLE_WORDS),
         prefers_place=F.col("is_remote") | any_word(F.col("_place"), preferred),

@@ -1,13 +1,16 @@
 """Text columns: folding, word tests, cleanup, links and headlines in free text.
 
-All of these stay in the JVM. ``bind`` and ``materialize`` exist because Catalyst re-expands an
+All but ``words_in`` stay in the JVM. ``bind`` and ``materialize`` exist because Catalyst re-expands an
 alias wherever a filter above a projection refers to it: a rule table that looks at one long text
 a hundred times would then lower-case that text a hundred times.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ WHITE_SPACE = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# Bytes that are looked at together.
+BLOCK = 1 << 20
+
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``."""
@@ -64,6 +70,58 @@ def words_found(column: str, words: Iterable[str]) -> Column:
     return F.expr(f"array_compact(array({', '.join(tests)}))")
 
 
+def hits(data: np.ndarray, needles: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of a needle, places in the bytes where it begins); a needle may come several times.
+
+    One pass tells where the first two bytes of any needle stand; only there further bytes are compared.
+    """
+    groups: dict[bytes, list[int]] = {}
+    for i, needle in enumerate(needles):
+        if len(needle) < 2:
+            yield i, np.flatnonzero(data == needle[0]) if needle else np.arange(len(data))
+        else:
+            groups.setdefault(needle[:2], []).append(i)
+    table = np.zeros(1 << 16, np.uint16)
+    table[[pair[0] << 8 | pair[1] for pair in groups]] = np.arange(1, len(groups) + 1)
+    data = np.concatenate([data, np.zeros(max(map(len, needles), default=0), np.uint8)])
+    for start in range(0, len(data), BLOCK):
+        block = data[start : start + BLOCK + 1]
+        group = table[block[:-1].astype(np.uint16) << 8 | block[1:]]
+        at = np.flatnonzero(group)
+        order = np.argsort(group[at], kind="stable")
+        ends = np.cumsum(np.bincount(group[at], minlength=len(groups) + 1))
+        for g, members in enumerate(groups.values()):
+            first = at[order[ends[g] : ends[g + 1]]] + start
+            for i in members if len(first) else ():
+                places = first
+                for k in range(2, len(needles[i])):
+                    places = places[data[places + k] == needles[i][k]]
+                if len(places):
+                    yield i, places
+
+
+def words_in(text: Column, words: Iterable[str]) -> Column:
+    """``words_found`` for long texts: one pass over a batch of them finds all words; the JVM's looks at each byte for every word.
+
+    Texts are compared as bytes, as the JVM does; a null text holds none.
+    """
+    words = list(dict.fromkeys(words))
+    needles = [word.encode() for word in words]
+
+    def found(texts: pa.Array) -> pa.Array:
+        texts = texts.fill_null(b"").cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends, held = ends - ends[0], np.zeros((len(texts), len(words)), bool)
+        for i, places in hits(data, needles):
+            row = np.searchsorted(ends, places, "right") - 1
+            held[row[places + len(needles[i]) <= ends[row + 1]], i] = True
+        offsets = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(words, pa.string()).take(pa.array(np.nonzero(held)[1])))
+
+    return F.arrow_udf(found, "array<string>")(text.cast("binary"))
+
+
 def has_any(column: str, words: Iterable[str]) -> str:
     """SQL test on an array column made by ``words_found``."""
     return f"arrays_overlap({column}, array({', '.join(quote(w) for w in words)}))"
